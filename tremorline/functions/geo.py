@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tremorline.functions import constants as C
 
 
 def lookup(key: Column, table: Mapping[str, object], default: object = None) -> Column:
-    """Value of ``key`` in a small constant table, else ``default``."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    found = F.try_element_at(F.create_map(*pairs), key)
+    """Value of ``key`` in a small constant table, else ``default``.
+
+    The table is one text literal that Spark folds to a constant map, so plans stay small.
+    """
+    kind = {str: "string", float: "double", int: "int"}[type(next(iter(table.values())))]
+    text = "\x1f".join(f"{k}\x1e{v}" for k, v in table.items())
+    found = F.try_element_at(F.str_to_map(F.lit(text), F.lit("\x1f"), F.lit("\x1e")), key).cast(kind)
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
@@ -42,13 +46,25 @@ def cell(lat: Column, lon: Column, size: float) -> Column:
     return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
 
 
-def cells_within(lat: Column, lon: Column, size: float, radius: float) -> Column:
-    """All cubes that can hold a point within ``radius`` miles: at most 8 when ``size >= 2 * radius``."""
+def cell_code(x: Column, y: Column, z: Column) -> Column:
+    """A cube as one number; good for cubes down to a few yards."""
+    half = 1 << 20
+    return F.shiftleft(x + half, 42) + F.shiftleft(y + half, 21) + (z + half)
+
+
+def coded_cell(lat: Column, lon: Column, size: float) -> Column:
+    return cell_code(*[F.floor(v / F.lit(float(size))) for v in sphere_point(lat, lon)])
+
+
+def explode_cells(df: DataFrame, lat: str, lon: str, size: float, radius: float) -> DataFrame:
+    """One row per cube (``cell``) that can hold a point within ``radius`` miles: at most 8 when
+    ``size >= 2 * radius``."""
     slack = radius * (1 + 1e-9) + 1e-6
-    spans = [F.sequence(F.floor((v - slack) / F.lit(float(size))), F.floor((v + slack) / F.lit(float(size))))
-             for v in sphere_point(lat, lon)]
-    return F.flatten(F.flatten(F.transform(spans[0], lambda x: F.transform(
-        spans[1], lambda y: F.transform(spans[2], lambda z: F.struct(x.alias("x"), y.alias("y"), z.alias("z")))))))
+    df = df.withColumns(dict(zip(("_x", "_y", "_z"), sphere_point(F.col(lat), F.col(lon)))))
+    for axis in ("_x", "_y", "_z"):
+        df = df.withColumn(axis, F.explode(F.sequence(
+            F.floor((F.col(axis) - slack) / F.lit(float(size))), F.floor((F.col(axis) + slack) / F.lit(float(size))))))
+    return df.withColumn("cell", cell_code(F.col("_x"), F.col("_y"), F.col("_z"))).drop("_x", "_y", "_z")
 
 
 def grid_index(degrees: Column, cell_degrees: float) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, functions as F
 
 from tremorline.functions import constants as C
@@ -31,19 +29,8 @@ def label_parts(label: Column) -> Column:
     return F.when(has_country, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
-@dataclass(frozen=True)
-class Location:
-    """Resolved place of an article; ``latitude`` is null when the article has no usable location."""
-
-    latitude: Column
-    longitude: Column
-    city: Column
-    state: Column
-    precision: Column
-
-
-def extract_location(location: Column) -> Location:
-    """Place of an article from its ``location`` JSON text.
+def extract_location(location: Column) -> Column:
+    """Place of an article from its ``location`` JSON text: ``latitude, longitude, city, state, precision``, or null.
 
     Country-level places are rejected.  Without coordinates the centroid of the state stands in, and precision
     drops to ``state``; without a known state the article has no location.
@@ -61,14 +48,11 @@ def extract_location(location: Column) -> Location:
     centroid_lat, centroid_lon = state_centroid(state)
     latitude = F.when(given, lat).otherwise(centroid_lat)
     longitude = F.when(given, lon).otherwise(centroid_lon)
-    precision = F.when(given, stated).otherwise(F.lit("state"))
     usable = ((kind != "country") & latitude.isNotNull() & longitude.isNotNull()
               & ~((latitude == 0.0) & (longitude == 0.0)))
-
-    def keep(c: Column) -> Column:
-        return F.when(usable, c)
-
-    return Location(keep(latitude), keep(longitude), keep(city), keep(state), keep(precision))
+    return F.when(usable, F.struct(
+        latitude.alias("latitude"), longitude.alias("longitude"), city.alias("city"), state.alias("state"),
+        F.when(given, stated).otherwise(F.lit("state")).alias("precision")))
 
 
 def json_field(text: Column, field: str) -> Column:

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tremorline.functions import constants as C
+from tremorline.functions.plan import once
 from tremorline.functions.text import any_of, strings, token_set
 
 
@@ -122,7 +123,7 @@ def classify(df: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, min_score: float
     cat, con = category_boost(F.col(categories), lexicon), concept_boost(F.col(concepts), lexicon)
     df = df.withColumns({"_cat": cat, "_con": con})
     df = lexicon_hits(df, lexicon, title, body, (F.col("_cat") > 0) | (F.col("_con") > 0))
-    df = df.withColumn("_best", best_candidate("_hits"))
+    df = once(df, "_best", best_candidate("_hits"))
     score = F.least(F.lit(1.0), F.col("_best.score") + (F.col("_cat") + F.col("_con")))
     accepted = (F.coalesce(F.length(title) > 0, F.lit(False))
                 & ~hard_excluded(F.col(title), F.col("_title_tokens"), F.col(categories), lexicon)

@@ -11,7 +11,7 @@ of all rows are copies of one story, so rows are never paired directly:
 2. Groups meet in an equi-join on (time bucket, cell of the globe, rare title word), and only there are distance and
    similarity computed.  Each qualifying pair of groups comes out once.
 3. Within a pair of groups only time is left to decide, and the nearest time wins.  It is found with running windows
-   over (group, hour), plus a summary of at most 96 hours per group, instead of by pairing.
+   over (group, hour), plus a summary of at most 192 hours per group, instead of by pairing.
 """
 
 from __future__ import annotations
@@ -19,65 +19,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tremorline.functions import constants as C
-from tremorline.functions.geo import cell, cells_within, haversine_miles
+from tremorline.functions.geo import coded_cell, explode_cells, haversine_miles
+from tremorline.functions.plan import once
 from tremorline.functions.scores import types_compatible
 from tremorline.functions.text import jaccard, token_set
-from tremorline.operators.similarity import first_shared, hot_tokens, prefix, rare_first, sizes_allow
+from tremorline.operators.similarity import hot_tokens, set_key, similar_sets
+from tremorline.session import cut_lineage
 
 HOUR_MICROS = 3_600_000_000
-GROUP = ["tokens", "event_type", "latitude", "longitude", "bucket"]
+GROUP = ["set_key", "event_type", "latitude", "longitude", "bucket"]
 
 
 def _side(df: DataFrame, row_id: str, bucket_micros: int) -> DataFrame:
     """The columns matching needs, with the content key of the row's group."""
     rows = df.select(
-        F.col(row_id).alias("row_id"), token_set(F.col("title")).alias("tokens"),
-        F.coalesce("event_type", F.lit("")).alias("event_type"), "latitude", "longitude",
-        F.unix_micros("occurred_at").alias("micros"),
-    ).filter(F.size("tokens") > 0)
-    rows = rows.withColumn("bucket", F.floor(F.col("micros") / F.lit(bucket_micros)))
-    content = F.concat_ws("|", F.array_join("tokens", " "), "event_type", F.col("latitude").cast("string"),
-                          F.col("longitude").cast("string"), F.col("bucket").cast("string"))
-    return rows.withColumn("group_key", F.md5(content))
+        F.col(row_id).alias("row_id"), "title", F.coalesce("event_type", F.lit("")).alias("event_type"), "latitude",
+        "longitude", F.unix_micros("occurred_at").alias("micros"))
+    rows = once(rows, "tokens", token_set(F.col("title"))).drop("title").filter(F.size("tokens") > 0)
+    rows = rows.withColumns({"set_key": set_key(F.col("tokens")),
+                             "bucket": F.floor(F.col("micros") / F.lit(bucket_micros))})
+    content = F.concat_ws("|", F.hex("set_key"), *[F.col(c).cast("string") for c in GROUP[1:]])
+    return rows.withColumn("group_key", F.unhex(F.md5(content)))
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("group_key", *GROUP).agg(F.min("micros").alias("first_micros"),
-                                                 F.max("micros").alias("last_micros"))
+    return rows.groupBy("group_key", *GROUP).agg(
+        F.min("micros").alias("first_micros"), F.max("micros").alias("last_micros"), F.first("tokens").alias("tokens"))
 
 
 def similar_groups(articles: DataFrame, events: DataFrame, hours: float, miles: float, threshold: float,
                    bucket_micros: int) -> DataFrame:
-    """Pairs of groups that pass the distance and title gates, with similarity and distance."""
-    size = 2.0 * miles
-    hot = hot_tokens(events)
+    """Pairs of groups that pass the distance and title gates, with similarity and distance.
+
+    Titles are compared once per pair of distinct titles that occur in a common cell and time bucket; groups then
+    join on (title, cell, bucket).  Article groups are copied to every cell and bucket they reach, incident groups
+    stay in theirs, so each pair of groups comes out once.
+    """
+    size = 4.0 * miles
     window = int(hours * HOUR_MICROS)
-    left = (rare_first(articles, hot)
-            .withColumn("prefix", prefix(F.col("ordered"), threshold))
-            .withColumn("bucket", F.explode(F.sequence(
-                F.floor((F.col("first_micros") - window) / F.lit(bucket_micros)),
-                F.floor((F.col("last_micros") + window) / F.lit(bucket_micros)))))
-            .withColumn("cell", F.explode(cells_within(F.col("latitude"), F.col("longitude"), size, miles)))
-            .withColumn("word", F.explode("prefix"))
-            .select("bucket", "cell", "word", F.col("group_key").alias("article_group"),
-                    *[F.col(c).alias(f"a_{c}") for c in ("tokens", "prefix", "event_type", "latitude", "longitude")]))
-    right = (rare_first(events, hot)
-             .withColumn("prefix", prefix(F.col("ordered"), threshold))
-             .withColumn("cell", cell(F.col("latitude"), F.col("longitude"), size))
-             .withColumn("word", F.explode("prefix"))
-             .select("bucket", "cell", "word", F.col("group_key").alias("event_group"),
-                     *[F.col(c).alias(f"e_{c}") for c in ("tokens", "prefix", "event_type", "latitude", "longitude")]))
-    met = left.join(right, ["bucket", "cell", "word"]).filter(
-        sizes_allow(F.col("a_tokens"), F.col("e_tokens"), threshold)
-        & (F.col("word") == first_shared(F.col("a_prefix"), F.col("e_prefix"))))
-    scored = met.select(
-        "article_group", "event_group",
-        types_compatible(F.col("a_event_type"), F.col("e_event_type")).alias("compatible"),
-        jaccard(F.col("a_tokens"), F.col("e_tokens")).alias("similarity"),
-        haversine_miles(F.col("a_latitude"), F.col("a_longitude"), F.col("e_latitude"), F.col("e_longitude"))
-        .alias("distance_miles"))
-    needed = F.when(F.col("compatible"), F.lit(threshold)).otherwise(F.lit(threshold) + F.lit(C.INCOMPATIBLE_EXTRA))
-    return scored.filter((F.col("distance_miles") <= F.lit(miles)) & (F.col("similarity") >= needed))
+    reach = explode_cells(articles, "latitude", "longitude", size, miles).withColumn(
+        "bucket", F.explode(F.sequence(F.floor((F.col("first_micros") - window) / F.lit(bucket_micros)),
+                                       F.floor((F.col("last_micros") + window) / F.lit(bucket_micros)))))
+    placed = events.withColumn("cell", coded_cell(F.col("latitude"), F.col("longitude"), size))
+    block = ["bucket", "cell"]
+    titles = similar_sets(reach, placed, block, threshold, hot_tokens(events))
+    a = reach.select(*block, F.col("set_key").alias("a"), F.col("group_key").alias("article_group"),
+                     *[F.col(c).alias(f"a_{c}") for c in ("event_type", "latitude", "longitude")])
+    e = placed.select(*block, F.col("set_key").alias("b"), F.col("group_key").alias("event_group"),
+                      *[F.col(c).alias(f"e_{c}") for c in ("event_type", "latitude", "longitude")])
+    compatible = types_compatible(F.col("a_event_type"), F.col("e_event_type"))
+    needed = F.when(compatible, F.lit(threshold)).otherwise(F.lit(threshold) + F.lit(C.INCOMPATIBLE_EXTRA))
+    distance = haversine_miles(F.col("a_latitude"), F.col("a_longitude"), F.col("e_latitude"), F.col("e_longitude"))
+    return (a.join(titles, "a").join(e, [*block, "b"]).filter(F.col("similarity") >= needed)
+            .select("article_group", "event_group", "similarity", distance.alias("distance_miles"))
+            .filter(F.col("distance_miles") <= F.lit(miles)))
 
 
 def match_score(similarity: Column, hours_apart: Column, distance: Column, hours: float, miles: float) -> Column:
@@ -117,12 +112,13 @@ def best_match(articles: DataFrame, events: DataFrame, hours: float = C.MATCH_HO
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    bucket = int(2 * hours * HOUR_MICROS)
-    a = _side(articles, article_id, bucket)
-    e = _side(events.filter("is_active"), "id", bucket)
+    bucket = int(4 * hours * HOUR_MICROS)
+    # Each side is read several times below; token sets are computed once.
+    a = cut_lineage(_side(articles, article_id, bucket))
+    e = cut_lineage(_side(events.filter("is_active"), "id", bucket))
     pairs = similar_groups(_groups(a), _groups(e), hours, miles, threshold, bucket)
-    queries = (a.select(F.col("row_id").alias(article_id), F.col("group_key").alias("article_group"), "micros")
-               .join(pairs, "article_group").drop("article_group", "compatible"))
+    queries = cut_lineage(a.select(F.col("row_id").alias(article_id), F.col("group_key").alias("article_group"), "micros")
+                          .join(pairs, "article_group").drop("article_group"))
     near = _nearest_in_time(queries, e)
     candidates = near.select(article_id, "micros", "similarity", "distance_miles",
                              F.explode(F.array("before", "after")).alias("event")).filter("event is not null")

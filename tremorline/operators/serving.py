@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tremorline.functions import constants as C
-from tremorline.functions.geo import cell, cells_within, haversine_miles
+from tremorline.functions.geo import coded_cell, explode_cells, haversine_miles
 from tremorline.functions.text import plural
 from tremorline.functions.timefn import instant, is_stale
 
@@ -211,10 +211,10 @@ def nearest_centre(events: DataFrame, centres: DataFrame, radius: float = C.CLUS
     Centres are copied to the cells of the globe they reach, so only events in their surroundings meet them.
     """
     size = 2.0 * radius
-    near = centres.select("centre_id", "centre_lat", "centre_lon",
-                          F.explode(cells_within(F.col("centre_lat"), F.col("centre_lon"), size, radius)).alias("cell"))
+    near = explode_cells(centres.select("centre_id", "centre_lat", "centre_lon"), "centre_lat", "centre_lon", size,
+                         radius)
     met = events.select("id", "latitude", "longitude",
-                        cell(F.col("latitude"), F.col("longitude"), size).alias("cell")).join(near, "cell")
+                        coded_cell(F.col("latitude"), F.col("longitude"), size).alias("cell")).join(near, "cell")
     distance = haversine_miles(F.col("latitude"), F.col("longitude"), F.col("centre_lat"), F.col("centre_lon"))
     best = (met.select("id", distance.alias("miles"), "centre_id").filter(F.col("miles") <= F.lit(float(radius)))
             .groupBy("id").agg(F.min(F.struct("miles", "centre_id")).alias("c")))

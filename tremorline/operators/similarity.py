@@ -1,30 +1,32 @@
-"""Set-similarity join keys (prefix filtering).
+"""Set-similarity join (prefix filtering).
 
 Two token sets with Jaccard similarity of at least ``t`` share a token among the first
 ``n - ceil(t * n) + 1`` tokens of each, in any order that is the same for both.  With frequent tokens last, a join
-on those tokens meets few pairs that are not similar.
+on those tokens meets few pairs that are not similar.  Only keys, sizes and positions travel through that join;
+token sets are fetched for the surviving pairs.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tremorline.functions.text import jaccard, strings
+
 HOT_TOKENS = 128
 
 
-def hot_tokens(sets: DataFrame, tokens: str = "tokens", n: int = HOT_TOKENS) -> Column:
-    """The ``n`` most frequent tokens, rarest of them first, as a scalar subquery of bounded size."""
-    counted = (sets.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-               .orderBy(F.desc("n"), "token").limit(n))
-    return counted.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda s: s["token"])
-                       .alias("tokens")).scalar()
+def hot_tokens(sets: DataFrame, tokens: str = "tokens", n: int = HOT_TOKENS) -> list[str]:
+    """The ``n`` most frequent tokens, rarest of them first.  Counting is a distributed aggregate; only these few
+    words reach the driver."""
+    counted = sets.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return [r["token"] for r in reversed(counted.orderBy(F.desc("n"), "token").limit(n).collect())]
 
 
-def rare_first(df: DataFrame, hot: Column, tokens: str = "tokens", out: str = "ordered") -> DataFrame:
-    """Add the set in the common order: ordinary tokens alphabetically, then frequent ones by frequency."""
-    ranked = F.array_sort(F.transform(tokens, lambda t: F.struct(
-        F.coalesce(F.array_position(F.col("_hot"), t), F.lit(0)).alias("rank"), t.alias("token"))))
-    return df.withColumn("_hot", hot).withColumn(out, ranked).drop("_hot")
+def rare_first(tokens: Column, hot: list[str]) -> Column:
+    """The set in the common order: ordinary tokens alphabetically, then frequent ones by frequency."""
+    common = strings(hot)
+    return F.array_sort(F.transform(tokens, lambda t: F.struct(
+        F.array_position(common, t).alias("rank"), t.alias("token"))))
 
 
 def prefix(ordered: Column, threshold: float) -> Column:
@@ -33,12 +35,38 @@ def prefix(ordered: Column, threshold: float) -> Column:
     return F.slice(ordered, F.lit(1), n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1)
 
 
-def first_shared(prefix_a: Column, prefix_b: Column) -> Column:
-    """First token of both prefixes; comparing it with the join token keeps each pair once."""
-    return F.element_at(F.array_intersect(prefix_a, prefix_b), 1)
+def set_key(tokens: Column) -> Column:
+    """A short key of a token set; null for the empty set."""
+    return F.when(F.size(tokens) > 0, F.unhex(F.md5(F.array_join(tokens, " "))))
+
+
+def similar_sets(left: DataFrame, right: DataFrame, block: list[str], threshold: float, hot: list[str],
+                 keep_block: bool = False, once: bool = False) -> DataFrame:
+    """Pairs of token sets that occur in a common block and have similarity of at least ``threshold``.
+
+    Inputs: the ``block`` columns, ``set_key`` and ``tokens``.  Output: ``a, b, similarity``, each pair once (once
+    per block with ``keep_block``).  ``once`` is for a self-join: it leaves out equal and mirrored pairs.
+    """
+
+    def words(side: DataFrame, name: str) -> DataFrame:
+        occurring = side.groupBy(*block, "set_key").agg(F.first("tokens").alias("tokens"))
+        return occurring.select(
+            *block, F.col("set_key").alias(name), F.size("tokens").alias(f"{name}_size"),
+            F.posexplode(prefix(rare_first(F.col("tokens"), hot), threshold)).alias(f"{name}_at", "entry"),
+        ).withColumn("word", F.col("entry.token")).drop("entry")
 
+    def sets(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(F.col("set_key").alias(name)).agg(F.first("tokens").alias(f"{name}_tokens"))
 
-def sizes_allow(a: Column, b: Column, threshold: float) -> Column:
-    """Sets can only reach ``threshold`` when neither is much larger than the other."""
-    limit = F.lit(threshold - 1e-9)
-    return (F.size(a) >= F.size(b) * limit) & (F.size(b) >= F.size(a) * limit)
+    total = F.col("a_size") + F.col("b_size")
+    needed = F.ceil(total * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+    possible = (F.least("a_at", "b_at") + 1
+                + F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) - 1)
+    met = words(left, "a").join(words(right, "b"), [*block, "word"]).filter(possible >= needed)
+    if once:
+        met = met.filter(F.col("a") < F.col("b"))
+    kept = [*block, "a", "b"] if keep_block else ["a", "b"]
+    pairs = met.select(*kept).distinct()
+    checked = pairs.join(sets(left, "a"), "a").join(sets(right, "b"), "b").select(
+        *kept, jaccard(F.col("a_tokens"), F.col("b_tokens")).alias("similarity"))
+    return checked.filter(F.col("similarity") >= F.lit(threshold))

@@ -15,8 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tremorline.functions import constants as C
-from tremorline.functions.text import empty_to_null, jaccard, outlet_family, token_set, url_domain
-from tremorline.operators.similarity import first_shared, hot_tokens, prefix, rare_first, sizes_allow
+from tremorline.functions.text import empty_to_null, outlet_family, token_set, url_domain
+from tremorline.operators.similarity import hot_tokens, set_key, similar_sets
+from tremorline.session import cut_lineage
 
 RULES = ["same_outlet", "same_family", "near_identical_title", "same_wire_domain", "rapid_rewrite",
          "same_upstream_event"]
@@ -28,21 +29,13 @@ def _first_position(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
 
 def _similar_sets(rows: DataFrame) -> DataFrame:
     """Similar title word sets of the same incident, ``a`` and ``b`` in both directions, including ``a = b``."""
-    sets = rows.filter(F.size("tokens") > 0).groupBy("event_id", "set_key", "tokens").agg(
-        F.min("position").alias("first_position"))
-    hot = hot_tokens(sets)
-    keyed = (rare_first(sets, hot).withColumn("prefix", prefix(F.col("ordered"), C.REWRITE_SIMILARITY))
-             .withColumn("word", F.explode("prefix")))
-    a = keyed.select("event_id", "word", F.col("set_key").alias("a"), F.col("tokens").alias("a_tokens"),
-                     F.col("prefix").alias("a_prefix"), F.col("first_position").alias("a_first"))
-    b = keyed.select("event_id", "word", F.col("set_key").alias("b"), F.col("tokens").alias("b_tokens"),
-                     F.col("prefix").alias("b_prefix"), F.col("first_position").alias("b_first"))
-    once = a.join(b, ["event_id", "word"]).filter(
-        (F.col("a") < F.col("b")) & sizes_allow(F.col("a_tokens"), F.col("b_tokens"), C.REWRITE_SIMILARITY)
-        & (F.col("word") == first_shared(F.col("a_prefix"), F.col("b_prefix"))))
-    once = once.select("event_id", "a", "b", "a_first", "b_first",
-                       jaccard(F.col("a_tokens"), F.col("b_tokens")).alias("similarity")).filter(
-        F.col("similarity") > F.lit(C.REWRITE_SIMILARITY))
+    sets = rows.filter(F.col("set_key").isNotNull()).groupBy("event_id", "set_key").agg(
+        F.first("tokens").alias("tokens"), F.min("position").alias("first_position"))
+    found = similar_sets(sets, sets, ["event_id"], C.REWRITE_SIMILARITY, hot_tokens(sets), keep_block=True, once=True)
+    firsts = sets.select("event_id", "set_key", "first_position")
+    once = (found.filter(F.col("similarity") > F.lit(C.REWRITE_SIMILARITY))
+            .join(firsts.withColumnsRenamed({"set_key": "a", "first_position": "a_first"}), ["event_id", "a"])
+            .join(firsts.withColumnsRenamed({"set_key": "b", "first_position": "b_first"}), ["event_id", "b"]))
     flipped = F.explode(F.array(F.struct("a", "b", F.col("b_first").alias("first_position")),
                                 F.struct(F.col("b").alias("a"), F.col("a").alias("b"),
                                          F.col("a_first").alias("first_position"))))
@@ -55,7 +48,7 @@ def _similar_sets(rows: DataFrame) -> DataFrame:
 def _first_within(rows: DataFrame, pairs: DataFrame, minutes: int) -> DataFrame:
     """Smallest position of a similar-titled source published within ``minutes`` of each row."""
     reach = minutes * 60_000_000
-    timed = rows.filter(F.col("micros").isNotNull() & (F.size("tokens") > 0))
+    timed = rows.filter(F.col("micros").isNotNull() & F.col("set_key").isNotNull())
     data = timed.groupBy("event_id", F.col("set_key").alias("b"), "micros").agg(
         F.min("position").alias("found")).withColumn("block", F.floor(F.col("micros") / reach))
     block = F.floor(F.col("micros") / reach)
@@ -90,9 +83,11 @@ def syndication_rules(sources: DataFrame) -> DataFrame:
         "upstream": empty_to_null(F.col("event_uri")),
         "tokens": token_set(F.col("source_title")),
         "micros": F.unix_micros("source_published_at"),
-    }).withColumn("set_key", F.when(F.size("tokens") > 0, F.md5(F.array_join("tokens", " "))))
+    }).withColumn("set_key", set_key(F.col("tokens")))
 
-    pairs = _similar_sets(rows)
+    # Rows feed every rule; words, families and domains are computed once.
+    rows = cut_lineage(rows)
+    pairs = cut_lineage(_similar_sets(rows))
     copies = pairs.filter(F.col("similarity") > F.lit(C.COPY_SIMILARITY)).groupBy(
         "event_id", F.col("a").alias("set_key")).agg(F.min("first_position").alias("title_first"))
     out = (rows.join(_first_position(rows, ["outlet"], "outlet_first"), ["event_id", "outlet"], "left")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tremorline.functions import constants as C
 from tremorline.functions.geo import haversine_miles
 from tremorline.functions.nested import extract_location
+from tremorline.functions.plan import once
 from tremorline.functions.scores import (initial_confidence, precision_passes, round3, round_to, type_severity,
                                          types_compatible, uncorroborated_cap)
 from tremorline.functions.text import clip, jaccard, outlet_family, token_set, url_domain
@@ -237,10 +238,8 @@ LOCATED = {
 @query(with_ctes("""SELECT ord, latitude, longitude, city, state, precision FROM located
 WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND NOT (latitude = 0 AND longitude = 0)""", "articles", **LOCATED))
 def article_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = extract_location(F.col("location"))
-    return articles(spark, sf_dir).select(
-        "ord", place.latitude.alias("latitude"), place.longitude.alias("longitude"), place.city.alias("city"),
-        place.state.alias("state"), place.precision.alias("precision")).filter("latitude is not null")
+    place = once(articles(spark, sf_dir).select("ord", "location"), "place", extract_location(F.col("location")))
+    return place.filter("place is not null").select("ord", "place.*")
 
 
 @query(with_ctes("""SELECT precision, minimum, count(*) AS articles,

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tremorline.functions import constants as C
 from tremorline.functions.nested import extract_location, first_labels, payload
+from tremorline.functions.plan import once
 from tremorline.functions.scores import initial_confidence, precision_passes, round3, type_severity
 from tremorline.functions.text import clip, empty_to_null
 from tremorline.functions.timefn import parse_published
@@ -43,11 +44,11 @@ def normalize_articles(articles: DataFrame, now: datetime | str | Column, lexico
         "categories": F.coalesce("categories", F.array().cast(ARTICLE["categories"].dataType)),
         "concepts": F.coalesce("concepts", F.array().cast(ARTICLE["concepts"].dataType)),
     }).filter(F.length("title") > 0)
-    place = extract_location(F.col("location"))
-    placed = clean.withColumns({
-        "latitude": place.latitude, "longitude": place.longitude, "city": place.city, "state": place.state,
-        "location_precision": place.precision}).filter(
-        F.col("latitude").isNotNull() & precision_passes(F.col("location_precision"), min_precision))
+    located = once(clean, "_place", extract_location(F.col("location"))).filter(
+        F.col("_place").isNotNull() & precision_passes(F.col("_place.precision"), min_precision))
+    placed = located.withColumns({
+        "latitude": F.col("_place.latitude"), "longitude": F.col("_place.longitude"), "city": F.col("_place.city"),
+        "state": F.col("_place.state"), "location_precision": F.col("_place.precision")})
     classified = classify(placed, lexicon, min_score).filter(F.col("class_type").isNotNull())
     uri = F.trim(F.coalesce("uri", F.lit("")))
     outlet = empty_to_null(F.trim("source.title"))
