@@ -21,15 +21,14 @@ EXPORT = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(C.E
 
 
 def _reader_options(reader):
-    # Short rows are malformed for a 61-column schema and show up in _bad_row; longer rows are cut to 61 columns
-    # and are flagged as well, so the field count is taken from the flagged text.
+    # Rows whose number of fields is not 61 are flagged, which the reader only notices when it parses all columns.
     return (reader.schema(EXPORT).option("sep", "\t").option("quote", '"').option("escape", '"')
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad_row")
-            .option("encoding", "UTF-8"))
+            .option("columnPruning", "false").option("encoding", "UTF-8"))
 
 
 def named_columns(raw: DataFrame) -> DataFrame:
-    """Rows with at least 61 fields, reduced to the 14 columns in use; null fields read as empty text."""
+    """Rows with at least 61 fields, reduced to the 14 columns in use; empty fields are empty text."""
     complete = F.col("_bad_row").isNull() | (F.size(F.split("_bad_row", "\t")) >= C.EXPORT_WIDTH)
     return raw.filter(complete).select(*[
         F.coalesce(F.col(f"c{i}"), F.lit("")).alias(name) for name, i in C.EXPORT_COLUMNS.items()])

@@ -34,10 +34,13 @@ def replace_snapshot(df: DataFrame, path: str, version: int) -> str:
 
 
 def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a table written by ``replace_snapshot``."""
-    every = spark.read.parquet(path)
-    newest = every.agg(F.max("version")).first()[0]
-    return every.filter(F.col("version") == newest).drop("version")
+    """The newest complete version of a table written by ``replace_snapshot``; it may be an empty one."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = fs_path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    versions = sorted(f.getPath().toString() for f in fs.listStatus(folder)
+                      if fs.exists(fs_path(f.getPath(), "_SUCCESS")))
+    return spark.read.parquet(versions[-1])
 
 
 def run_entry(spark: SparkSession, run_id: int, started_at: datetime | str | Column, source: str, status: str,
