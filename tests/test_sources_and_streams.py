@@ -167,6 +167,32 @@ def test_feeds(spark, tmp_path):
     assert store.latest(spark, "hotspots").count() == 0
 
 
+def test_new_incidents_from_articles(spark, tmp_path):
+    news = tmp_path / "news"
+    news.mkdir()
+    place = {"type": "city", "label": "Reno, NV", "lat": 39.5, "long": -119.8}
+    (news / "1.json").write_text("\n".join(json.dumps(a) for a in [
+        article("1", outlet="Times", ts="2025-03-15T10:00:00Z", location=place),
+        article("2", outlet="Globe", ts="2025-03-15T11:00:00Z", location=place),
+        article("3", title="Looting reported near market hall", outlet="Globe", location=place)]))
+    store = live.Store(str(tmp_path / "store"))
+    live.run_article_feed(spark, str(news), store, NOW, create_new=True)
+    assert {r["source_id"] for r in store.events(spark).collect()} == {"er-2", "er-3"}   # newest first opens
+    # The article that opened an incident does not corroborate it, and er-1 is a copy.
+    assert [(r["source_count"], r["confidence_score"]) for r in store.corroborated_events(spark).collect()] == [(1, 0.58)] * 2
+    assert {r["source_record_id"]: r["source_trust_weight"] for r in store.sources(spark).collect()} == {
+        "er-1": 0.0, "er-2": 1.0, "er-3": 1.0}
+    assert store.runs(spark).first()["events_inserted"] == 2
+
+
+def test_reset_and_samples(spark, tmp_path):
+    store = live.Store(str(tmp_path / "store"))
+    assert live.ingest_samples(spark, store, 1, NOW) == 16
+    assert live.ingest_samples(spark, store, 2, NOW) == 0
+    assert live.reset_and_seed(spark, store, NOW, 1).count() == 2
+    assert store.events(spark).count() == 16 and store.events(spark).select("id").distinct().count() == 16
+
+
 def test_failed_batch_is_recorded(spark, tmp_path):
     store = live.Store(str(tmp_path))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tremorline.functions import constants as C
 from tremorline.functions.text import jaccard, outlet_family, token_set, url_domain
-from tremorline.operators.classify import classify
+from tremorline.operators.classify import Lexicon, classify
 
 CONFLICT, SPORTS = ["dmoz/news/conflict_and_protest"], ["dmoz/sports/football"]
 
@@ -64,6 +64,14 @@ def test_min_score(spark):
     assert classify(df, min_score=0.5).first()["class_type"] == "protest"
 
 
+def test_whole_words(spark):
+    df = spark.createDataFrame([("Automobile show opens", "", [], []), ("A mob gathers", "", [], [])],
+                               "title string, body string, categories array<struct<uri:string>>, "
+                               "concepts array<struct<uri:string>>")
+    got = [r["class_type"] for r in classify(df, Lexicon(whole_words=True)).orderBy("title").collect()]
+    assert got == ["crowd_disruption", None]
+
+
 def _one(spark, column):
     return spark.range(1).select(column.alias("v")).first()["v"]
 

@@ -6,6 +6,7 @@ classified where it is read, with no join and no shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -31,6 +32,10 @@ class Lexicon:
     accident_exempt: Sequence[str] = field(default_factory=lambda: C.ACCIDENT_EXEMPT_SUBSTRINGS)
     excluded_domains: Sequence[str] = field(default_factory=lambda: C.EXCLUDED_DOMAINS)
     needs_support: Sequence[str] = field(default_factory=lambda: C.NEEDS_SUPPORT_TYPES)
+    whole_words: bool = False  # phrases normally match inside words as well: "mob" in "automobile"
+
+    def finds(self, text: Column, phrase: str) -> Column:
+        return text.rlike(rf"\b{re.escape(phrase)}\b") if self.whole_words else text.contains(phrase)
 
 
 DEFAULT_LEXICON = Lexicon()
@@ -92,8 +97,8 @@ def lexicon_hits(df: DataFrame, lexicon: Lexicon, title: str, body: str, support
     n, k = len(lexicon.phrases), len(lexicon.tokens)
     df = df.withColumns({"_low_title": F.lower(F.col(title)), "_low_body": F.lower(F.coalesce(F.col(body), F.lit(""))),
                          "_title_tokens": token_set(F.col(title)), "_supported": supported})
-    phrases = [F.when(F.col("_low_title").contains(p), _hit(s, i, t))
-               .when(F.col("_low_body").contains(p), _hit(s * C.BODY_PHRASE_WEIGHT, i, t))
+    phrases = [F.when(lexicon.finds(F.col("_low_title"), p), _hit(s, i, t))
+               .when(lexicon.finds(F.col("_low_body"), p), _hit(s * C.BODY_PHRASE_WEIGHT, i, t))
                for i, (p, t, s) in enumerate(lexicon.phrases)]
     titled = [F.when(F.array_contains("_title_tokens", w), _hit(s, n + i, t))
               for i, (w, t, s) in enumerate(lexicon.tokens)]
@@ -129,9 +134,9 @@ def classify(df: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, min_score: float
                 & ~hard_excluded(F.col(title), F.col("_title_tokens"), F.col(categories), lexicon)
                 & F.coalesce(score >= F.lit(min_score), F.lit(False)))
     in_title = F.lit(False)
-    for strict in lexicon.needs_support:
-        listed = [p for p, t, _ in lexicon.phrases if t == strict]
-        in_title = in_title | ((F.col("_best.event_type") == strict) & F.col("_low_title").rlike(any_of(listed)))
+    for phrase, kind, _ in lexicon.phrases:
+        if kind in lexicon.needs_support:
+            in_title = in_title | ((F.col("_best.event_type") == kind) & lexicon.finds(F.col("_low_title"), phrase))
     weak = (F.col("_best.event_type").isin(list(lexicon.needs_support)) & ~in_title
             & (F.col("_cat") == 0.0) & (F.col("_con") == 0.0))
     return df.select(

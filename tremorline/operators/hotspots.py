@@ -19,8 +19,14 @@ MEMBER_COLUMNS = ["id", "city", "state", "latitude", "longitude", "occurred_at",
 
 
 def cluster_window(events: DataFrame, now: datetime | str | Column, window_hours: int = C.CLUSTER_HOURS) -> DataFrame:
-    """Active incidents of the last 72 hours; incidents dated in the future stay in."""
-    return events.filter(F.col("is_active") & (F.col("occurred_at") >= instant(now) - hours(window_hours)))
+    """Active incidents of the last 72 hours; incidents dated in the future stay in.
+
+    A table partitioned by ``event_date`` (see ``append_events``) is read from the first day of the window on.
+    """
+    start = instant(now) - hours(window_hours)
+    if "event_date" in events.columns:
+        events = events.filter(F.col("event_date") >= F.to_date(start))
+    return events.filter(F.col("is_active") & (F.col("occurred_at") >= start))
 
 
 def state_group_key(state: Column) -> Column:

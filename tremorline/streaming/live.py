@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tremorline.functions import constants as C
@@ -17,6 +17,7 @@ from tremorline.functions.timefn import hours, instant
 from tremorline.operators.classify import DEFAULT_LEXICON, Lexicon
 from tremorline.operators.corroboration import apply_corroboration, corroboration_counts, provenance_rows
 from tremorline.operators.dedup import exact_dedup
+from tremorline.operators.discovery import discover_novel
 from tremorline.operators.hotspots import assign_clusters, compute_hotspots
 from tremorline.operators.matching import best_match
 from tremorline.operators.syndication import syndication_rules
@@ -25,6 +26,7 @@ from tremorline.session import cut_lineage
 from tremorline.sources import articles as A
 from tremorline.sources import exports as X
 from tremorline.sources import sinks
+from tremorline.sources.samples import sample_events
 
 
 @dataclass(frozen=True)
@@ -55,11 +57,24 @@ class Store:
         return sinks.current_runs(self._read(spark, "runs", INGEST_RUN))
 
     def corroborated_events(self, spark: SparkSession) -> DataFrame:
-        """Incidents with the source counts and confidence their provenance gives them."""
-        return apply_corroboration(self.events(spark), corroboration_counts(self.sources(spark)))
+        """Incidents with the source counts and confidence their provenance gives them.
 
-    def write_batch(self, df: DataFrame, name: str, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path(name)}/batch={batch:012d}")
+        The article that opened an incident is its first source, not a corroboration of it.
+        """
+        events, sources = self.events(spark), self.sources(spark)
+        openers = events.filter(F.col("source_name") == C.ARTICLE_FEED).select(
+            F.col("id"), F.col("source_id"), F.col("title"), F.col("occurred_at"))
+        others = sources.join(openers, (sources["event_id"] == openers["id"])
+                              & sources["source_record_id"].eqNullSafe(openers["source_id"])
+                              & (sources["source_title"] == openers["title"])
+                              & (sources["source_published_at"] == openers["occurred_at"]), "left_anti")
+        return apply_corroboration(events, corroboration_counts(others))
+
+    def batch_path(self, name: str, feed: str, batch: int) -> str:
+        return f"{self.path(name)}/batch={feed}-{batch:012d}"
+
+    def write_batch(self, df: DataFrame, name: str, feed: str, batch: int) -> None:
+        df.write.mode("overwrite").parquet(self.batch_path(name, feed, batch))
 
     def latest(self, spark: SparkSession, name: str) -> DataFrame:
         return sinks.latest_snapshot(spark, self.path(name))
@@ -75,19 +90,44 @@ def dedup_stream(df: DataFrame, keep: str = "24 hours", key: str = "source_id",
     return df.withWatermark(ts, keep).dropDuplicatesWithinWatermark([key])
 
 
-def with_ids(rows: DataFrame, batch: int) -> DataFrame:
-    """Give new incidents ids that are unique across batches and the same when a batch is repeated.
+FEED_NUMBER = {C.CODED_FEED: 0, C.ARTICLE_FEED: 1, C.SAMPLE_FEED: 2}
+ROWS_PER_BATCH = 1 << 40
+
+
+def batch_number(feed: str, batch: int) -> int:
+    """Number of a batch among those of all feeds."""
+    return batch * 4 + FEED_NUMBER[feed]
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str, first: int) -> DataFrame:
+    """Number rows from ``first`` on, in ``order``, or as they lie when there is none.
 
-    The batch fills the high bits; within a batch ids follow from the content of ``source_id``, which is unique there.
+    Sorting is a range sort and rows are numbered where they are; the only thing put in one place is a count per
+    partition.
     """
-    key = F.coalesce("source_id", F.concat_ws("|", "title", F.col("occurred_at").cast("string"),
-                                              F.col("latitude").cast("string"), F.col("longitude").cast("string")))
-    return rows.withColumn("id", F.lit(batch) * F.lit(1 << 48) + F.pmod(F.xxhash64(key), F.lit(1 << 48)))
+    rows = rows.orderBy(*order) if order else rows
+    marked = cut_lineage(rows.withColumn("_at", F.monotonically_increasing_id()))
+    parts = marked.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("n"), F.min("_at").alias("_start"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", "_start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_skip"))
+    number = F.col("_skip") + F.col("_at") - F.col("_start") + F.lit(first)
+    return (marked.withColumn("_part", F.shiftright("_at", 33)).join(parts, "_part").withColumn(name, number)
+            .drop("_at", "_part", "_start", "_skip"))
+
+
+def with_ids(rows: DataFrame, feed: str, batch: int) -> DataFrame:
+    """Give new incidents unique ids: the batch in the high bits, then a running number within the batch."""
+    return numbered(rows.drop("id"), [], "id", batch_number(feed, batch) * ROWS_PER_BATCH)
+
+
+def of_other_batches(events: DataFrame, feed: str, batch: int) -> DataFrame:
+    """Incidents without those an earlier attempt at this batch has written."""
+    return events.filter(F.floor(F.col("id") / F.lit(ROWS_PER_BATCH)) != batch_number(feed, batch))
 
 
 def _logged(spark: SparkSession, store: Store, batch: int, source: str, now, work) -> None:
     """Run ``work() -> rows inserted`` between log entries; a failure is recorded, not raised."""
-    run_id = batch * 16 + {C.CODED_FEED: 0, C.ARTICLE_FEED: 1}.get(source, 2)
+    run_id = batch_number(source, batch)
     sinks.append_rows(sinks.run_entry(spark, run_id, now, source, "running"), store.path("runs"))
     try:
         inserted = work()
@@ -97,14 +137,35 @@ def _logged(spark: SparkSession, store: Store, batch: int, source: str, now, wor
     sinks.append_rows(done, store.path("runs"))
 
 
+def _append(fresh: DataFrame, store: Store, feed: str, batch: int) -> int:
+    store.write_batch(with_ids(fresh, feed, batch).select(*EVENT.fieldNames()), "events", feed, batch)
+    return fresh.sparkSession.read.parquet(store.batch_path("events", feed, batch)).count()
+
+
+def _stored_of(spark: SparkSession, store: Store, feed: str, batch: int) -> DataFrame:
+    # Ids carry the name of their feed, so only incidents of the same feed can repeat one; the filter reaches the scan.
+    return of_other_batches(store.events(spark).filter(F.col("source_name") == feed), feed, batch)
+
+
 def ingest_exports(rows: DataFrame, store: Store, batch: int, now: datetime | str | Column) -> int:
     """Normalise a batch of export rows and append what is new; returns the number of new incidents."""
-    spark = rows.sparkSession
-    fresh = as_events(X.normalize_export(rows), instant(now))
-    earlier = store.events(spark).filter(F.floor(F.col("id") / F.lit(1 << 48)) != batch)
-    fresh = with_ids(exact_dedup(fresh, earlier, ["occurred_at", "title", "source_url"]), batch)
-    store.write_batch(fresh.select(*EVENT.fieldNames()), "events", batch)
-    return spark.read.parquet(f"{store.path('events')}/batch={batch:012d}").count()
+    earlier = _stored_of(rows.sparkSession, store, C.CODED_FEED, batch)
+    fresh = exact_dedup(X.normalize_export(rows), earlier, ["occurred_at", "title", "source_url"])
+    return _append(as_events(fresh, instant(now)), store, C.CODED_FEED, batch)
+
+
+def ingest_samples(spark: SparkSession, store: Store, batch: int, now: datetime | str | Column) -> int:
+    """Append the sample incidents that are not stored yet."""
+    fresh = exact_dedup(sample_events(spark, now), _stored_of(spark, store, C.SAMPLE_FEED, batch), ["occurred_at"])
+    return _append(as_events(fresh, instant(now)), store, C.SAMPLE_FEED, batch)
+
+
+def reset_and_seed(spark: SparkSession, store: Store, now: datetime | str | Column, version: int) -> DataFrame:
+    """Replace all incidents by the samples and recompute hotspots; provenance and run log stay."""
+    samples = with_ids(as_events(sample_events(spark, now), instant(now)), C.SAMPLE_FEED, 0).select(*EVENT.fieldNames())
+    (samples.withColumn("batch", F.lit(f"{C.SAMPLE_FEED}-{0:012d}")).write.mode("overwrite").partitionBy("batch")
+     .parquet(store.path("events")))
+    return refresh_hotspots(spark, store, now, version)
 
 
 def run_export_feed(spark: SparkSession, landed: str, store: Store, now: datetime | str | Column,
@@ -123,22 +184,40 @@ def run_export_feed(spark: SparkSession, landed: str, store: Store, now: datetim
 
 
 def ingest_articles(rows: DataFrame, store: Store, batch: int, now: datetime | str | Column,
-                    lexicon: Lexicon = DEFAULT_LEXICON, min_precision: str = "city") -> int:
-    """Classify a batch of articles, match them to stored incidents and append their provenance."""
+                    lexicon: Lexicon = DEFAULT_LEXICON, min_precision: str = "city", create_new: bool = False,
+                    max_new: int = C.MAX_NEW_EVENTS) -> int:
+    """Classify a batch of articles, match them to stored incidents and append their provenance.
+
+    With ``create_new``, articles that match nothing open new incidents, at most ``max_new`` per batch; their number
+    is returned.  Without a feed position ``ord``, newer articles come first.
+    """
     spark = rows.sparkSession
-    if "ord" not in rows.columns:
+    fed = "ord" in rows.columns
+    if not fed:
         rows = rows.withColumn("ord", F.xxhash64("uri", "url", "title"))
     normal = cut_lineage(A.normalize_articles(rows, now, lexicon, min_precision=min_precision))
     span = normal.agg(F.min("occurred_at").alias("lo"), F.max("occurred_at").alias("hi")).first()
-    known = store.events(spark)
     if span["lo"] is None:
         return 0
+    known = of_other_batches(store.events(spark), C.ARTICLE_FEED, batch)
     near = known.filter(F.col("occurred_at").between(F.lit(span["lo"]) - hours(C.MATCH_HOURS),
                                                      F.lit(span["hi"]) + hours(C.MATCH_HOURS)))
-    new = normal.join(known.select("source_id"), "source_id", "left_anti")
-    matched = new.join(best_match(new, near).select("ord", "event_id"), "ord")
-    arrived = matched.select(
-        "event_id", F.struct(F.lit(batch).alias("batch"), "ord").alias("position"),
+    new = exact_dedup(normal, _stored_of(spark, store, C.ARTICLE_FEED, batch), ["ord"])
+    if not fed:
+        new = numbered(new.drop("ord"), [F.desc("occurred_at"), F.asc("source_id"), F.asc("title")], "ord", 1)
+    new = cut_lineage(new)
+    inserted = 0
+    if create_new:
+        base = batch_number(C.ARTICLE_FEED, batch) * ROWS_PER_BATCH
+        opened, matches = discover_novel(new, near, max_new, id_offset=base)
+        opened = cut_lineage(opened)
+        inserted = opened.count()
+        store.write_batch(as_events(opened, instant(now)), "events", C.ARTICLE_FEED, batch)
+        matches = matches.select("ord", "event_id").unionByName(opened.select("ord", F.col("id").alias("event_id")))
+    else:
+        matches = best_match(new, near).select("ord", "event_id")
+    arrived = new.join(matches, "ord").select(
+        "event_id", F.struct(F.lit(batch).cast("long").alias("batch"), "ord").alias("position"),
         F.col("source_id").alias("source_record_id"), F.col("outlet").alias("source_name"), "source_url",
         F.col("title").alias("source_title"), F.col("occurred_at").alias("source_published_at"), "event_uri",
         "location_precision", F.col("raw_payload_json").alias("metadata_json"))
@@ -151,17 +230,18 @@ def ingest_articles(rows: DataFrame, store: Store, batch: int, now: datetime | s
         F.get_json_object("metadata_json", "$.er_event_uri").alias("event_uri"), "location_precision", "metadata_json")
     judged = syndication_rules(arrived.unionByName(earlier)).filter(F.col("position.batch") == batch)
     rows_out = provenance_rows(judged.withColumn("id", F.lit(batch).cast("long")), now)
-    store.write_batch(rows_out, "sources", batch)
-    return 0
+    store.write_batch(rows_out, "sources", C.ARTICLE_FEED, batch)
+    return inserted
 
 
 def run_article_feed(spark: SparkSession, landed: str, store: Store, now: datetime | str | Column,
-                     lexicon: Lexicon = DEFAULT_LEXICON, min_precision: str = "city", once: bool = True):
+                     lexicon: Lexicon = DEFAULT_LEXICON, min_precision: str = "city", create_new: bool = False,
+                     once: bool = True):
     """Follow a folder of landed articles."""
 
     def handle(rows: DataFrame, batch: int) -> None:
         _logged(rows.sparkSession, store, batch, C.ARTICLE_FEED, now,
-                lambda: ingest_articles(rows, store, batch, now, lexicon, min_precision))
+                lambda: ingest_articles(rows, store, batch, now, lexicon, min_precision, create_new))
 
     writer = (A.stream_articles(spark, landed).writeStream.foreachBatch(handle)
               .option("checkpointLocation", store.path("_articles_checkpoint")))
