@@ -68,15 +68,21 @@ def ev(i, title="Protest march downtown seattle", lat=47.6, lon=-122.3, ts=T0, k
     return (i, title, lat, lon, ts, kind, on)
 
 
-@pytest.mark.parametrize("event,hit", [
+GATES = [
     (ev(1), True), (ev(1, on=False), False), (ev(1, ts=T0 - timedelta(hours=48)), True),
     (ev(1, ts=T0 + timedelta(hours=48, seconds=1)), False), (ev(1, lat=48.3), True), (ev(1, lat=48.4), False),
     (ev(1, title="Something else entirely different"), False), (ev(1, kind="political_violence"), True),
     # three of five words shared: 0.6 is below 0.4 + 0.2 in doubles, so incompatible types do not match
     (ev(1, title="Protest march downtown portland", kind="political_violence"), False),
-    (ev(1, title="Protest march downtown portland", kind="unrest"), True), (ev(1, title=""), False)])
-def test_gates(spark, event, hit):
-    assert (1 in matched(spark, [art(1)], [event])) is hit
+    (ev(1, title="Protest march downtown portland", kind="unrest"), True), (ev(1, title=""), False)]
+
+
+def test_gates(spark):
+    """Each case in its own part of the world, 10 degrees of longitude apart."""
+    articles = [art(i, lon=-122.3 + 10 * i) for i in range(len(GATES))]
+    events = [(i, e[1], e[2], -122.3 + 10 * i, *e[4:]) for i, (e, _) in enumerate(GATES)]
+    got = matched(spark, articles, events)
+    assert [i in got for i in range(len(GATES))] == [hit for _, hit in GATES]
 
 
 def test_ties_go_to_the_lowest_id_and_nearest_time_wins(spark):
@@ -124,7 +130,7 @@ def rules(spark, rows):
 TITLE = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
 
 
-@pytest.mark.parametrize("first,second,want", [
+RULE_CASES = [
     (src(1, "Seattle Times"), src(2, "seattle times"), {"same_outlet"}),
     (src(1, ""), src(2, ""), set()), (src(1), src(2), set()),
     (src(1, "AP News"), src(2, "Associated Press"), {"same_family"}),
@@ -138,11 +144,16 @@ TITLE = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     (src(1, title=TITLE, ts=T0), src(2, title=TITLE + " lambda omicron", ts=T0 + timedelta(minutes=30)), {"rapid_rewrite"}),
     (src(1, title=TITLE, ts=T0), src(2, title=TITLE + " lambda omicron", ts=T0 - timedelta(minutes=29)), {"rapid_rewrite"}),
     (src(1, title=TITLE, ts=T0), src(2, title=TITLE + " lambda omicron", ts=T0 + timedelta(minutes=31)), set()),
-    (src(1, "Reuters", event=1), src(2, "Reuters", event=2), set())])
-def test_rules(spark, first, second, want):
-    got = rules(spark, [first, second])
-    assert got[(first[0], 1)] == set()
-    assert got[(second[0], 2)] == want
+    (src(1, "Reuters", event=1), src(2, "Reuters", event=2), set())]
+
+
+def test_rules(spark):
+    """Each case with incidents of its own."""
+    rows = [(100 * i + r[0], *r[1:]) for i, (a, b, _) in enumerate(RULE_CASES) for r in (a, b)]
+    got = rules(spark, rows)
+    for i, (first, second, want) in enumerate(RULE_CASES):
+        assert got[(100 * i + first[0], 1)] == set(), i
+        assert got[(100 * i + second[0], 2)] == want, i
 
 
 @pytest.mark.parametrize("seed", [1, 2])

@@ -11,6 +11,7 @@ from tremorline.functions.nested import json_field
 from tremorline.functions.scores import round_to
 from tremorline.operators.dedup import exact_dedup
 from tremorline.plans.registry import query
+from tremorline.plans.text_queries import CLASSIFIED, LOCATED
 from tremorline.plans.views import (NOW, NOW_SQL, TEST_LEXICON, export_rows, incidents, r_sql, raw_articles, run_log,
                                     table, with_ctes)
 from tremorline.schemas import EVENT, as_events, conform
@@ -152,9 +153,19 @@ def run_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query()
+_SEVERITY = " ".join(f"WHEN '{t}' THEN {v}::DOUBLE" for t, v in C.TYPE_SEVERITY.items())
+
+
+@query(with_ctes(f"""SELECT a.ord, concat('er-', CAST(a.ord AS VARCHAR)) AS source_id, trim(a.title) AS title,
+  nullif(trim(substring(trim(a.body), 1, 500)), '') AS summary, c.class_type AS event_type, l.city, l.state, l.latitude,
+  l.longitude, {r_sql('greatest(0.15::DOUBLE, least(1::DOUBLE, 0.3::DOUBLE + 0.2::DOUBLE * c.class_score + CASE l.precision '
+                      "WHEN 'venue' THEN 0.12::DOUBLE WHEN 'city' THEN 0.08::DOUBLE ELSE 0::DOUBLE END))")} AS confidence_score,
+  CASE c.class_type {_SEVERITY} ELSE 0.5::DOUBLE END AS severity_score, l.precision AS location_precision, a.outlet
+FROM articles a JOIN classified c USING (ord) JOIN located l USING (ord)
+WHERE l.latitude IS NOT NULL AND l.longitude IS NOT NULL AND NOT (l.latitude = 0 AND l.longitude = 0)""",
+                 "articles", **CLASSIFIED, **LOCATED))
 def article_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw feed articles to canonical rows (classification, location and dates are checked one by one above)."""
+    """Raw feed articles to canonical rows."""
     out = A.normalize_articles(raw_articles(spark, sf_dir), NOW, TEST_LEXICON, min_precision="state")
     return out.select("ord", "source_id", "title", "summary", "event_type", "city", "state", "latitude", "longitude",
                       "confidence_score", "severity_score", "location_precision", "outlet")

@@ -113,8 +113,8 @@ _IN_TITLE = " OR ".join(
     for t, ps in _STRICT_PHRASES.items())
 
 
-@query(with_ctes(f"""SELECT ord, CASE WHEN weak THEN 'unrest' ELSE kind END AS class_type,
-  floor((CASE WHEN weak THEN least(total, 0.6::DOUBLE) ELSE total END) * 1e6 + 0.5::DOUBLE) / 1e6 AS class_score FROM (
+CLASSIFIED = {**_LEX, "classified": f"""SELECT ord, CASE WHEN weak THEN 'unrest' ELSE kind END AS class_type,
+    CASE WHEN weak THEN least(total, 0.6::DOUBLE) ELSE total END AS class_score FROM (
   SELECT b.ord, b.kind, least(1::DOUBLE, b.score + (s.cat + s.con)) AS total,
     b.kind IN ('vandalism_tied_to_unrest', 'crowd_disruption') AND NOT ({_IN_TITLE}) AND s.cat = 0 AND s.con = 0 AS weak
   FROM (SELECT ord, kind, max(score) AS score, min(idx) AS first FROM (
@@ -123,7 +123,11 @@ _IN_TITLE = " OR ".join(
     QUALIFY row_number() OVER (PARTITION BY ord ORDER BY max(score) DESC, min(idx)) = 1) b
   JOIN boosts s USING (ord) JOIN toks t USING (ord)
   WHERE title <> '' AND NOT ({_OPINION} OR {_EXCLUDED_CATS} OR {_WEATHER} OR {_ACCIDENT}))
-WHERE total >= 0.6::DOUBLE""", "articles", **_LEX))
+  WHERE total >= 0.6::DOUBLE"""}
+
+
+@query(with_ctes("SELECT ord, class_type, floor(class_score * 1e6 + 0.5::DOUBLE) / 1e6 AS class_score FROM classified",
+                 "articles", **CLASSIFIED))
 def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = K.classify(articles(spark, sf_dir), LEX).filter("class_type is not null")
     return out.select("ord", "class_type", round_to(F.col("class_score"), 6).alias("class_score"))
