@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tremorline.llm import decontaminate, simhash  # noqa: F401
+from tremorline.llm import decontaminate, sharding, simhash  # noqa: F401
 from tremorline.llm.common import ORACLES, QUERIES  # noqa: F401
