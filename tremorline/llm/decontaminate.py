@@ -21,8 +21,8 @@ END = "\n"  # no word contains it
 
 def words_of(text: Column) -> Column:
     """The words of a text: runs of ASCII letters, digits and all other characters; A-Z lower-cased; null has none."""
-    plain = F.trim(F.translate(F.coalesce(text, F.lit("")), UPPER + NOT_WORD, UPPER.lower() + " " * len(NOT_WORD)))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " +"))
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + NOT_WORD, UPPER.lower() + " " * len(NOT_WORD))
+    return F.array_remove(F.split(plain, " +"), "")
 
 
 def word_counts(docs: DataFrame, text_col: str, wanted: DataFrame, per_pass: int = 50_000) -> DataFrame:
@@ -99,9 +99,14 @@ def contaminated_words(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     right = F.slice(words, pos + 2, window - 1)
 
     def runs(part: DataFrame) -> DataFrame:
-        return (tokens.join(F.broadcast(part), "word")
-                .select("_row", "_id", "item", "need", F.size(words).alias("n"), pos.alias("pos"),
-                        _matched(left, F.col("before")).alias("l"), _matched(right, F.col("after")).alias("r")))
+        # Slices stay in generated code; the extension is a generator, so no filter on it slips into the join.
+        near = (tokens.join(F.broadcast(part), "word")
+                .select("_row", "_id", "item", "need", "before", "after", F.size(words).alias("n"), pos.alias("pos"),
+                        left.alias("_left"), right.alias("_right")))
+        extents = F.array(F.struct(_matched(F.col("_left"), F.col("before")).alias("l"),
+                                   _matched(F.col("_right"), F.col("after")).alias("r")))
+        return (near.select("_row", "_id", "item", "need", "n", "pos", F.explode(extents).alias("e"))
+                .select("_row", "_id", "item", "need", "n", "pos", "e.l", "e.r"))
 
     marked = found.unionByName(mark)
     hits = (_over_passes(marked, per_pass, runs)
