@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tremorline.llm import decontaminate, fingerprint, mixing, quality, sharding, simhash, toxicity  # noqa: F401
+from tremorline.llm import decontaminate, fingerprint, mixing, quality, repeats, sharding, simhash, toxicity  # noqa: F401
 from tremorline.llm.common import ORACLES, QUERIES  # noqa: F401
