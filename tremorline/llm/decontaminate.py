@@ -124,6 +124,20 @@ def contaminated_words(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
             .select(F.col("_id").alias(id_col), "n_words", "n_hit", "items", "hits"))
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                         item_col: str = "item_id", window: int = 10) -> DataFrame:
+    """``docs`` without the rows that hold an item window; the columns are those of ``docs``."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    own = dict(zip(docs.columns, names))
+    plain = docs.toDF(*names)
+    key = [F.coalesce(F.col(own[id_col]).cast("string"), F.lit("")).alias("_k"),
+           F.xxhash64(F.coalesce(F.col(own[text_col]), F.lit(""))).alias("_h")]
+    found = contaminated_words(plain.select(F.struct(*key).alias("_key"), F.col(own[text_col]).alias("text")),
+                               items.select(F.col(item_col).alias("item_id"), F.col("text")), "_key", "text", "item_id", window)
+    gone = cut_lineage(found.where("n_hit > 0").select("_key._k", "_key._h").distinct())
+    return plain.select("*", *key).join(gone, ["_k", "_h"], "left_anti").select(*(F.col(v).alias(k) for k, v in own.items()))
+
+
 SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

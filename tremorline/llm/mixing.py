@@ -114,13 +114,13 @@ def with_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text")
             .drop("_tokens", "_statistics", "_logs", "_shares"))
 
 
-def fitted_steps(weighted: DataFrame, domains: tuple[str, ...], targets: dict[str, float], tolerance: float = 1e-4,
-                 max_steps: int = 60) -> list[list[float]]:
+def fitted_steps(weighted: DataFrame, domains: tuple[str, ...], targets: dict[str, float], keep: str | None = None,
+                 tolerance: float = 1e-4, max_steps: int = 60) -> list[list[float]]:
     """Projected gradient steps, as the amounts each takes off a rate per share of posterior.
 
     ``weighted`` has ``tokens`` and ``posterior``.  The objective is half the sum over domains of (expected tokens -
-    target) squared over the natural tokens of the domain, the target being its share of all tokens; lengths of rates
-    are weighted by tokens, which makes 1 a safe step.  Domains without a target aim at 0; domains without tokens are
+    target) squared over the natural tokens of the domain, the target being its share of all tokens, or of as many as
+    leave the domain ``keep`` as it is; lengths of rates are weighted by tokens, which makes 1 a safe step.  Domains without a target aim at 0; domains without tokens are
     left out; targets are rescaled to add up to 1.
     """
     share = [F.col("posterior")[i] for i in range(len(domains))]
@@ -134,6 +134,8 @@ def fitted_steps(weighted: DataFrame, domains: tuple[str, ...], targets: dict[st
     whole, asked = sum(natural), [targets.get(d, 0.0) for d in domains]
     if not whole or not sum(asked):
         return []
+    if keep in domains and targets.get(keep) and natural[domains.index(keep)]:
+        whole = natural[domains.index(keep)] * sum(asked) / targets[keep]
     goal = [whole * a / sum(asked) for a in asked]
     steps: list[list[float]] = []
     now = natural
@@ -161,7 +163,7 @@ def copies(rate_col: Column, *key: Column) -> Column:
 
 
 def mixing_rates(docs: DataFrame, examples: DataFrame, targets: dict[str, float], id_col: str = "doc_id",
-                 text_col: str = "text", **training) -> tuple[DataFrame, DomainModel, list[list[float]]]:
+                 text_col: str = "text", keep: str | None = None, **training) -> tuple[DataFrame, DomainModel, list[list[float]]]:
     """One slim row per row of ``docs`` (``_id, tokens, posterior, rate``), the model and the steps.
 
     Null and empty texts have no tokens and get the rate of their posterior; null ids and repeated rows stay; an empty
@@ -170,17 +172,17 @@ def mixing_rates(docs: DataFrame, examples: DataFrame, targets: dict[str, float]
     model = train(docs, examples, id_col, text_col, **training)
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     weighted = cut_lineage(with_posteriors(slim, model, "_text").select("_id", "tokens", "posterior"))
-    steps = fitted_steps(weighted, model.domains, targets)
+    steps = fitted_steps(weighted, model.domains, targets, keep)
     return weighted.withColumn("rate", rate(steps)), model, steps
 
 
 def mixed(docs: DataFrame, examples: DataFrame, targets: dict[str, float], id_col: str = "doc_id",
-          text_col: str = "text", **training) -> DataFrame:
+          text_col: str = "text", keep: str | None = None, **training) -> DataFrame:
     """``docs`` with each row as often as its rate says; the columns are those of ``docs``.
 
     A rate depends on the posterior only, so it is evaluated again next to the text and no text is shuffled.
     """
-    _, model, steps = mixing_rates(docs, examples, targets, id_col, text_col, **training)
+    _, model, steps = mixing_rates(docs, examples, targets, id_col, text_col, keep, **training)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     own = dict(zip(docs.columns, names))
     plain = docs.toDF(*names)

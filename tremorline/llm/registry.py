@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tremorline.llm import decontaminate, fingerprint, mixing, quality, repeats, sharding, simhash, toxicity  # noqa: F401
-from tremorline.llm.common import ORACLES, QUERIES  # noqa: F401
+from tremorline.llm.common import ORACLES, QUERIES
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
