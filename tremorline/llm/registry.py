@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tremorline.llm import decontaminate, fingerprint, mixing, quality, repeats, sharding, simhash, toxicity  # noqa: F401
+from tremorline.llm import chat, decontaminate, fingerprint, mixing, quality, repeats, sharding, simhash, toxicity  # noqa: F401
 from tremorline.llm.common import ORACLES, QUERIES
 
 QUERIES["pipeline"] = corpus_pipeline.run
