@@ -318,7 +318,7 @@ def _finish(window: int):
     return work
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, tie, text, doc``: ``tie`` tells rows of one id apart (0 where no id is repeated, which is looked up first)."""
     slim = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -342,7 +342,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 2 <= window <= 512:
         raise ValueError("window must be from 2 to 512 bytes")
     small_batches(docs.sparkSession)
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = keyed(docs, id_col, text_col)
     runs = keyed.select("id", "tie", "text").mapInArrow(_runs_of(window), RUNS)
     marked = cut_lineage(runs.repartition("digit").sortWithinPartitions("digit", "run", "id", "tie", "place")
                          .mapInArrow(_mark, "digit long, id long, tie long, place long"))
