@@ -342,21 +342,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 2 <= window <= 512:
         raise ValueError("window must be from 2 to 512 bytes")
     small_batches(docs.sparkSession)
-    keyed = keyed(docs, id_col, text_col)
-    runs = keyed.select("id", "tie", "text").mapInArrow(_runs_of(window), RUNS)
+    own = keyed(docs, id_col, text_col)
+    runs = own.select("id", "tie", "text").mapInArrow(_runs_of(window), RUNS)
     marked = cut_lineage(runs.repartition("digit").sortWithinPartitions("digit", "run", "id", "tie", "place")
                          .mapInArrow(_mark, "digit long, id long, tie long, place long"))
     compare = marked.where("digit is not null")
     crowds = compare.groupBy("digit").agg((F.count("*") > crowd).alias("crowded")).where("crowded")
     wanted = (compare.join(crowds, "digit", "left").groupBy("id", "tie")
               .agg(F.collect_list(F.struct("digit", "place", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("wanted")))
-    pieces = (keyed.select("id", "tie", "text").join(wanted, ["id", "tie"]).select("id", "tie", "text", "wanted")
+    pieces = (own.select("id", "tie", "text").join(wanted, ["id", "tie"]).select("id", "tie", "text", "wanted")
               .mapInArrow(_cut_out(window), f"{RUNS}, piece binary"))
     found = (pieces.repartition("digit").sortWithinPartitions("digit", "run", "id", "tie", "place")
              .mapInArrow(_compare(window), "id long, tie long, place long"))
     settled = (marked.where("digit is null").select("id", "tie", "place").unionByName(found).groupBy("id", "tie")
                .agg(F.collect_list("place").alias("places")))
-    return (keyed.join(settled, ["id", "tie"], "left").select("doc", "text", "places")
+    return (own.join(settled, ["id", "tie"], "left").select("doc", "text", "places")
             .mapInArrow(_finish(window), "id long, n_bytes long, kept binary, spans array<struct<start:long,stop:long>>")
             .withColumnRenamed("id", id_col))
 
