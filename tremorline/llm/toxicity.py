@@ -77,10 +77,12 @@ def counted(texts: pa.Array, orders: tuple[int, ...], bits: int, column: np.ndar
         lead = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
         ends = np.cumsum(lead)[np.cumsum(at[i + 1:j + 1] - at[i:j] + 2 * longest) - 1]
         found = []
-        for b, _ in _gram_buckets(points, orders, bits):
+        for b, n in _gram_buckets(points, orders, bits):
             k = column[b]
             hit = np.flatnonzero(k >= 0)
-            found.append(np.searchsorted(ends, hit, "right") * width + k[hit])
+            own = np.searchsorted(ends, hit, "right")
+            inside = hit + n <= ends[own]  # no n-gram reaches into the next text
+            found.append(own[inside] * width + k[hit[inside]])
         keys, counts = np.unique(np.concatenate(found), return_counts=True)
         yield i, j, keys, counts
 
