@@ -153,7 +153,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row per row of ``docs``: id, ``text`` without recurring lines, ``n_lines`` (not blank) and ``dropped`` numbers.
 
     A line matches a template if it agrees with at least ``agree`` of its constant fields.  Lines end at line breaks;
-    blank lines stay.  Rows equal in id and text are one document, listed as often; null ids are an id; null texts are
+    blank lines stay.  Every row counts as a document, repeated rows too; null ids are an id; null texts are
     empty; an empty table gives an empty table; other columns are ignored.
     """
     small_batches(docs.sparkSession)
