@@ -10,7 +10,7 @@ from tremorline.operators.classify import Lexicon, classify
 CONFLICT, SPORTS = ["dmoz/news/conflict_and_protest"], ["dmoz/sports/football"]
 
 CASES = [  # title, body, categories, concepts, expected type, expected score (None: do not check)
-    ("Police clash with demonstrators outside state capitol", "", [], [], "police_clash", 0.85),
+    ("Police clash near the harbour as a march ends", "", [], [], "police_clash", 0.85),
     ("Tear gas used downtown", "", CONFLICT, [], "police_clash", 1.0),
     ("Hundreds protest new law", "", [], [], "protest", 0.65),
     ("Hundreds rally at city hall", "", [], [], None, None),                       # 0.55 is below the bar

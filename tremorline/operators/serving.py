@@ -155,20 +155,18 @@ def imprecise_count(members: DataFrame, by: str) -> DataFrame:
 def hotspot_summary(hotspots: DataFrame, members: DataFrame, by: str = "hotspot_id") -> DataFrame:
     """``id, summary``: one sentence per hotspot, with its dominant type and a note on imprecise members."""
     facts = dominant_type(members, by).join(imprecise_count(members, by), by).withColumnRenamed(by, "id")
-    trend = (F.when(F.col("trend_state") == "escalating", F.lit("Escalating"))
-             .when(F.col("trend_state") == "declining", F.lit("Declining")).otherwise(F.lit("Ongoing")))
-    severity = (F.when(F.col("severity_score") >= F.lit(0.8), F.lit("high-severity"))
-                .when(F.col("severity_score") >= F.lit(0.5), F.lit("moderate-severity"))
-                .otherwise(F.lit("low-severity")))
-    head = F.concat(trend, F.lit(" "), severity, F.lit(" cluster · "), plural(F.col("event_count"), "event"),
-                    F.lit(" · priority "),
+    trend, severity = F.lit(C.TREND_WORD_OTHERWISE), F.lit(C.SEVERITY_WORD_OTHERWISE)
+    for state, word in C.TREND_WORDS.items():
+        trend = F.when(F.col("trend_state") == state, F.lit(word)).otherwise(trend)
+    for least, word in reversed(C.SEVERITY_WORDS):  # the highest threshold is asked first
+        severity = F.when(F.col("severity_score") >= F.lit(least), F.lit(word)).otherwise(severity)
+    head = F.concat(trend, F.lit(" "), severity, F.lit(C.SUMMARY_CLUSTER), plural(F.col("event_count"), "event"),
+                    F.lit(C.SUMMARY_PRIORITY),
                     F.floor(F.col("priority_score") * F.lit(100.0) + F.lit(0.5)).cast("string"), F.lit("."))
-    kind = F.coalesce(F.concat(F.lit(" Predominant type: "), F.col("dominant_type"), F.lit(".")), F.lit(""))
+    kind = F.coalesce(F.concat(F.lit(C.SUMMARY_TYPE), F.col("dominant_type"), F.lit(".")), F.lit(""))
     n, all_members = F.coalesce("imprecise", F.lit(0)), F.coalesce("members", F.lit(0))
-    note = (F.when((n > 0) & (n == all_members),
-                   F.lit(" Regional aggregate — all signals are state-level. Location is approximate."))
-            .when(n > 0, F.concat(F.lit(" "), plural(n, "event"),
-                                  F.lit(" with imprecise location — cluster label may be approximate.")))
+    note = (F.when((n > 0) & (n == all_members), F.lit(C.SUMMARY_ALL_IMPRECISE))
+            .when(n > 0, F.concat(F.lit(" "), plural(n, "event"), F.lit(C.SUMMARY_SOME_IMPRECISE)))
             .otherwise(F.lit("")))
     return hotspots.join(facts, "id", "left").select("id", F.concat(head, kind, note).alias("summary"))
 
