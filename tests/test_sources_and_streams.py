@@ -196,14 +196,42 @@ def test_reset_and_samples(spark, tmp_path):
 def test_failed_batch_is_recorded(spark, tmp_path):
     store = live.Store(str(tmp_path))
 
-    def fail():
+    def fail(started):
         raise RuntimeError("x" * 2000)
 
-    live._logged(spark, store, 0, C.CODED_FEED, NOW, fail)
+    with pytest.raises(RuntimeError):
+        live._logged(spark, store, 0, C.CODED_FEED, NOW, fail)
     row = store.runs(spark).first()
     assert (row["status"], len(row["error_message"])) == ("failed", 1000)
 
 
+def test_failed_batch_is_read_again(spark, tmp_path, monkeypatch):
+    landed, store, work = tmp_path / "landed", live.Store(str(tmp_path / "store")), live.ingest_exports
+    landed.mkdir()
+    (landed / "a.csv").write_text("\n".join(export_line(global_event_id=str(i)) for i in range(5)) + "\n", encoding="utf-8")
+    clock = iter(datetime(2025, 3, 16, 0, m) for m in range(60))
+
+    def broken(*args):
+        raise RuntimeError("no store")
+
+    monkeypatch.setattr(live, "ingest_exports", broken)
+    with pytest.raises(Exception, match="no store"):
+        live.run_export_feed(spark, str(landed), store, lambda: next(clock))
+    assert store.runs(spark).first()["status"] == "failed"
+    monkeypatch.setattr(live, "ingest_exports", work)
+    live.run_export_feed(spark, str(landed), store, lambda: next(clock))
+    assert store.events(spark).count() == 5
+    run = store.runs(spark).first()
+    assert (run["status"], run["events_inserted"]) == ("success", 5) and run["finished_at"] > run["started_at"]
+
+
+def test_caps_are_parameters(spark):
+    runs = spark.createDataFrame([(C.CODED_FEED, "success", datetime(2025, 3, 10))], "ingest_source string, status string, finished_at timestamp")
+    assert X.pending_windows(runs, NOW).count() == 96
+    whole = X.pending_windows(runs, NOW, max_windows=None)
+    assert whole.count() == 6 * 96 and whole.count() - 96 == X.skipped_windows(runs, NOW).first()["skipped"]
+
+
 def test_run_log(spark):
     log = (sinks.run_entry(spark, 1, NOW, "gdelt", "running")
            .unionByName(sinks.run_entry(spark, 1, NOW, "gdelt", "success", "2025-03-16 00:05:00", 7))

@@ -60,8 +60,9 @@ def json_field(text: Column, field: str) -> Column:
     return F.get_json_object(text, f"$.{field}")
 
 
-def first_labels(categories: Column, n: int = 5) -> Column:
-    return F.slice(F.transform(categories, lambda c: c["label"]), 1, n)
+def first_labels(categories: Column, n: int | None = 5) -> Column:
+    labels = F.transform(categories, lambda c: c["label"])
+    return labels if n is None else F.slice(labels, 1, n)
 
 
 def payload(**fields: Column) -> Column:

@@ -63,9 +63,9 @@ def url_domain(url: Column) -> Column:
     return F.when(F.length(url) > 0, F.regexp_replace(F.lower(authority), r"^www\.", ""))
 
 
-def clip(text: Column, chars: int) -> Column:
-    """The first ``chars`` characters, trimmed, or null when nothing is left."""
-    return empty_to_null(F.trim(F.substring(text, 1, chars)))
+def clip(text: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters (None: all), trimmed, or null when nothing is left."""
+    return empty_to_null(F.trim(text if chars is None else F.substring(text, 1, chars)))
 
 
 def coded_title(root_code: Column, city: Column, full_name: Column) -> Column:

@@ -10,13 +10,13 @@ from tremorline.operators.matching import best_match, match_few, top_match
 from tremorline.session import cut_lineage
 
 
-def discover_novel(articles: DataFrame, events: DataFrame, max_new: int = C.MAX_NEW_EVENTS,
+def discover_novel(articles: DataFrame, events: DataFrame, max_new: int | None = C.MAX_NEW_EVENTS,
                    max_confidence: float = C.UNCORROBORATED_CAP, id_offset: int | None = None
                    ) -> tuple[DataFrame, DataFrame]:
     """New incidents and the final match of every matched article.
 
     Articles are taken in feed order (``ord``).  One that matches no stored incident, nor an incident opened
-    earlier in this run, opens one, until ``max_new`` are open.  Returns ``(leaders, matches)``: leaders are
+    earlier in this run, opens one, until ``max_new`` are open (None: no bound).  Returns ``(leaders, matches)``: leaders are
     article rows with ``id``, ``visible_from`` (their ``ord``) and capped confidence; matches are as in
     ``best_match``, over stored and new incidents.
 
@@ -34,7 +34,7 @@ def discover_novel(articles: DataFrame, events: DataFrame, max_new: int = C.MAX_
         return waiting.filter(F.col("ord").isin(opened)).withColumns(
             {"id": new_id.cast("long"), "visible_from": F.col("ord")})
 
-    while len(opened) < max_new:
+    while max_new is None or len(opened) < max_new:
         free = waiting
         if opened:
             free = waiting.filter(F.col("ord") > opened[-1]).join(

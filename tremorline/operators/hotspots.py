@@ -55,14 +55,14 @@ def _newest_first() -> Column:
     return F.struct((-F.unix_micros("occurred_at")).alias("newest"), "id")
 
 
-def rank_candidates(members: DataFrame, min_members: int = C.MIN_MEMBERS, limit: int = C.MAX_HOTSPOTS) -> DataFrame:
-    """The ``limit`` largest clusters; on equal size the one that was opened first.  Ids follow that order."""
+def rank_candidates(members: DataFrame, min_members: int = C.MIN_MEMBERS, limit: int | None = C.MAX_HOTSPOTS) -> DataFrame:
+    """The ``limit`` largest clusters (None: all); on equal size the one that was opened first.  Ids follow that order."""
     candidates = members.groupBy("pass", "cluster").agg(
         F.count("*").alias("event_count"), F.avg("latitude").alias("centroid_lat"),
         F.avg("longitude").alias("centroid_lon"), F.min(_newest_first()).alias("opened"),
     ).filter(F.col("event_count") >= min_members)
     order = [F.desc("event_count"), "pass", "opened"]
-    top = candidates.orderBy(*order).limit(limit)
+    top = candidates if limit is None else candidates.orderBy(*order).limit(limit)
     return top.withColumn("hotspot_id", F.row_number().over(Window.orderBy(*order)).cast("long")).drop("opened")
 
 
@@ -135,22 +135,21 @@ def hotspot_names(members: DataFrame, by: str) -> DataFrame:
 def score_hotspots(members: DataFrame, top: DataFrame, now: datetime | str | Column) -> tuple[DataFrame, DataFrame]:
     """Hotspot rows and hotspot membership (``id, hotspot_id, trend_state``) for ranked candidates.
 
-    ``top`` has at most the capped number of hotspots (15), so broadcasting it is safe at any data size.
+    Whether ``top`` is broadcast is left to Spark's size check, since its length is a parameter.
     """
-    placed = members.join(F.broadcast(top.select("pass", "cluster", "hotspot_id", "centroid_lat", "centroid_lon")),
-                          ["pass", "cluster"])
+    placed = members.join(top.select("pass", "cluster", "hotspot_id", "centroid_lat", "centroid_lon"), ["pass", "cluster"])
     scores = cluster_scores(placed.drop("centroid_lat", "centroid_lon"), ["hotspot_id"], now)
     hotspots = scores.join(hotspot_names(placed, "hotspot_id"), "hotspot_id").select(
         F.col("hotspot_id").alias("id"), "name", "centroid_lat", "centroid_lon", "event_count", "confidence_score",
         "severity_score", "momentum_score", "priority_score", "trend_state", "status_label",
         instant(now).alias("last_computed_at"))
     membership = placed.select("id", "hotspot_id").join(
-        F.broadcast(hotspots.select(F.col("id").alias("hotspot_id"), "trend_state")), "hotspot_id")
+        hotspots.select(F.col("id").alias("hotspot_id"), "trend_state"), "hotspot_id")
     return hotspots, membership
 
 
 def compute_hotspots(events: DataFrame, now: datetime | str | Column, radius: float = C.CLUSTER_MILES,
-                     min_members: int = C.MIN_MEMBERS, limit: int = C.MAX_HOTSPOTS,
+                     min_members: int = C.MIN_MEMBERS, limit: int | None = C.MAX_HOTSPOTS,
                      rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
     """Recompute hotspots at ``now``: hotspot rows, and membership ``id, hotspot_id, trend_state``."""
     members = cut_lineage(cluster_members(cluster_window(events, now), radius, rows_per_task))

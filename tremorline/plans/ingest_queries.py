@@ -97,16 +97,26 @@ def stream_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(store.events(spark))
 
 
+#: Files land in no order of time, so the state of these streams spans the whole month of the table.
+KEEP = "40 days"
+
+
+def _land_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table, one file or a folder, landed as four files and followed one file per batch."""
+    events = table(spark, sf_dir, "events")
+    folder = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    events.repartition(4).write.parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 @query(f"""WITH feed AS (SELECT event_id, 'k' || CAST(event_id - event_id % 3 AS VARCHAR) AS source_id, ts FROM events)
 SELECT DISTINCT source_id FROM feed""")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream with every id three times; each id comes out once."""
-    schema = table(spark, sf_dir, "events").schema
-    feed = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-            .select(F.concat(F.lit("k"), (F.col("event_id") - F.col("event_id") % 3).cast("string")).alias("source_id"),
+    feed = (_land_events(spark, sf_dir).select(F.concat(F.lit("k"), (F.col("event_id") - F.col("event_id") % 3).cast("string")).alias("source_id"),
                     F.col("ts").cast("timestamp").alias("occurred_at")))
     out = f"{shared_dir(spark)}/dedup-{uuid.uuid4().hex}"
-    live.run_once(live.dedup_stream(feed, "24 hours").writeStream.format("parquet").option("path", f"{out}/data")
+    live.run_once(live.dedup_stream(feed, KEEP).writeStream.format("parquet").option("path", f"{out}/data")
                   .option("checkpointLocation", f"{out}/checkpoint"))
     return spark.read.parquet(f"{out}/data").select("source_id")
 
@@ -115,11 +125,9 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) AS event_count FROM events GROUP BY ALL""")
 def stream_trend_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight-hour counts per type, kept up to date by a stream."""
-    schema = table(spark, sf_dir, "events").schema
-    feed = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-            .select("event_type", F.col("ts").cast("timestamp").alias("occurred_at")))
+    feed = (_land_events(spark, sf_dir).select("event_type", F.col("ts").cast("timestamp").alias("occurred_at")))
     store = live.Store(f"{shared_dir(spark)}/trend-{uuid.uuid4().hex}")
-    live.run_trend_windows(feed, store, ["event_type"])
+    live.run_trend_windows(feed, store, ["event_type"], KEEP)
     return store.latest(spark, "trend_windows").select(
         "event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_count")
 
@@ -183,10 +191,14 @@ def evolve_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_ctes("""SELECT source_id, title, is_active FROM (SELECT source_id, title, true AS is_active,
   row_number() OVER (PARTITION BY source_id ORDER BY occurred_at, title) AS n FROM normal) WHERE n = 1""", "export_rows", **NORMAL))
 def append_new_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised rows completed to event rows, minus repeated ids, ready to append to an empty table."""
+    """Append the rows of early protests to an event table, then all rows: what is stored or repeated stays out."""
     batch = as_events(X.normalize_export(export_rows(spark, sf_dir)), F.lit(NOW).cast("timestamp"))
-    stored = batch.limit(0)
-    return exact_dedup(batch, stored, ["occurred_at", "title"]).select("source_id", "title", "is_active")
+    path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    ids = exact_dedup(batch, batch.limit(0), ["occurred_at", "title"])
+    sinks.append_events(ids.filter(F.col("event_type") == "protest"), path)
+    stored = spark.read.parquet(path)
+    sinks.append_events(sinks.new_rows(batch, stored, ["occurred_at", "title"]), path)
+    return spark.read.parquet(path).select("source_id", "title", "is_active")
 
 
 @query(with_ctes("SELECT event_type, count(*) AS event_count FROM incidents GROUP BY 1", "incidents"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -44,18 +46,43 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark.sparkContext.getCheckpointDir()
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; also done when the driver ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+_told: set[str] = set()
+
+
+def _drop_at_exit(spark: SparkSession) -> None:
+    def drop() -> None:
+        if spark.sparkContext._jsc is not None:  # a stopped session has nothing left to ask
+            drop_tables(spark)
+
+    if (app := spark.sparkContext.applicationId) not in _told:
+        _told.add(app)
+        atexit.register(drop)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Later stages never recompute what is behind it, whichever executors are lost, and read only the columns they use.
+    Tables live below a folder of the application, which goes when the driver ends or by ``drop_tables``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    _drop_at_exit(spark)
+    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

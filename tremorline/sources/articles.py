@@ -32,11 +32,13 @@ def stream_articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normalize_articles(articles: DataFrame, now: datetime | str | Column, lexicon: Lexicon = DEFAULT_LEXICON,
-                       min_score: float = C.MIN_SCORE, min_precision: str = "city") -> DataFrame:
+                       min_score: float = C.MIN_SCORE, min_precision: str = "city",
+                       summary_chars: int | None = C.SUMMARY_CHARS, labels: int | None = C.CATEGORY_LABELS) -> DataFrame:
     """Canonical rows of the articles that classify, have a usable place and are precise enough.
 
     Besides the canonical columns: ``outlet``, ``event_uri`` and every other input column not named in the article
-    schema (such as the feed position ``ord``).
+    schema (such as the feed position ``ord``).  ``summary_chars`` and ``labels`` (of categories, in the payload) bound
+    what is kept of an article; None keeps all.
     """
     extra = [c for c in articles.columns if c not in ARTICLE.fieldNames()]
     clean = articles.withColumns({
@@ -55,7 +57,7 @@ def normalize_articles(articles: DataFrame, now: datetime | str | Column, lexico
     published = F.coalesce(empty_to_null(F.col("dateTimePub")), F.col("date"))
     return classified.select(
         *extra, F.concat(F.lit(C.ARTICLE_ID_PREFIX), empty_to_null(uri)).alias("source_id"), "title",
-        clip(F.col("body"), C.SUMMARY_CHARS).alias("summary"), F.col("class_type").alias("event_type"), "city",
+        clip(F.col("body"), summary_chars).alias("summary"), F.col("class_type").alias("event_type"), "city",
         "state", F.lit("US").alias("country"), "latitude", "longitude",
         parse_published(published, now).alias("occurred_at"),
         empty_to_null(F.trim("url")).alias("source_url"), F.lit(C.ARTICLE_FEED).alias("source_name"),
@@ -63,6 +65,6 @@ def normalize_articles(articles: DataFrame, now: datetime | str | Column, lexico
         .alias("confidence_score"), type_severity(F.col("class_type")).alias("severity_score"),
         "location_precision",
         payload(er_uri=uri, er_event_uri=F.col("eventUri"), classification_score=round3(F.col("class_score")),
-                source_outlet=F.coalesce(outlet, F.lit("")), categories=first_labels(F.col("categories")),
+                source_outlet=F.coalesce(outlet, F.lit("")), categories=first_labels(F.col("categories"), labels),
                 precision=F.col("location_precision")).alias("raw_payload_json"),
         outlet.alias("outlet"), F.col("eventUri").alias("event_uri"))

@@ -29,7 +29,9 @@ def _reader_options(reader):
 
 def named_columns(raw: DataFrame) -> DataFrame:
     """Rows with at least 61 fields, reduced to the 14 columns in use; empty fields are empty text."""
-    complete = F.col("_bad_row").isNull() | (F.size(F.split("_bad_row", "\t")) >= C.EXPORT_WIDTH)
+    # The last field is missing from a short row, however many tabs its quoted fields hold; an empty one is ''.  A
+    # longer row is flagged too, but all its first 61 fields are there.
+    complete = F.col("_bad_row").isNull() | F.col(f"c{C.EXPORT_WIDTH - 1}").isNotNull()
     return raw.filter(complete).select(*[
         F.coalesce(F.col(f"c{i}"), F.lit("")).alias(name) for name, i in C.EXPORT_COLUMNS.items()])
 
@@ -105,19 +107,32 @@ def normalize_export(rows: DataFrame) -> DataFrame:
 
 
 def pending_windows(runs: DataFrame, now: datetime | str | Column, landed: DataFrame | None = None,
-                    source: str = C.CODED_FEED) -> DataFrame:
+                    source: str = C.CODED_FEED, max_windows: int | None = C.MAX_WINDOWS) -> DataFrame:
     """Quarter hours still to be read: ``window_start, file_name``.
 
-    From the last successful run of the source (or as far back as allowed) to one quarter hour before ``now``, at
-    most 96 of them; those whose file name is in ``landed`` are left out.
+    From the last successful run of the source to one quarter hour before ``now``, at most ``max_windows`` of them
+    (None: the whole gap; a first run then starts 96 windows back); those whose file name is in ``landed`` are left out.
+    ``skipped_windows`` tells what a bound leaves behind.
     """
     quarter = F.expr("INTERVAL 15 MINUTES")
     done = runs.filter((F.col("ingest_source") == source) & (F.col("status") == "success")).agg(
         F.max("finished_at").alias("since"))
     upper = floor_15(instant(now)) - quarter
     oldest = upper - hours((C.MAX_WINDOWS - 1) / 4)
-    lower = F.greatest(F.coalesce(floor_15(F.col("since")), oldest), oldest)
+    since = F.coalesce(floor_15(F.col("since")), oldest)
+    lower = since if max_windows is None else F.greatest(since, upper - hours((max_windows - 1) / 4))
     windows = done.select(F.explode(F.when(lower <= upper, F.sequence(lower, upper, quarter))).alias("window_start"))
     named = windows.withColumn("file_name", F.concat(
         F.date_format("window_start", C.EXPORT_FILE_FORMAT), F.lit(C.EXPORT_FILE_SUFFIX)))
     return named if landed is None else named.join(landed.select("file_name"), "file_name", "left_anti")
+
+
+def skipped_windows(runs: DataFrame, now: datetime | str | Column, source: str = C.CODED_FEED,
+                    max_windows: int = C.MAX_WINDOWS) -> DataFrame:
+    """How many quarter hours since the last successful run are older than the catch-up bound: ``skipped``."""
+    upper = floor_15(instant(now)) - F.expr("INTERVAL 15 MINUTES")
+    lower = upper - hours((max_windows - 1) / 4)
+    return runs.filter((F.col("ingest_source") == source) & (F.col("status") == "success")).agg(
+        F.max("finished_at").alias("since")).select(
+        F.greatest(F.lit(0), F.coalesce((F.unix_seconds(lower) - F.unix_seconds(floor_15(F.col("since")))) / 900, F.lit(0)))
+        .cast("long").alias("skipped"))

@@ -1,4 +1,4 @@
-"""Writing tables.  Tables are Parquet; incidents are partitioned by day so time windows prune."""
+"""Writing tables.  Tables are Parquet; ``append_events`` partitions incidents by day so time windows prune."""
 
 from __future__ import annotations
 
@@ -35,31 +35,44 @@ def replace_snapshot(df: DataFrame, path: str, version: int) -> str:
 
 def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The newest complete version of a table written by ``replace_snapshot``; it may be an empty one."""
+    return spark.read.parquet(_versions(spark, path)[-1])
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     folder = fs_path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = sorted(f.getPath().toString() for f in fs.listStatus(folder)
-                      if fs.exists(fs_path(f.getPath(), "_SUCCESS")))
-    return spark.read.parquet(versions[-1])
+    if not fs.exists(folder):
+        return []
+    return sorted(f.getPath().toString() for f in fs.listStatus(folder) if fs.exists(fs_path(f.getPath(), "_SUCCESS")))
+
+
+def snapshot_before(spark: SparkSession, path: str, version: int) -> DataFrame | None:
+    """The newest complete version older than ``version``, so that writing a version twice gives the same rows."""
+    older = [v for v in _versions(spark, path) if int(v.rpartition("version=")[2]) < version]
+    return spark.read.parquet(older[-1]) if older else None
 
 
 def run_entry(spark: SparkSession, run_id: int, started_at: datetime | str | Column, source: str, status: str,
-              finished_at: datetime | str | Column | None = None, inserted: int = 0, error: str | None = None
-              ) -> DataFrame:
+              finished_at: datetime | str | Column | None = None, inserted: int = 0, error: str | None = None,
+              error_chars: int | None = C.ERROR_CHARS) -> DataFrame:
     """One row of the run log.  A run appends ``running`` first and its outcome later."""
+    if error is not None and error_chars is not None:
+        error = error[:error_chars]
     row = spark.range(1).select(
         F.lit(run_id).alias("id"), instant(started_at).alias("started_at"),
         (instant(finished_at) if finished_at is not None else F.lit(None).cast("timestamp")).alias("finished_at"),
         F.lit(status).alias("status"), F.lit(inserted).alias("events_inserted"),
-        F.substring(F.lit(error).cast("string"), 1, C.ERROR_CHARS).alias("error_message"),
+        F.lit(error).cast("string").alias("error_message"),
         F.lit(source).alias("ingest_source"))
     return conform(row, INGEST_RUN)
 
 
 def current_runs(log: DataFrame) -> DataFrame:
-    """State of each run: its last entry, where an outcome comes after ``running``."""
+    """State of each run: its last entry, where an outcome comes after ``running`` and a retry's success after its failure."""
     rest = [c for c in log.columns if c != "id"]
-    order = F.struct((F.col("status") != "running").alias("over"), F.col("finished_at"))
+    order = F.struct((F.col("status") != "running").alias("over"), F.col("finished_at"),
+                     (F.col("status") == "success").alias("done"))
     return log.groupBy("id").agg(F.max_by(F.struct(*rest), order).alias("r")).select("id", "r.*")
 
 

@@ -1,11 +1,13 @@
 """Structured Streaming feeds over the same operators.
 
-Every batch appends under its batch number, so a batch that is run again after a failure replaces its own output.
+Every batch appends under its batch number, so a batch that is run again after a failure replaces its own output.  A
+failed batch is logged and raises: its files stay uncommitted, and the next run of the feed reads them again.
 Nothing is updated in place: confidence follows from the appended provenance rows when incidents are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -125,16 +127,28 @@ def of_other_batches(events: DataFrame, feed: str, batch: int) -> DataFrame:
     return events.filter(F.floor(F.col("id") / F.lit(ROWS_PER_BATCH)) != batch_number(feed, batch))
 
 
-def _logged(spark: SparkSession, store: Store, batch: int, source: str, now, work) -> None:
-    """Run ``work() -> rows inserted`` between log entries; a failure is recorded, not raised."""
-    run_id = batch_number(source, batch)
-    sinks.append_rows(sinks.run_entry(spark, run_id, now, source, "running"), store.path("runs"))
+Clock = datetime | str | Column | Callable[[], datetime | str | Column]
+
+
+def _time(now: Clock) -> datetime | str | Column:
+    """A feed that runs on takes a callable, which is asked again for every batch."""
+    return now() if callable(now) else now
+
+
+def _logged(spark: SparkSession, store: Store, batch: int, source: str, now: Clock,
+            work: Callable[[datetime | str | Column], int]) -> None:
+    """Run ``work(started) -> rows inserted`` between log entries; a failure is recorded and raised again.
+
+    Raising keeps the batch uncommitted, so no landed file is lost.
+    """
+    run_id, started = batch_number(source, batch), _time(now)
+    sinks.append_rows(sinks.run_entry(spark, run_id, started, source, "running"), store.path("runs"))
     try:
-        inserted = work()
-        done = sinks.run_entry(spark, run_id, now, source, "success", now, inserted)
-    except Exception as e:  # noqa: BLE001 - recorded in the log
-        done = sinks.run_entry(spark, run_id, now, source, "failed", now, 0, str(e))
-    sinks.append_rows(done, store.path("runs"))
+        inserted = work(started)
+    except Exception as e:
+        sinks.append_rows(sinks.run_entry(spark, run_id, started, source, "failed", _time(now), 0, str(e)), store.path("runs"))
+        raise
+    sinks.append_rows(sinks.run_entry(spark, run_id, started, source, "success", _time(now), inserted), store.path("runs"))
 
 
 def _append(fresh: DataFrame, store: Store, feed: str, batch: int) -> int:
@@ -168,13 +182,13 @@ def reset_and_seed(spark: SparkSession, store: Store, now: datetime | str | Colu
     return refresh_hotspots(spark, store, now, version)
 
 
-def run_export_feed(spark: SparkSession, landed: str, store: Store, now: datetime | str | Column,
+def run_export_feed(spark: SparkSession, landed: str, store: Store, now: Clock,
                     files_per_trigger: int = C.MAX_WINDOWS, once: bool = True):
     """Follow a folder of landed exports.  ``once`` processes what is there; otherwise polls every 30 minutes."""
 
     def handle(rows: DataFrame, batch: int) -> None:
         _logged(rows.sparkSession, store, batch, C.CODED_FEED, now,
-                lambda: ingest_exports(rows, store, batch, now))
+                lambda started: ingest_exports(rows, store, batch, started))
 
     writer = (X.stream_export_tsv(spark, landed, files_per_trigger).writeStream.foreachBatch(handle)
               .option("checkpointLocation", store.path("_exports_checkpoint")))
@@ -185,10 +199,10 @@ def run_export_feed(spark: SparkSession, landed: str, store: Store, now: datetim
 
 def ingest_articles(rows: DataFrame, store: Store, batch: int, now: datetime | str | Column,
                     lexicon: Lexicon = DEFAULT_LEXICON, min_precision: str = "city", create_new: bool = False,
-                    max_new: int = C.MAX_NEW_EVENTS) -> int:
+                    max_new: int | None = C.MAX_NEW_EVENTS) -> int:
     """Classify a batch of articles, match them to stored incidents and append their provenance.
 
-    With ``create_new``, articles that match nothing open new incidents, at most ``max_new`` per batch; their number
+    With ``create_new``, articles that match nothing open new incidents, at most ``max_new`` (None: all) per batch; their number
     is returned.  Without a feed position ``ord``, newer articles come first.
     """
     spark = rows.sparkSession
@@ -216,32 +230,35 @@ def ingest_articles(rows: DataFrame, store: Store, batch: int, now: datetime | s
         matches = matches.select("ord", "event_id").unionByName(opened.select("ord", F.col("id").alias("event_id")))
     else:
         matches = best_match(new, near).select("ord", "event_id")
+    number = F.lit(batch_number(C.ARTICLE_FEED, batch)).cast("long")
     arrived = new.join(matches, "ord").select(
-        "event_id", F.struct(F.lit(batch).cast("long").alias("batch"), "ord").alias("position"),
+        "event_id", F.struct(number.alias("batch"), "ord").alias("position"),
         F.col("source_id").alias("source_record_id"), F.col("outlet").alias("source_name"), "source_url",
         F.col("title").alias("source_title"), F.col("occurred_at").alias("source_published_at"), "event_uri",
         "location_precision", F.col("raw_payload_json").alias("metadata_json"))
-    stored = store.sources(spark).filter(F.col("id") != batch)
+    stored = of_other_batches(store.sources(spark), C.ARTICLE_FEED, batch)
     # A source that is already recorded for the incident is not recorded again.
     arrived = arrived.join(stored.select("event_id", "source_record_id"), ["event_id", "source_record_id"], "left_anti")
     earlier = stored.join(arrived.select("event_id").distinct(), "event_id", "left_semi").select(
-        "event_id", F.struct(F.col("id").alias("batch"), F.xxhash64("source_record_id").alias("ord")).alias("position"),
+        "event_id", F.struct(F.floor(F.col("id") / F.lit(ROWS_PER_BATCH)).alias("batch"),
+                             (F.col("id") % F.lit(ROWS_PER_BATCH)).alias("ord")).alias("position"),
         "source_record_id", "source_name", "source_url", "source_title", "source_published_at",
         F.get_json_object("metadata_json", "$.er_event_uri").alias("event_uri"), "location_precision", "metadata_json")
-    judged = syndication_rules(arrived.unionByName(earlier)).filter(F.col("position.batch") == batch)
-    rows_out = provenance_rows(judged.withColumn("id", F.lit(batch).cast("long")), now)
+    judged = syndication_rules(arrived.unionByName(earlier)).filter(F.col("position.batch") == number)
+    first = batch_number(C.ARTICLE_FEED, batch) * ROWS_PER_BATCH  # ids follow the order of the feed
+    rows_out = provenance_rows(numbered(judged, [F.asc("position"), F.asc("event_id")], "id", first), now)
     store.write_batch(rows_out, "sources", C.ARTICLE_FEED, batch)
     return inserted
 
 
-def run_article_feed(spark: SparkSession, landed: str, store: Store, now: datetime | str | Column,
+def run_article_feed(spark: SparkSession, landed: str, store: Store, now: Clock,
                      lexicon: Lexicon = DEFAULT_LEXICON, min_precision: str = "city", create_new: bool = False,
-                     once: bool = True):
+                     once: bool = True, max_new: int | None = C.MAX_NEW_EVENTS):
     """Follow a folder of landed articles."""
 
     def handle(rows: DataFrame, batch: int) -> None:
         _logged(rows.sparkSession, store, batch, C.ARTICLE_FEED, now,
-                lambda: ingest_articles(rows, store, batch, now, lexicon, min_precision, create_new))
+                lambda started: ingest_articles(rows, store, batch, started, lexicon, min_precision, create_new, max_new))
 
     writer = (A.stream_articles(spark, landed).writeStream.foreachBatch(handle)
               .option("checkpointLocation", store.path("_articles_checkpoint")))
@@ -269,11 +286,20 @@ def trend_windows(df: DataFrame, by: list[str], late: str = "24 hours", ts: str
     return counted.select(*by, F.col("window.start").alias("window_start"), "event_count")
 
 
-def run_trend_windows(df: DataFrame, store: Store, by: list[str]) -> None:
-    """Keep a snapshot of the eight-hour counts up to date."""
+def run_trend_windows(df: DataFrame, store: Store, by: list[str], late: str = "24 hours") -> None:
+    """Keep a snapshot of the eight-hour counts up to date.
 
-    def publish(counts: DataFrame, batch: int) -> None:
-        sinks.replace_snapshot(counts, store.path("trend_windows"), batch)
+    A batch brings the windows it changed, which replace their earlier counts; windows older than ``late`` leave the
+    state of the stream and keep their last count in the snapshot.
+    """
 
-    run_once(trend_windows(df, by).writeStream.outputMode("complete").foreachBatch(publish)
+    def publish(counts: DataFrame, batch: int) -> None:
+        path, keys = store.path("trend_windows"), [*by, "window_start"]
+        earlier = sinks.snapshot_before(counts.sparkSession, path, batch)
+        if earlier is not None:
+            held = counts.persist()
+            counts = earlier.join(held.select(keys), keys, "left_anti").unionByName(held)
+        sinks.replace_snapshot(counts, path, batch)
+
+    run_once(trend_windows(df, by, late).writeStream.outputMode("update").foreachBatch(publish)
              .option("checkpointLocation", store.path("_trend_checkpoint")))
