@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from tremorline.operators.anchors import anchor_clusters
 from tremorline.operators.clustering import greedy_clusters
 from tremorline.operators.hotspots import assign_clusters, compute_hotspots, hotspot_names
 from tremorline.schemas import as_events
@@ -116,3 +117,48 @@ def test_names(spark, i):
     df = spark.createDataFrame(rows, "id long, grp string, city string, state string, latitude double, longitude double, "
                                      "occurred_at timestamp, centroid_lat double, centroid_lon double")
     assert hotspot_names(df, "grp").first()["name"] == want
+
+
+def anchored(rows, radius=75.0):
+    """The rounds of contenders on plain lists."""
+    size, earth = radius / 1.8, 3958.8
+    places = {}
+    for i, la, lo, _, _, ts in rows:
+        n, last, first = places.get((la, lo), (0, 0, i))
+        places[la, lo] = n + 1, max(last, ts.timestamp()), min(first, i)
+
+    def cube(p):
+        la, lo = map(math.radians, p)
+        return tuple(math.floor(earth * v / size) for v in (math.cos(la) * math.cos(lo), math.cos(la) * math.sin(lo), math.sin(la)))
+
+    def rank(p):
+        return -places[p][0], -places[p][1], p
+
+    uncovered, anchors = set(places), []
+    while uncovered:
+        best = {}
+        for p in uncovered:
+            best[cube(p)] = min(best.get(cube(p), p), p, key=rank)
+        new = [p for p in best.values() if not any(rank(q) < rank(p) and miles(*p, *q) <= radius for q in best.values())]
+        anchors += new
+        uncovered = {p for p in uncovered if not any(miles(*p, *a) <= radius for a in new)}
+    return {r[0]: places[min((a for a in anchors if miles(r[1], r[2], *a) <= radius), key=lambda a: (miles(r[1], r[2], *a), rank(a)))][2]
+            for r in rows}
+
+
+@pytest.mark.parametrize("seed,spread", [(1, 15), (5, 5), (6, 2)])
+def test_anchors_agree_with_plain_rounds(spark, seed, spread):
+    rows = layout(seed, 300, spread) + [(1000 + k, 30.0, -100.0, "Town", "XX", NOW) for k in range(150)]
+    df = spark.createDataFrame(rows, SHAPE)
+    want = anchored(rows)
+    for parts in (1, 7):
+        assert dict(anchor_clusters(df.repartition(parts)).collect()) == want
+
+
+def test_anchors_across_the_date_line_and_without_places(spark):
+    rows = [(i, 10.0, lon, "Town", "XX", NOW) for i, lon in enumerate((179.9, -179.9, 0.1, 179.8))]
+    got = dict(anchor_clusters(spark.createDataFrame([*rows, (9, None, None, "Town", "XX", NOW)], SHAPE)).collect())
+    assert got[0] == got[1] == got[3] and got[2] == 2 and 9 not in got
+    assert anchor_clusters(spark.createDataFrame([], SHAPE)).count() == 0
+    plan = anchor_clusters(spark.createDataFrame(rows, SHAPE))._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan

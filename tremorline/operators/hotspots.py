@@ -11,6 +11,7 @@ from tremorline.functions.geo import grid_index, haversine_miles, is_country_lev
 from tremorline.functions.scores import cluster_priority, heat_weight, round3, status_label, trend_state
 from tremorline.functions.text import empty_to_null
 from tremorline.functions.timefn import age_seconds, hours, instant
+from tremorline.operators.anchors import anchor_clusters
 from tremorline.operators.clustering import ROWS_PER_TASK, greedy_clusters, state_level_events
 from tremorline.session import cut_lineage
 
@@ -41,10 +42,15 @@ def state_groups(events: DataFrame, min_members: int = C.MIN_MEMBERS) -> DataFra
             .filter(F.col("event_count") >= min_members))
 
 
-def cluster_members(events: DataFrame, radius: float = C.CLUSTER_MILES,
+def cluster_members(events: DataFrame, radius: float = C.CLUSTER_MILES, sequential: bool = False,
                     rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Incidents with the cluster they belong to: ``pass`` 1 is greedy, ``pass`` 2 is by state."""
-    greedy = (events.select(*MEMBER_COLUMNS).join(greedy_clusters(events, radius, rows_per_task), "id")
+    """Incidents with the cluster they belong to: ``pass`` 1 is by place, ``pass`` 2 is by state.
+
+    Places cluster around anchors, in parallel rounds.  ``sequential`` takes the rule in order of time instead, which
+    gives other clusters where several overlap, and whose run time is bounded by its largest component.
+    """
+    seeds = greedy_clusters(events, radius, rows_per_task) if sequential else anchor_clusters(events, radius)
+    greedy = (events.select(*MEMBER_COLUMNS).join(seeds, "id")
               .withColumn("cluster", F.col("seed").cast("string")).withColumn("pass", F.lit(1)).drop("seed"))
     by_state = (state_level_events(events).select(*MEMBER_COLUMNS)
                 .withColumn("cluster", state_group_key(F.col("state"))).withColumn("pass", F.lit(2)))
@@ -150,9 +156,9 @@ def score_hotspots(members: DataFrame, top: DataFrame, now: datetime | str | Col
 
 def compute_hotspots(events: DataFrame, now: datetime | str | Column, radius: float = C.CLUSTER_MILES,
                      min_members: int = C.MIN_MEMBERS, limit: int | None = C.MAX_HOTSPOTS,
-                     rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
+                     sequential: bool = False, rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
     """Recompute hotspots at ``now``: hotspot rows, and membership ``id, hotspot_id, trend_state``."""
-    members = cut_lineage(cluster_members(cluster_window(events, now), radius, rows_per_task))
+    members = cut_lineage(cluster_members(cluster_window(events, now), radius, sequential, rows_per_task))
     top = cut_lineage(rank_candidates(members, min_members, limit))
     return score_hotspots(members, top, now)
 

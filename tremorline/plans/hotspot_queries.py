@@ -9,6 +9,7 @@ from tremorline.functions.geo import grid_index, is_country_level, is_state_leve
 from tremorline.functions.scores import round_to, severity_bucket
 from tremorline.operators import hotspots as H
 from tremorline.operators import serving as S
+from tremorline.operators import anchors
 from tremorline.operators.clustering import greedy_clusters
 from tremorline.plans.registry import query
 from tremorline.plans.views import NOW, NOW_SQL, haversine_sql, incidents, places, r_sql, with_ctes
@@ -240,6 +241,54 @@ def assign_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.assign_clusters(before, membership).select("id", "cluster_id", "trend_state")
 
 
+def _anchor_ctes(source: str, rounds: int = 8) -> dict[str, str]:
+    """SQL of ``anchor_clusters`` over ``source``, with a fixed number of rounds that is enough for 24 towns."""
+    r, size = f"{C.EARTH_RADIUS_MILES}::DOUBLE", f"{C.CLUSTER_MILES / anchors.CELLS_PER_RADIUS!r}::DOUBLE"
+    axes = [f"{r} * cos(radians(latitude)) * cos(radians(longitude))", f"{r} * cos(radians(latitude)) * sin(radians(longitude))",
+            f"{r} * sin(radians(latitude))"]
+    near = f"{haversine_sql('p.latitude', 'p.longitude', 'a.latitude', 'a.longitude')} <= {C.CLUSTER_MILES}"
+    order = "(-{0}.n, -{0}.last, {0}.latitude, {0}.longitude)"
+    ctes = {
+        "precise": f"SELECT * FROM {source} WHERE NOT {_IS_STATE_LEVEL} AND NOT coalesce(city IN ('United States', 'United States of America'), false)",
+        "open0": f"""SELECT latitude, longitude, count(*) AS n, max(epoch_us(occurred_at)) AS last, min(id) AS first_id,
+          ({', '.join(f'CAST(floor(({x}) / {size}) AS BIGINT)' for x in axes)}) AS cell FROM precise GROUP BY latitude, longitude"""}
+    for k in range(rounds):
+        ctes[f"contend{k}"] = f"SELECT * FROM open{k} p QUALIFY row_number() OVER (PARTITION BY cell ORDER BY {order.format('p')}) = 1"
+        ctes[f"anchor{k}"] = f"""SELECT * FROM contend{k} p WHERE NOT EXISTS (
+          SELECT 1 FROM contend{k} a WHERE {near} AND {order.format('a')} < {order.format('p')})"""
+        ctes[f"open{k + 1}"] = f"SELECT * FROM open{k} p WHERE NOT EXISTS (SELECT 1 FROM anchor{k} a WHERE {near})"
+    ctes["anchors"] = " UNION ALL ".join(f"SELECT * FROM anchor{k}" for k in range(rounds))
+    ctes["seeds"] = f"""SELECT p.latitude, p.longitude, a.first_id AS seed FROM open0 p JOIN anchors a ON {near}
+      QUALIFY row_number() OVER (PARTITION BY p.latitude, p.longitude
+        ORDER BY {haversine_sql('p.latitude', 'p.longitude', 'a.latitude', 'a.longitude')}, {order.format('a')}) = 1"""
+    return ctes
+
+
+@query(with_ctes("SELECT i.id, s.seed FROM precise i JOIN seeds s USING (latitude, longitude)", "incidents",
+                 live="SELECT * FROM incidents WHERE is_active", **_anchor_ctes("live")))
+def anchor_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters around anchors of all active incidents."""
+    return anchors.anchor_clusters(S.active(incidents(spark, sf_dir)))
+
+
+_ANCHORED = _anchor_ctes("recent") | {
+    "members": f"""SELECT r.*, 1 AS pass, CAST(s.seed AS VARCHAR) AS cluster FROM recent r JOIN seeds s USING (latitude, longitude)
+      WHERE r.id IN (SELECT id FROM precise)
+      UNION ALL SELECT *, 2, coalesce(nullif(state, ''), 'unknown') FROM recent WHERE {_IS_STATE_LEVEL}""",
+    "largest": """SELECT pass, cluster, count(*) AS k, min((-epoch_us(occurred_at), id)) AS opened FROM members
+      GROUP BY pass, cluster HAVING count(*) >= 3""",
+    "numbered": "SELECT *, row_number() OVER (ORDER BY k DESC, pass, opened) AS hotspot_id FROM largest",
+    "placed": "SELECT m.*, n.hotspot_id FROM members m JOIN numbered n USING (pass, cluster)",
+}
+
+
+@query(with_ctes(f"SELECT hotspot_id AS id, {', '.join(SCORE_COLUMNS)} FROM ({scores_sql('placed', 'hotspot_id')})", "recent",
+                 **_ANCHORED))
+def anchor_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hotspots of the window, without a bound on their number."""
+    return H.compute_hotspots(incidents(spark, sf_dir), NOW, limit=None)[0].select("id", *SCORE_COLUMNS)
+
+
 @query()
 def greedy_cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy clusters of all active incidents, not only those of the window."""
