@@ -1,9 +1,10 @@
 """Syndicated copies: sources of an incident that repeat an earlier source of the same incident.
 
-Every rule asks whether an earlier source with some property exists, so no rule pairs up rows:
+Every rule asks whether an earlier source with some property exists, so no rule pairs up rows (distinct similar titles
+of one incident are paired with each other); URLs and titles are joined to the verdicts once:
 
-* equal outlet / wire family / wire domain / upstream event: compare with the smallest position of that key, an
-  aggregate that collapses before the shuffle;
+* equal outlet / wire family / wire domain / upstream event: compare with the smallest position of that key, one
+  aggregate over narrow rows that collapses before the shuffle;
 * similar title: titles collapse to distinct word sets per incident, sets meet on rare words, and a row is compared
   with the smallest position among the similar sets;
 * similar title within 30 minutes: running minima over half-hour blocks give the smallest position in any
@@ -23,8 +24,18 @@ RULES = ["same_outlet", "same_family", "near_identical_title", "same_wire_domain
          "same_upstream_event"]
 
 
-def _first_position(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
-    return rows.dropna(subset=keys).groupBy("event_id", *keys).agg(F.min("position").alias(out))
+def _equal_keys(rows: DataFrame) -> DataFrame:
+    """``event_id, position, rule`` of sources after the first of their outlet, family, wire domain or upstream event.
+
+    One aggregate over narrow rows serves all four rules.
+    """
+    keys = {"same_outlet": F.col("outlet"), "same_family": F.col("family"), "same_wire_domain": F.col("domain"),
+            "same_upstream_event": F.concat("family", F.lit("\n"), "upstream")}
+    entry = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), key.alias("key")) for rule, key in keys.items()]))
+    keyed = rows.select("event_id", "position", entry.alias("e")).select("event_id", "position", "e.*").dropna(subset=["key"])
+    firsts = keyed.groupBy("event_id", "rule", "key").agg(F.min("position").alias("first"))
+    return (keyed.join(firsts, ["event_id", "rule", "key"]).filter(F.col("first") < F.col("position"))
+            .select("event_id", "position", "rule"))
 
 
 def _similar_sets(rows: DataFrame) -> DataFrame:
@@ -90,19 +101,15 @@ def syndication_rules(sources: DataFrame) -> DataFrame:
     pairs = cut_lineage(_similar_sets(rows))
     copies = pairs.filter(F.col("similarity") > F.lit(C.COPY_SIMILARITY)).groupBy(
         "event_id", F.col("a").alias("set_key")).agg(F.min("first_position").alias("title_first"))
-    out = (rows.join(_first_position(rows, ["outlet"], "outlet_first"), ["event_id", "outlet"], "left")
-           .join(_first_position(rows, ["family"], "family_first"), ["event_id", "family"], "left")
-           .join(_first_position(rows, ["domain"], "domain_first"), ["event_id", "domain"], "left")
-           .join(_first_position(rows, ["family", "upstream"], "upstream_first"), ["event_id", "family", "upstream"],
-                 "left")
-           .join(copies, ["event_id", "set_key"], "left")
-           .join(_first_within(rows, pairs, C.REWRITE_MINUTES), ["event_id", "position"], "left"))
-
-    def earlier(first: str) -> Column:
-        return F.coalesce(F.col(first) < F.col("position"), F.lit(False))
-
-    firsts = ["outlet_first", "family_first", "title_first", "domain_first", "rewrite_first", "upstream_first"]
-    out = out.select(*keep, *[earlier(f).alias(rule) for rule, f in zip(RULES, firsts)])
+    slim = rows.select("event_id", "position", "set_key")
+    titles = slim.join(copies, ["event_id", "set_key"]).filter(F.col("title_first") < F.col("position"))
+    rewrites = _first_within(rows, pairs, C.REWRITE_MINUTES).filter(F.col("rewrite_first") < F.col("position"))
+    hits = (_equal_keys(rows)
+            .unionByName(titles.select("event_id", "position", F.lit("near_identical_title").alias("rule")))
+            .unionByName(rewrites.select("event_id", "position", F.lit("rapid_rewrite").alias("rule"))))
+    found = hits.groupBy("event_id", "position").agg(*[F.bool_or(F.col("rule") == r).alias(r) for r in RULES])
+    out = rows.join(found, ["event_id", "position"], "left").select(
+        *keep, *[F.coalesce(r, F.lit(False)).alias(r) for r in RULES])
     verdict = F.lit(False)
     for rule in RULES:
         verdict = verdict | F.col(rule)
