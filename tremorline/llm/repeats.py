@@ -361,7 +361,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .withColumnRenamed("id", id_col))
 
 
-@query()
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS win
+      FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS s FROM d WHERE len(h) >= 200)),
+r AS (SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, s) > 1),
+i AS (SELECT doc_id, s, max(s + 100) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+g AS (SELECT doc_id, s, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM i),
+p AS (SELECT doc_id, k, min(s) AS a, max(s) + 100 AS b FROM g GROUP BY doc_id, k),
+q AS (SELECT doc_id, list(a ORDER BY a) AS las, list(b ORDER BY a) AS lbs, count(*) AS n, sum(b - a) AS gone FROM p GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE array_to_string(list_transform(range(1, n + 2), lambda x:
+         substr(h, 2 * CASE WHEN x = 1 THEN 0 ELSE lbs[x - 1] END + 1,
+                2 * (CASE WHEN x = n + 1 THEN len(h) // 2 ELSE las[x] END - CASE WHEN x = 1 THEN 0 ELSE lbs[x - 1] END))), '') END)) AS kept_sha256
+FROM d LEFT JOIN q USING (doc_id)
+"""
+
+
+@query(SQL)
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
