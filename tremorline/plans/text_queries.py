@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tremorline.functions import constants as C
 from tremorline.functions.geo import haversine_miles
@@ -40,11 +40,18 @@ _NEIGHBOURS = {
   {r_sql(jaccard_sql('x.b', 'y.b'), 6)} AS body_similarity FROM sets x JOIN sets y ON y.doc_id = x.doc_id + 1""", **_NEIGHBOURS))
 def title_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of each document to the next one, by headline and by whole text."""
-    sets = documents(spark, sf_dir).select("doc_id", token_set(F.col("title")).alias("t"),
-                                           token_set(F.col("text")).alias("b"))
-    following = sets.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("t2"), F.col("b").alias("b2"))
-    return sets.join(following, "doc_id").select(
-        "doc_id", round_to(jaccard(F.col("t"), F.col("t2")), 6).alias("title_similarity"),
+    def hashed(text: str) -> Column:
+        return F.transform(token_set(F.col(text)), lambda w: F.xxhash64(w))
+
+    # Each text is split once; its hashed words go to its own pair and to that of the document before.
+    sets = documents(spark, sf_dir).select("doc_id", hashed("title").alias("t"), hashed("text").alias("b"))
+    both = F.explode(F.array(F.struct(F.col("doc_id").alias("pair"), F.lit(0).alias("side")),
+                             F.struct((F.col("doc_id") - 1).alias("pair"), F.lit(1).alias("side"))))
+    sent = sets.select(both.alias("p"), "t", "b").select("p.pair", "p.side", "t", "b")
+    one, two = ([F.first(F.when(F.col("side") == s, F.col(c)), ignorenulls=True) for c in ("t", "b")] for s in (0, 1))
+    met = sent.groupBy("pair").agg(one[0].alias("t"), one[1].alias("b"), two[0].alias("t2"), two[1].alias("b2"))
+    return met.where("t is not null and t2 is not null").select(
+        F.col("pair").alias("doc_id"), round_to(jaccard(F.col("t"), F.col("t2")), 6).alias("title_similarity"),
         round_to(jaccard(F.col("b"), F.col("b2")), 6).alias("body_similarity"))
 
 
