@@ -179,6 +179,46 @@ def article_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "confidence_score", "severity_score", "location_precision", "outlet")
 
 
+_ARTICLE_FILES = with_ctes(f"""SELECT concat('er-', CAST(a.ord AS VARCHAR)) AS source_id, trim(a.title) AS title,
+  strftime(coalesce(CASE WHEN contains(a.date_text, 'T') THEN try_cast(regexp_replace(a.date_text, '(Z|[+-]\\d{{2}}:?\\d{{2}})$', '') AS TIMESTAMP)
+    ELSE try_strptime(substring(a.date_text, 1, 10), '%Y-%m-%d') + INTERVAL 12 HOUR END, {NOW_SQL}), '%Y-%m-%d %H:%M:%S') AS occurred_at,
+  nullif(trim(a.url), '') AS source_url, a.event_uri, a.outlet, CAST(a.ord AS VARCHAR) AS er_uri,
+  {r_sql('c.class_score')} AS classification_score, l.precision AS payload_precision, least(5, len(a.categories)) AS n_labels
+FROM articles a JOIN classified c USING (ord) JOIN located l USING (ord)
+WHERE l.latitude IS NOT NULL AND l.longitude IS NOT NULL AND NOT (l.latitude = 0 AND l.longitude = 0)""",
+                           "articles", **CLASSIFIED, **LOCATED)
+
+
+def _normal_articles(raw: DataFrame) -> DataFrame:
+    text = F.col("raw_payload_json")
+    return A.normalize_articles(raw, NOW, TEST_LEXICON, min_precision="state").select(
+        "source_id", "title", F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss").alias("occurred_at"), "source_url",
+        "event_uri", "outlet", json_field(text, "er_uri").alias("er_uri"),
+        json_field(text, "classification_score").cast("double").alias("classification_score"),
+        json_field(text, "precision").alias("payload_precision"),
+        F.size(F.from_json(json_field(text, "categories"), "array<string>")).cast("long").alias("n_labels"))
+
+
+@query(_ARTICLE_FILES)
+def read_article_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Land articles one per line, read the files, normalise; time, URL and payload are compared too."""
+    folder = f"{shared_dir(spark)}/articles-{uuid.uuid4().hex}"
+    raw_articles(spark, sf_dir).drop("ord").write.json(folder)
+    return _normal_articles(A.read_articles(spark, folder))
+
+
+@query(_ARTICLE_FILES)
+def read_article_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same articles landed as pages of up to 100, as the feed sends them."""
+    folder = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    raw = raw_articles(spark, sf_dir)
+    page = F.to_json(F.struct(F.struct(F.collect_list(F.struct(*[c for c in raw.columns if c != "ord"])).alias("results"))
+                              .alias("articles")))
+    (raw.groupBy(F.floor(F.col("ord") / 100).alias("page")).agg(page.alias("value"))
+     .write.partitionBy("page").text(folder))
+    return _normal_articles(A.read_articles(spark, folder, pages=True))
+
+
 @query(with_ctes("""SELECT id, source_id, title, NULL::VARCHAR AS external_id, 'US' AS country, NULL::VARCHAR AS summary,
   confidence_score FROM incidents""", "incidents"))
 def evolve_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
