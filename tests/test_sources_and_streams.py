@@ -266,3 +266,15 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(occurred_at" in plan and "title" not in plan.split("ReadSchema")[1]
     top = S.priorities(spark.range(10).select("id", F.rand(1).alias("priority_score")))
     assert "TakeOrderedAndProject" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_refresh_reads_the_days_of_the_window(spark, tmp_path):
+    store = live.Store(str(tmp_path / "store"))
+    live.ingest_samples(spark, store, 0, NOW)
+    live.ingest_samples(spark, store, 1, "2025-03-01 00:00:00")  # nothing new, and no file
+    window = F.lit("2025-03-15 20:00:00").cast("timestamp")
+    recent = store.corroborated_events(spark, window)
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    assert store.events(spark).count() == 16
+    assert recent.count() == store.events(spark).filter(F.to_date("occurred_at") >= F.to_date(window)).count()

@@ -59,12 +59,15 @@ def still_selected(selected: DataFrame, snapshot: DataFrame, key: str = "id") ->
     return snapshot.join(selected.select(key), key, "left_semi")
 
 
-def list_events(events: DataFrame, limit: int = 500, offset: int = 0) -> DataFrame:
-    """A page of active incidents, newest first.  ``after`` pages avoid sorting what was already shown."""
+def list_events(events: DataFrame, limit: int = 500, offset: int = 0, most_offset: int = 100_000) -> DataFrame:
+    """A page of active incidents, newest first.
+
+    Every task keeps ``offset + limit`` rows, so the offset is bounded; ``list_events_after`` serves deeper pages.
+    """
     if not 0 <= limit <= 1000:
         raise ValueError("limit must be between 0 and 1000")
-    if offset < 0:
-        raise ValueError("offset must not be negative")
+    if not 0 <= offset <= most_offset:
+        raise ValueError(f"offset must be between 0 and {most_offset}; deeper pages: list_events_after")
     return active(events).orderBy(F.desc("occurred_at"), "id").offset(offset).limit(limit)
 
 

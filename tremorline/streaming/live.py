@@ -33,7 +33,10 @@ from tremorline.sources.samples import sample_events
 
 @dataclass(frozen=True)
 class Store:
-    """Folders of the tables: ``events`` and ``sources`` grow by batch, ``runs`` is a log, hotspots are snapshots."""
+    """Folders of the tables: ``events`` and ``sources`` grow by batch, ``runs`` is a log, hotspots are snapshots.
+
+    Inside a batch, incidents are partitioned by day, so reads of a time window skip the other days.
+    """
 
     root: str
 
@@ -46,24 +49,30 @@ class Store:
         folder = jvm.org.apache.hadoop.fs.Path(self.path(name))
         if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
             return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).option("recursiveFileLookup", "false").parquet(self.path(name)).select(
-            *schema.fieldNames())
+        return spark.read.schema(schema).option("recursiveFileLookup", "false").parquet(self.path(name))
 
-    def events(self, spark: SparkSession) -> DataFrame:
-        return self._read(spark, "events", EVENT)
+    def events(self, spark: SparkSession, since: Column | None = None) -> DataFrame:
+        """Incidents, or those of the days from ``since`` on; other days are not read."""
+        stored = self._read(spark, "events", EVENT)
+        if since is not None and "event_date" in stored.columns:
+            stored = stored.filter(F.col("event_date") >= F.to_date(since))
+        return stored.select(*EVENT.fieldNames())
 
     def sources(self, spark: SparkSession) -> DataFrame:
-        return self._read(spark, "sources", EVENT_SOURCE)
+        return self._read(spark, "sources", EVENT_SOURCE).select(*EVENT_SOURCE.fieldNames())
 
     def runs(self, spark: SparkSession) -> DataFrame:
-        return sinks.current_runs(self._read(spark, "runs", INGEST_RUN))
+        return sinks.current_runs(self._read(spark, "runs", INGEST_RUN).select(*INGEST_RUN.fieldNames()))
 
-    def corroborated_events(self, spark: SparkSession) -> DataFrame:
-        """Incidents with the source counts and confidence their provenance gives them.
+    def corroborated_events(self, spark: SparkSession, since: Column | None = None) -> DataFrame:
+        """Incidents (from the day of ``since`` on) with the source counts and confidence their provenance gives them.
 
-        The article that opened an incident is its first source, not a corroboration of it.
+        The article that opened an incident is its first source, not a corroboration of it.  Only sources of these
+        incidents are counted.
         """
-        events, sources = self.events(spark), self.sources(spark)
+        events, sources = self.events(spark, since), self.sources(spark)
+        if since is not None:
+            sources = sources.join(events.select(F.col("id").alias("event_id")), "event_id", "left_semi")
         openers = events.filter(F.col("source_name") == C.ARTICLE_FEED).select(
             F.col("id"), F.col("source_id"), F.col("title"), F.col("occurred_at"))
         others = sources.join(openers, (sources["event_id"] == openers["id"])
@@ -76,7 +85,10 @@ class Store:
         return f"{self.path(name)}/batch={feed}-{batch:012d}"
 
     def write_batch(self, df: DataFrame, name: str, feed: str, batch: int) -> None:
-        df.write.mode("overwrite").parquet(self.batch_path(name, feed, batch))
+        writer = df.write.mode("overwrite")
+        if name == "events":
+            writer = df.withColumn("event_date", F.to_date("occurred_at")).write.mode("overwrite").partitionBy("event_date")
+        writer.parquet(self.batch_path(name, feed, batch))
 
     def latest(self, spark: SparkSession, name: str) -> DataFrame:
         return sinks.latest_snapshot(spark, self.path(name))
@@ -153,7 +165,7 @@ def _logged(spark: SparkSession, store: Store, batch: int, source: str, now: Clo
 
 def _append(fresh: DataFrame, store: Store, feed: str, batch: int) -> int:
     store.write_batch(with_ids(fresh, feed, batch).select(*EVENT.fieldNames()), "events", feed, batch)
-    return fresh.sparkSession.read.parquet(store.batch_path("events", feed, batch)).count()
+    return fresh.sparkSession.read.schema(EVENT).parquet(store.batch_path("events", feed, batch)).count()
 
 
 def _stored_of(spark: SparkSession, store: Store, feed: str, batch: int) -> DataFrame:
@@ -177,8 +189,8 @@ def ingest_samples(spark: SparkSession, store: Store, batch: int, now: datetime
 def reset_and_seed(spark: SparkSession, store: Store, now: datetime | str | Column, version: int) -> DataFrame:
     """Replace all incidents by the samples and recompute hotspots; provenance and run log stay."""
     samples = with_ids(as_events(sample_events(spark, now), instant(now)), C.SAMPLE_FEED, 0).select(*EVENT.fieldNames())
-    (samples.withColumn("batch", F.lit(f"{C.SAMPLE_FEED}-{0:012d}")).write.mode("overwrite").partitionBy("batch")
-     .parquet(store.path("events")))
+    (samples.withColumns({"batch": F.lit(f"{C.SAMPLE_FEED}-{0:012d}"), "event_date": F.to_date("occurred_at")})
+     .write.mode("overwrite").partitionBy("batch", "event_date").parquet(store.path("events")))
     return refresh_hotspots(spark, store, now, version)
 
 
@@ -213,7 +225,7 @@ def ingest_articles(rows: DataFrame, store: Store, batch: int, now: datetime | s
     span = normal.agg(F.min("occurred_at").alias("lo"), F.max("occurred_at").alias("hi")).first()
     if span["lo"] is None:
         return 0
-    known = of_other_batches(store.events(spark), C.ARTICLE_FEED, batch)
+    known = of_other_batches(store.events(spark, F.lit(span["lo"]) - hours(C.MATCH_HOURS)), C.ARTICLE_FEED, batch)
     near = known.filter(F.col("occurred_at").between(F.lit(span["lo"]) - hours(C.MATCH_HOURS),
                                                      F.lit(span["hi"]) + hours(C.MATCH_HOURS)))
     new = exact_dedup(normal, _stored_of(spark, store, C.ARTICLE_FEED, batch), ["ord"])
@@ -269,7 +281,8 @@ def run_article_feed(spark: SparkSession, landed: str, store: Store, now: Clock,
 
 def refresh_hotspots(spark: SparkSession, store: Store, now: datetime | str | Column, version: int) -> DataFrame:
     """Recompute hotspots from the stored incidents and publish them, with membership, as a new snapshot."""
-    hotspots, membership = compute_hotspots(store.corroborated_events(spark), now)
+    window = instant(now) - hours(C.CLUSTER_HOURS)
+    hotspots, membership = compute_hotspots(store.corroborated_events(spark, window), now)
     sinks.replace_snapshot(hotspots, store.path("hotspots"), version)
     sinks.replace_snapshot(membership, store.path("hotspot_members"), version)
     return store.latest(spark, "hotspots")
