@@ -145,7 +145,7 @@ def recurring_templates(docs: DataFrame, depth: int = 3, min_docs: int = 10, con
         F.array_sort(F.collect_list(F.struct("field", F.when(F.col("fixed"), F.col("top.token")).otherwise(-1).alias("token")))).alias("f"))
         .where((F.col("share") >= similarity) & (F.col("support") >= min_docs))
         .join(often, "leaf", "left_semi").select("leaf", F.col("f.token").alias("template")))
-    return places, templates
+    return places, cut_lineage(templates)  # written, so that a join may split a leaf with very many lines
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_docs: int = 10,
