@@ -278,3 +278,14 @@ def test_refresh_reads_the_days_of_the_window(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(event_date" in plan
     assert store.events(spark).count() == 16
     assert recent.count() == store.events(spark).filter(F.to_date("occurred_at") >= F.to_date(window)).count()
+
+
+def test_short_rows_with_quoted_tabs_and_counts(spark, tmp_path):
+    """A row of 60 real fields is dropped however many tabs it quotes; counting rows works without naming columns."""
+    fields = export_line(global_event_id="1").split("\t")
+    fields[2] = '"a\tb"'
+    short = "\t".join(fields[:60])
+    (tmp_path / "a.CSV").write_text("\n".join([short, "\t".join(fields), export_line(global_event_id="2")]) + "\n", encoding="utf-8")
+    raw = X.read_export_tsv(spark, str(tmp_path))
+    assert normal_ids(raw) == ["gdelt-1", "gdelt-2"]
+    assert raw.count() == 2
