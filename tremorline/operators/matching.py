@@ -135,23 +135,27 @@ def best_match(articles: DataFrame, events: DataFrame, hours: float = C.MATCH_HO
 
 def match_few(articles: DataFrame, leaders: DataFrame, hours: float = C.MATCH_HOURS, miles: float = C.MATCH_MILES,
               threshold: float = C.MATCH_SIMILARITY, article_id: str = "ord") -> DataFrame:
-    """All qualifying (article, leader) pairs for a bounded set of leaders, each visible only to later articles.
+    """All qualifying (article, leader) pairs, each leader visible only to later articles.
 
-    ``leaders`` has one row per incident opened in the current run (``id``, ``visible_from`` and the event columns);
-    its size is limited by the per-run cap, so it is broadcast.
+    ``leaders`` has one row per incident opened in the current run (``id``, ``visible_from`` and the event columns).
+    They meet in an equi-join on cells of the globe: a leader is copied to the up to 8 cells it reaches, an article is
+    in one, so a pair comes out once.  Whether leaders are broadcast is left to Spark's size check.
     """
+    size = 4.0 * miles
     a = articles.select(F.col(article_id), token_set(F.col("title")).alias("a_tokens"),
                         F.col("event_type").alias("a_type"), F.col("latitude").alias("a_lat"),
                         F.col("longitude").alias("a_lon"), F.unix_micros("occurred_at").alias("a_micros"))
     e = leaders.select(F.col("id").alias("event_id"), "visible_from", token_set(F.col("title")).alias("e_tokens"),
                        F.col("event_type").alias("e_type"), F.col("latitude").alias("e_lat"),
                        F.col("longitude").alias("e_lon"), F.unix_micros("occurred_at").alias("e_micros"))
+    a = a.withColumn("cell", coded_cell(F.col("a_lat"), F.col("a_lon"), size))
+    e = explode_cells(e, "e_lat", "e_lon", size, miles).withColumnRenamed("cell", "e_cell")
     apart = F.abs(F.col("a_micros") - F.col("e_micros"))
     similarity = jaccard(F.col("a_tokens"), F.col("e_tokens"))
     distance = haversine_miles(F.col("a_lat"), F.col("a_lon"), F.col("e_lat"), F.col("e_lon"))
     needed = F.when(types_compatible(F.col("a_type"), F.col("e_type")), F.lit(threshold)).otherwise(
         F.lit(threshold) + F.lit(C.INCOMPATIBLE_EXTRA))
-    met = a.join(F.broadcast(e), (F.col(article_id) > F.col("visible_from"))
+    met = a.join(e, (F.col("cell") == F.col("e_cell")) & (F.col(article_id) > F.col("visible_from"))
                  & (apart <= int(hours * HOUR_MICROS)) & (distance <= F.lit(float(miles))) & (similarity >= needed))
     hours_apart = apart / F.lit(1e6) / F.lit(3600.0)
     return met.select(article_id, "event_id", similarity.alias("similarity"), hours_apart.alias("hours_apart"),
