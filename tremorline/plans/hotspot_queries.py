@@ -125,10 +125,13 @@ _NAMING = {
 }
 
 
-@query(with_ctes(f"""SELECT p.box, coalesce(
+_NAME_SQL = f"""coalesce(
   CASE WHEN b.city IS NULL THEN NULL WHEN c.state IS NULL THEN b.city ELSE concat(b.city, ', ', c.state) END,
   {_STATE_CASE} || ' region',
-  printf('Cluster (%.1f°N, %.1f°W)', p.centroid_lat, abs(p.centroid_lon))) AS name
+  printf('Cluster (%.1f°N, %.1f°W)', p.centroid_lat, abs(p.centroid_lon)))"""
+
+
+@query(with_ctes(f"""SELECT p.box, {_NAME_SQL} AS name
 FROM (SELECT DISTINCT box, centroid_lat, centroid_lon FROM placed) p LEFT JOIN states s USING (box)
 LEFT JOIN best b USING (box) LEFT JOIN city_states c ON c.box = b.box AND c.kind = b.kind AND c.city = b.city""",
                  "incidents", **_NAMING))
@@ -295,9 +298,24 @@ def greedy_cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy_clusters(S.active(incidents(spark, sf_dir)))
 
 
-@query()
+_COMPUTED = {k: v for k, v in _ANCHORED.items() if k not in ("numbered", "placed")} | {
+    "numbered": """SELECT *, row_number() OVER (ORDER BY k DESC, pass, opened) AS hotspot_id FROM largest
+      ORDER BY k DESC, pass, opened LIMIT 15""",
+    "listed": "SELECT m.*, n.hotspot_id FROM members m JOIN numbered n USING (pass, cluster)",
+    "placed": """SELECT l.*, l.hotspot_id AS box, c.centroid_lat, c.centroid_lon FROM listed l JOIN (SELECT hotspot_id,
+      avg(latitude) AS centroid_lat, avg(longitude) AS centroid_lon FROM listed GROUP BY hotspot_id) c USING (hotspot_id)""",
+} | {k: v for k, v in _NAMING.items() if k not in ("boxed", "placed")}
+
+
+@query(with_ctes(f"""SELECT h.hotspot_id AS id, {_NAME_SQL} AS name, {r_sql('h.centroid_lat', 6)} AS centroid_lat,
+  {r_sql('h.centroid_lon', 6)} AS centroid_lon, {', '.join(f'h.{c}' for c in SCORE_COLUMNS)}
+FROM ({scores_sql('listed', 'hotspot_id')}) h JOIN (SELECT DISTINCT box, centroid_lat, centroid_lon FROM placed) p ON p.box = h.hotspot_id
+LEFT JOIN states s ON s.box = p.box LEFT JOIN best b ON b.box = p.box
+LEFT JOIN city_states c ON c.box = b.box AND c.kind = b.kind AND c.city = b.city""", "recent", **_COMPUTED))
 def compute_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.compute_hotspots(incidents(spark, sf_dir), NOW)[0].drop("last_computed_at")
+    """The 15 largest hotspots of the window, as they are published."""
+    out = H.compute_hotspots(incidents(spark, sf_dir), NOW)[0].drop("last_computed_at")
+    return out.withColumns({c: round_to(F.col(c), 6) for c in ("centroid_lat", "centroid_lon")})
 
 
 _SUMMARY = """concat(CASE trend_state WHEN 'escalating' THEN 'Escalating' WHEN 'declining' THEN 'Declining' ELSE 'Ongoing' END, ' ',
