@@ -347,7 +347,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = cut_lineage(runs.repartition("digit").sortWithinPartitions("digit", "run", "id", "tie", "place")
                          .mapInArrow(_mark, "digit long, id long, tie long, place long"))
     compare = marked.where("digit is not null")
-    crowds = compare.groupBy("digit").agg((F.count("*") > crowd).alias("crowded")).where("crowded")
+    # Written, so that the join below may split a digit with very many runs.
+    crowds = cut_lineage(compare.groupBy("digit").agg((F.count("*") > crowd).alias("crowded")).where("crowded"))
     wanted = (compare.join(crowds, "digit", "left").groupBy("id", "tie")
               .agg(F.collect_list(F.struct("digit", "place", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("wanted")))
     pieces = (own.select("id", "tie", "text").join(wanted, ["id", "tie"]).select("id", "tie", "text", "wanted")
