@@ -1,8 +1,9 @@
 """Line dedup by a log-template tree: token count and leading tokens lead to a leaf, varying fields are generalised.
 
 The tree has fixed depth: the number of tokens of a line, then its first tokens; a token that holds a digit is a
-variable field everywhere.  In a leaf each further field is constant if one token holds it in most lines, else variable.
-A leaf whose template is mostly constant and recurs in enough documents drops its matching lines.
+variable field everywhere.  A leaf holds many templates: every line as it is, every line with one more field
+variable, and the one in which a field is constant if one token holds it in most lines of the leaf.  A template that
+recurs in enough documents drops its lines; apart from whole lines it must be mostly constant behind the leading tokens.
 """
 
 from __future__ import annotations
@@ -43,6 +44,75 @@ def _lines(data: np.ndarray, ends: np.ndarray, depth: int) -> Iterator[tuple[int
                 yield r, k, _leaf(tokens, depth), tokens
 
 
+def _keys(tokens: list[bytes], depth: int, similarity: float) -> list[int]:
+    """Keys of the line as it is, and with each one field behind the leading ones variable, if mostly constant then.
+
+    A key is a sum of hashes of tokens and their places, so a long line costs no more per token.
+    """
+    digest, wrap = xxhash.xxh3_64_intdigest, (1 << 64) - 1
+    parts = [digest(t, j) for j, t in enumerate(tokens)]
+    whole, constant = sum(parts), sum(t != FIELD for t in tokens[depth:])
+    out = [whole & wrap] if constant or any(t != FIELD for t in tokens[:depth]) else []
+    if constant > 1 and constant - 1 >= similarity * (len(tokens) - depth):
+        out += [whole - parts[j] + digest(FIELD, j) & wrap for j in range(depth, len(tokens)) if tokens[j] != FIELD]
+    return [x - (1 << 64) if x >> 63 else x for x in out]
+
+
+def _key_counts(depth: int, similarity: float, leaf_words: dict[int, int]):
+    """``key, n``: the documents with each key, of lines whose leaf passes the filter."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = utf8(batch.column(0))
+            out, last, seen = [], -1, set()
+            for r, _, leaf, tokens in _lines(data, ends, depth):
+                if not _passes(leaf, leaf_words):
+                    continue
+                if r != last:
+                    out += seen
+                    last, seen = r, set()
+                seen.update(_keys(tokens, depth, similarity))
+            keys, n = np.unique(np.array(out + list(seen), np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    return work
+
+
+def _key_places(depth: int, similarity: float, leaf_words: dict[int, int], key_words: dict[int, int]):
+    """``key, id, tie, line`` for the keys that pass the filter."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = utf8(batch.column(2))
+            row, line, key = [], [], []
+            for r, k, leaf, tokens in _lines(data, ends, depth):
+                if _passes(leaf, leaf_words):
+                    for x in _keys(tokens, depth, similarity):
+                        if _passes(x, key_words):
+                            row.append(r)
+                            line.append(k)
+                            key.append(x)
+            at = np.array(row, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key, pa.int64()), pa.array(batch.column(0).to_numpy()[at]), pa.array(batch.column(1).to_numpy()[at]),
+                 pa.array(line, pa.int32())], ["key", "id", "tie", "line"])
+
+    return work
+
+
+def _passes(x: int, words: dict[int, int]) -> int:
+    bit = x & (1 << FILTER_BITS) - 1
+    return words.get(bit >> 6, 0) >> (bit & 63) & 1
+
+
+def _filter(keys: DataFrame, name: str) -> dict[int, int]:
+    """The last bits of a column of longs as a bit set, by words of 64 bits."""
+    bit = F.col(name).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    bits = (keys.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(({name} & 63) as int))").alias("flag"))
+            .groupBy("word").agg(F.bit_or("flag").alias("flags")).collect())  # at most 2 ** 16 rows
+    return {r["word"]: r["flags"] & (1 << 64) - 1 for r in bits}
+
+
 def _places(depth: int):
     """The leaf of every line: ``leaf, id, tie, line``; and once per document and leaf a count of 1."""
 
@@ -71,13 +141,12 @@ def _field_counts(depth: int, filter_words: dict[int, int]):
     """``leaf, field, token, n`` for lines whose leaf passes the filter; a line counts once per document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask, digest = (1 << FILTER_BITS) - 1, xxhash.xxh32_intdigest
+        digest = xxhash.xxh32_intdigest
         for batch in batches:
             data, ends = utf8(batch.column(0))
             out, last, seen = [], -1, set()
             for r, _, leaf, tokens in _lines(data, ends, depth):
-                bit = leaf & mask
-                if not filter_words.get(bit >> 6, 0) >> (bit & 63) & 1:
+                if not _passes(leaf, filter_words):
                     continue
                 if r != last:
                     last, seen = r, set()
@@ -97,7 +166,7 @@ def _field_counts(depth: int, filter_words: dict[int, int]):
 
 
 def _cut(depth: int, agree: float):
-    """Texts without the lines that match the template of their leaf."""
+    """Texts without the lines that are named without a template, or match theirs behind the leading tokens."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh32_intdigest
@@ -108,8 +177,11 @@ def _cut(depth: int, agree: float):
                 lines = data[ends[r]:ends[r + 1]].tobytes().split(b"\n")
                 gone = []
                 for w in wanted or ():
+                    if w["template"] is None:
+                        gone.append(w["line"])
+                        continue
                     tokens = _tokens(lines[w["line"]])
-                    fixed = [(t, x) for t, x in zip(tokens, w["template"]) if x >= 0]
+                    fixed = [(t, x) for t, x in list(zip(tokens, w["template"]))[depth:] if x >= 0]
                     if sum(digest(t) == x for t, x in fixed) >= agree * len(fixed):
                         gone.append(w["line"])
                 out = set(gone)
@@ -123,43 +195,52 @@ def _cut(depth: int, agree: float):
 
 
 def recurring_templates(docs: DataFrame, depth: int = 3, min_docs: int = 10, constant: float = 0.5,
-                        similarity: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """From ``id, tie, text``: the places ``leaf, id, tie, line`` of all lines, and ``leaf, template`` of recurring leaves.
+                        similarity: float = 0.6) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From ``id, tie, text``: the places ``leaf, id, tie, line`` of all lines, ``leaf, template`` of recurring leaves,
+    and the places ``id, tie, line`` of lines that recur as they are or with one more variable field.
 
     A template lists per field the hash of its constant token, or -1 for a variable one.  It recurs if at least
-    ``similarity`` of its fields are constant and each constant token was seen in ``min_docs`` documents or more.
+    ``similarity`` of its fields behind the leading ones are constant and each constant token was seen in ``min_docs``
+    documents or more.  A line of variable fields only is no template.
     """
     places = cut_lineage(docs.select("id", "tie", "text").mapInArrow(
         _places(depth), "leaf long, id long, tie long, line int, docs long"))
     often = cut_lineage(places.groupBy("leaf").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
-    bit = F.col("leaf").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    bits = (often.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast((leaf & 63) as int))").alias("flag"))
-            .groupBy("word").agg(F.bit_or("flag").alias("flags")).collect())  # at most 2 ** 16 rows
-    filter_words = {r["word"]: r["flags"] & (1 << 64) - 1 for r in bits}
-    counts = (docs.select("text").mapInArrow(_field_counts(depth, filter_words), "leaf long, field long, token long, n long")
+    leaf_words = _filter(often, "leaf")
+    keys = cut_lineage(docs.select("text").mapInArrow(_key_counts(depth, similarity, leaf_words), "key long, n long")
+                       .groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("key"))
+    sure = (docs.select("id", "tie", "text")
+            .mapInArrow(_key_places(depth, similarity, leaf_words, _filter(keys, "key")), "key long, id long, tie long, line int")
+            .join(keys, "key", "left_semi").select("id", "tie", "line"))
+    counts = (docs.select("text").mapInArrow(_field_counts(depth, leaf_words), "leaf long, field long, token long, n long")
               .groupBy("leaf", "field", "token").agg(F.sum("n").alias("n")))
     fields = (counts.groupBy("leaf", "field").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("lines"))
               .withColumn("fixed", (F.col("top.n") > constant * F.col("lines")) & (F.col("top.token") != FIELD_HASH)))
     templates = (fields.groupBy("leaf").agg(
-        F.avg(F.col("fixed").cast("double")).alias("share"), F.min(F.when(F.col("fixed"), F.col("top.n"))).alias("support"),
+        F.avg(F.when(F.col("field") >= depth, F.col("fixed").cast("double"))).alias("share"),
+        F.min(F.when(F.col("fixed"), F.col("top.n"))).alias("support"),
         F.array_sort(F.collect_list(F.struct("field", F.when(F.col("fixed"), F.col("top.token")).otherwise(-1).alias("token")))).alias("f"))
         .where((F.col("share") >= similarity) & (F.col("support") >= min_docs))
         .join(often, "leaf", "left_semi").select("leaf", F.col("f.token").alias("template")))
-    return places, cut_lineage(templates)  # written, so that a join may split a leaf with very many lines
+    return places, cut_lineage(templates), sure  # written, so that a join may split a leaf with very many lines
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_docs: int = 10,
                          constant: float = 0.5, similarity: float = 0.6, agree: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: id, ``text`` without recurring lines, ``n_lines`` (not blank) and ``dropped`` numbers.
 
-    A line matches a template if it agrees with at least ``agree`` of its constant fields.  Lines end at line breaks;
-    blank lines stay.  Every row counts as a document, repeated rows too; null ids are an id; null texts are
-    empty; an empty table gives an empty table; other columns are ignored.
+    A line goes if it recurs in ``min_docs`` documents as it is (tokens with digits apart), or with one more variable field,
+    or if behind the leading tokens it agrees with at least ``agree`` of the constant fields of its leaf's template.  Lines
+    end at line breaks; blank lines stay.  Every row counts as a document, repeated rows too; null ids are an id; null
+    texts are empty; an empty table gives an empty table; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     own = keyed(docs, id_col, text_col)
-    places, templates = recurring_templates(own, depth, min_docs, constant, similarity)
-    wanted = (places.join(templates, "leaf").groupBy("id", "tie", "line").agg(F.first("template").alias("template"))
+    places, templates, sure = recurring_templates(own, depth, min_docs, constant, similarity)
+    by_leaf = places.join(templates, "leaf").select("id", "tie", "line", "template")
+    named = sure.withColumn("template", F.lit(None).cast("array<long>")).unionByName(by_leaf)
+    wanted = (named.groupBy("id", "tie", "line").agg(F.min("template").alias("template"), F.count("template").alias("n"), F.count("*").alias("all"))
+              .select("id", "tie", "line", F.when(F.col("n") == F.col("all"), F.col("template")).alias("template"))
               .groupBy("id", "tie").agg(F.collect_list(F.struct("line", "template")).alias("wanted")))
     return (own.join(wanted, ["id", "tie"], "left").select("doc", "text", "wanted")
             .mapInArrow(_cut(depth, agree), "id long, text string, n_lines long, dropped array<long>")
