@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tremorline.llm import chat, decontaminate, divergence, fingerprint, infill, mixing, quality, repeats, sharding, simhash, templates, toxicity  # noqa: F401
+from tremorline.llm import chat, decontaminate, divergence, fingerprint, infill, mixing, quality, repeats, sharding, simhash, templates, topk, toxicity  # noqa: F401
 from tremorline.llm.common import ORACLES, QUERIES
 
 QUERIES["pipeline"] = corpus_pipeline.run
