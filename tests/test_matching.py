@@ -10,6 +10,7 @@ from tremorline.functions import constants as C
 from tremorline.operators.corroboration import apply_corroboration, corroboration_counts, provenance_rows
 from tremorline.operators.dedup import exact_dedup, merge_page
 from tremorline.operators.discovery import discover_novel
+from tremorline.operators import earlier, matching
 from tremorline.operators.matching import best_match
 from tremorline.operators.syndication import RULES, syndication_rules
 
@@ -60,6 +61,35 @@ def matched(spark, articles, events, **kw):
     return {r["ord"]: (r["score"], r["event_id"]) for r in rows}
 
 
+def one_headline(n, seed, kinds=("protest",)):
+    """``n`` articles and ``n`` incidents of one headline, all at places and times of their own near each other."""
+    rnd = random.Random(seed)
+
+    def row():
+        return (47.6 + rnd.gauss(0, 0.1), -122.3 + rnd.gauss(0, 0.15), T0 + timedelta(seconds=rnd.randrange(-80000, 80000)),
+                rnd.choice(kinds))
+
+    title = "Protest march downtown seattle"
+    return ([(o, title, *row(), 0.5, "city") for o in range(n)], [(i, title, *row(), rnd.random() < 0.95) for i in range(n)])
+
+
+def test_best_of_one_headline_in_split_blocks(spark):
+    articles, events = one_headline(300, 3, ("protest", "unrest", "political_violence"))
+    events += [(1000 + k, *events[k % 7][1:]) for k in range(60)] + [(2000 + k, *articles[k][1:6], True) for k in range(0, 300, 9)]
+    want, got = brute(articles, events), matched(spark, articles, events)
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+
+
+def test_one_headline_at_many_points_gives_a_linear_number_of_candidates(spark):
+    per_article = []
+    for n in (250, 1000):
+        articles, events = one_headline(n, n)
+        a = matching._side(spark.createDataFrame(articles, ARTICLE), "ord")
+        e = matching._side(spark.createDataFrame(events, EVENT).filter("is_active"), "id")
+        per_article.append(matching.candidates(a, e, 48, 50.0, 0.4).count() / n)
+    assert per_article[1] < 1.5 * per_article[0] and per_article[1] < 100
+
+
 def art(o, title="Protest march downtown seattle", lat=47.6, lon=-122.3, ts=T0, kind="protest"):
     return (o, title, lat, lon, ts, kind, 0.54, "city")
 
@@ -203,6 +233,51 @@ def sequential_discovery(articles, events, cap):
     return opened, result
 
 
+def variants(n, times=True):
+    """One incident with ``n`` variants of a headline: three of fourteen words differ from one to the next."""
+    rnd = random.Random(n)
+    words = [f"w{a}{b}" + "x" for a in "abcdefgh" for b in "abcdefgh"]
+    base = rnd.sample(words, 14)
+    out = []
+    for position in range(n):
+        title = list(base)
+        for at in rnd.sample(range(14), 2):
+            title[at] = rnd.choice(words)
+        ts = T0 + timedelta(seconds=rnd.randrange(4 * 3600)) if times else None
+        out.append(src(position, None, None, " ".join(title), ts))
+    return out
+
+
+def test_variants_of_one_headline_agree_with_loops(spark):
+    rows = variants(160) + [src(500 + i, title=f"other{chr(97 + i % 9)} headline{chr(97 + i // 9)} about something quite new") for i in range(40)]
+    got = rules(spark, rows)
+    for n in rows:
+        earlier = [e for e in rows if e[1] < n[1]]
+        close = [e for e in earlier if e[5] and n[5] and abs((e[5] - n[5]).total_seconds()) <= 1800]
+        want = {"near_identical_title"} if any(sim(e[4], n[4]) > 0.85 for e in earlier) else set()
+        want |= {"rapid_rewrite"} if any(sim(e[4], n[4]) > 0.7 for e in close) else set()
+        assert got[n[0], n[1]] == want
+
+
+def test_variants_of_one_headline_are_compared_a_few_times_each(spark, monkeypatch):
+    compared = []
+
+    def counted(*args, real=earlier._compared):
+        pairs = real(*args)
+        compared.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(earlier, "_compared", counted)
+    each = {}
+    for n in (200, 800):
+        sets = [(i, 1, i, sorted(words(r[4]))) for i, r in enumerate(variants(n))]
+        df = spark.createDataFrame(sets, "k long, event_id long, position long, ordered array<string>")
+        assert earlier.with_earlier(df, ["event_id"], 0.7).count() > 0.9 * n
+        each[n] = sum(compared) / n
+        compared.clear()
+    assert each[800] < 2 * each[200] and each[800] < 100
+
+
 @pytest.mark.parametrize("cap", [3, 50])
 def test_discovery_agrees_with_the_sequential_rule(spark, cap):
     rnd = random.Random(cap)

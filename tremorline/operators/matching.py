@@ -7,72 +7,37 @@ lowest id on a tie.
 How it scales.  Comparing every article with every incident of its area and time would be quadratic wherever a third
 of all rows are copies of one story, so rows are never paired directly:
 
-1. Both sides collapse to groups of equal (title words, type, place, time bucket) before anything is joined.
-2. Groups meet in an equi-join on (time bucket, cell of the globe, rare title word), and only there are distance and
-   similarity computed.  Each qualifying pair of groups comes out once.
-3. Within a pair of groups only time is left to decide, and the nearest time wins.  It is found with running windows
-   over (group, hour), plus a summary of at most 192 hours per group, instead of by pairing.
+1. Articles collapse to queries, incidents to points of equal (title words, type, place, time).
+2. Distinct titles meet in a prefix-filter join on (time bucket, cell of the globe, rare word).
+3. Points of a title and type lie in adaptive blocks (``operators.blocks``).  A query opens, from coarse to fine and over
+   all similar titles together, only blocks whose best possible score its best found one does not beat.  So n copies of
+   a headline at n places and times cost each query a few blocks of at most 16 points, not n points.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tremorline.functions import constants as C
 from tremorline.functions.geo import coded_cell, explode_cells, haversine_miles
 from tremorline.functions.plan import once
 from tremorline.functions.scores import types_compatible
 from tremorline.functions.text import jaccard, token_set
+from tremorline.operators.blocks import Blocks, leaf_candidates, reached_roots, root_cell
 from tremorline.operators.similarity import hot_tokens, set_key, similar_sets
 from tremorline.session import cut_lineage
 
 HOUR_MICROS = 3_600_000_000
-GROUP = ["set_key", "event_type", "latitude", "longitude", "bucket"]
+POINT = ["set_key", "event_type", "latitude", "longitude", "micros"]
 
 
-def _side(df: DataFrame, row_id: str, bucket_micros: int) -> DataFrame:
-    """The columns matching needs, with the content key of the row's group."""
+def _side(df: DataFrame, row_id: str) -> DataFrame:
+    """The columns matching needs; rows whose title has no words cannot match."""
     rows = df.select(
         F.col(row_id).alias("row_id"), "title", F.coalesce("event_type", F.lit("")).alias("event_type"), "latitude",
-        "longitude", F.unix_micros("occurred_at").alias("micros"))
+        "longitude", F.unix_micros("occurred_at").alias("micros")).dropna(subset=POINT[2:])
     rows = once(rows, "tokens", token_set(F.col("title"))).drop("title").filter(F.size("tokens") > 0)
-    rows = rows.withColumns({"set_key": set_key(F.col("tokens")),
-                             "bucket": F.floor(F.col("micros") / F.lit(bucket_micros))})
-    content = F.concat_ws("|", F.hex("set_key"), *[F.col(c).cast("string") for c in GROUP[1:]])
-    return rows.withColumn("group_key", F.unhex(F.md5(content)))
-
-
-def _groups(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("group_key", *GROUP).agg(
-        F.min("micros").alias("first_micros"), F.max("micros").alias("last_micros"), F.first("tokens").alias("tokens"))
-
-
-def similar_groups(articles: DataFrame, events: DataFrame, hours: float, miles: float, threshold: float,
-                   bucket_micros: int) -> DataFrame:
-    """Pairs of groups that pass the distance and title gates, with similarity and distance.
-
-    Titles are compared once per pair of distinct titles that occur in a common cell and time bucket; groups then
-    join on (title, cell, bucket).  Article groups are copied to every cell and bucket they reach, incident groups
-    stay in theirs, so each pair of groups comes out once.
-    """
-    size = 4.0 * miles
-    window = int(hours * HOUR_MICROS)
-    reach = explode_cells(articles, "latitude", "longitude", size, miles).withColumn(
-        "bucket", F.explode(F.sequence(F.floor((F.col("first_micros") - window) / F.lit(bucket_micros)),
-                                       F.floor((F.col("last_micros") + window) / F.lit(bucket_micros)))))
-    placed = events.withColumn("cell", coded_cell(F.col("latitude"), F.col("longitude"), size))
-    block = ["bucket", "cell"]
-    titles = similar_sets(reach, placed, block, threshold, hot_tokens(events))
-    a = reach.select(*block, F.col("set_key").alias("a"), F.col("group_key").alias("article_group"),
-                     *[F.col(c).alias(f"a_{c}") for c in ("event_type", "latitude", "longitude")])
-    e = placed.select(*block, F.col("set_key").alias("b"), F.col("group_key").alias("event_group"),
-                      *[F.col(c).alias(f"e_{c}") for c in ("event_type", "latitude", "longitude")])
-    compatible = types_compatible(F.col("a_event_type"), F.col("e_event_type"))
-    needed = F.when(compatible, F.lit(threshold)).otherwise(F.lit(threshold) + F.lit(C.INCOMPATIBLE_EXTRA))
-    distance = haversine_miles(F.col("a_latitude"), F.col("a_longitude"), F.col("e_latitude"), F.col("e_longitude"))
-    return (a.join(titles, "a").join(e, [*block, "b"]).filter(F.col("similarity") >= needed)
-            .select("article_group", "event_group", "similarity", distance.alias("distance_miles"))
-            .filter(F.col("distance_miles") <= F.lit(miles)))
+    return rows.withColumn("set_key", set_key(F.col("tokens")))
 
 
 def match_score(similarity: Column, hours_apart: Column, distance: Column, hours: float, miles: float) -> Column:
@@ -82,26 +47,28 @@ def match_score(similarity: Column, hours_apart: Column, distance: Column, hours
             + F.lit(C.PROXIMITY_WEIGHT) * proximity)
 
 
-def _nearest_in_time(queries: DataFrame, events: DataFrame) -> DataFrame:
-    """For each query row the events of its group just at or before, and at or after, its time."""
-    slice_of = F.floor(F.col("micros") / F.lit(HOUR_MICROS))
-    points = (events.groupBy(F.col("group_key").alias("event_group"), "micros").agg(F.min("row_id").alias("event_id"))
-              .withColumn("slice", slice_of))
-    at = F.struct("micros", "event_id")
-    summary = (points.groupBy("event_group", "slice").agg(F.min(at).alias("first"), F.max(at).alias("last"))
-               .groupBy("event_group").agg(F.array_sort(F.collect_list(F.struct("slice", "first", "last")))
-                                           .alias("slices")))
-    both = queries.withColumn("slice", slice_of).unionByName(
-        points.join(queries.select("event_group").distinct(), "event_group", "left_semi"), allowMissingColumns=True)
-    point = F.when(F.col("event_id").isNotNull(), at)
-    span = Window.partitionBy("event_group", "slice").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    near = (both.withColumn("before", F.max(point).over(span.orderBy("micros")))
-            .withColumn("after", F.min(point).over(span.orderBy(F.desc("micros"))))
-            .filter(F.col("event_id").isNull()).drop("event_id").join(summary, "event_group"))
-    earlier = F.try_element_at(F.filter("slices", lambda s: s["slice"] < F.col("slice")), F.lit(-1))["last"]
-    later = F.get(F.filter("slices", lambda s: s["slice"] > F.col("slice")), F.lit(0))["first"]
-    return near.withColumns({"before": F.coalesce("before", earlier), "after": F.coalesce("after", later)}).drop(
-        "slices")
+def candidates(articles: DataFrame, events: DataFrame, hours: float, miles: float, threshold: float) -> DataFrame:
+    """Pairs of a query (``POINT`` columns of articles) and an incident that may be its best match.
+
+    Both inputs as ``_side`` gives them.  Output: the query's columns, ``similarity``, and the point as ``p_latitude,
+    p_longitude, p_micros, p_id``.
+    """
+    span = int(hours * HOUR_MICROS)
+    queries = cut_lineage(articles.groupBy(*POINT).agg(F.first("tokens").alias("tokens"))
+                          .withColumn("q", F.monotonically_increasing_id()))
+    points = events.groupBy(*POINT).agg(F.first("tokens").alias("tokens"), F.min("row_id").alias("id"))
+    points = cut_lineage(points.withColumns({
+        "cell": root_cell(F.col("latitude"), F.col("longitude"), miles), "bucket": F.floor(F.col("micros") / F.lit(4 * span))}))
+    reach = cut_lineage(reached_roots(queries, miles, span))
+    titles = similar_sets(reach, points, ["bucket", "cell"], threshold, hot_tokens(points))
+    blocks = Blocks(points.select(*POINT, "id"), ["set_key", "event_type"], miles, span)
+    roots = titles.join(blocks.levels[0].withColumnsRenamed({"set_key": "b", "event_type": "p_type"}).drop("n"), "b").drop("b")
+    needed = F.when(types_compatible(F.col("event_type"), F.col("p_type")), F.lit(threshold)).otherwise(
+        F.lit(threshold) + F.lit(C.INCOMPATIBLE_EXTRA))
+    frontier = (reach.drop("tokens").withColumnRenamed("set_key", "a").join(roots, ["a", "cell", "bucket"])
+                .where(F.col("similarity") >= needed).drop("a", "cell", "bucket", "event_type", "p_type"))
+    found = leaf_candidates(frontier, blocks, lambda s, h, d: match_score(s, h, d, hours, miles), miles, span)
+    return found.join(queries.select("q", "set_key", "event_type"), "q")
 
 
 def best_match(articles: DataFrame, events: DataFrame, hours: float = C.MATCH_HOURS, miles: float = C.MATCH_MILES,
@@ -112,25 +79,20 @@ def best_match(articles: DataFrame, events: DataFrame, hours: float = C.MATCH_HO
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    bucket = int(4 * hours * HOUR_MICROS)
-    # Each side is read several times below; token sets are computed once.
-    a = cut_lineage(_side(articles, article_id, bucket))
-    e = cut_lineage(_side(events.filter("is_active"), "id", bucket))
-    pairs = similar_groups(_groups(a), _groups(e), hours, miles, threshold, bucket)
-    queries = cut_lineage(a.select(F.col("row_id").alias(article_id), F.col("group_key").alias("article_group"), "micros")
-                          .join(pairs, "article_group").drop("article_group"))
-    near = _nearest_in_time(queries, e)
-    candidates = near.select(article_id, "micros", "similarity", "distance_miles",
-                             F.explode(F.array("before", "after")).alias("event")).filter("event is not null")
-    apart = F.abs(F.col("micros") - F.col("event.micros"))
-    candidates = candidates.filter(apart <= int(hours * HOUR_MICROS)).withColumn(
-        "hours_apart", apart / F.lit(1e6) / F.lit(3600.0))
-    candidates = candidates.withColumn("score", match_score(
+    # Each side is read several times; token sets are computed once.
+    a = cut_lineage(_side(articles, article_id))
+    e = cut_lineage(_side(events.filter("is_active"), "id"))
+    found = candidates(a, e, hours, miles, threshold)
+    apart = F.abs(F.col("micros") - F.col("p_micros"))
+    distance = haversine_miles(F.col("latitude"), F.col("longitude"), F.col("p_latitude"), F.col("p_longitude"))
+    near = found.filter(apart <= int(hours * HOUR_MICROS)).withColumns({
+        "hours_apart": apart / F.lit(1e6) / F.lit(3600.0), "distance_miles": distance}).filter(F.col("distance_miles") <= F.lit(miles))
+    scored = near.withColumn("score", match_score(
         F.col("similarity"), F.col("hours_apart"), F.col("distance_miles"), hours, miles))
-    best = candidates.groupBy(article_id).agg(F.max(F.struct(
-        "score", (-F.col("event.event_id")).alias("rank"), "similarity", "hours_apart", "distance_miles")).alias("b"))
-    return best.select(article_id, (-F.col("b.rank")).alias("event_id"), "b.similarity", "b.hours_apart",
-                       "b.distance_miles", "b.score")
+    best = scored.groupBy(*POINT).agg(F.max(F.struct(
+        "score", (-F.col("p_id")).alias("rank"), "similarity", "hours_apart", "distance_miles")).alias("b"))
+    return a.select(F.col("row_id").alias(article_id), *POINT).join(best, POINT).select(
+        article_id, (-F.col("b.rank")).alias("event_id"), "b.similarity", "b.hours_apart", "b.distance_miles", "b.score")
 
 
 def match_few(articles: DataFrame, leaders: DataFrame, hours: float = C.MATCH_HOURS, miles: float = C.MATCH_MILES,

@@ -1,23 +1,23 @@
 """Syndicated copies: sources of an incident that repeat an earlier source of the same incident.
 
-Every rule asks whether an earlier source with some property exists, so no rule pairs up rows (distinct similar titles
-of one incident are paired with each other); URLs and titles are joined to the verdicts once:
+Every rule asks whether an earlier source with some property exists, so no rule pairs up rows; URLs and titles are joined
+to the verdicts once:
 
 * equal outlet / wire family / wire domain / upstream event: compare with the smallest position of that key, one
   aggregate over narrow rows that collapses before the shuffle;
-* similar title: titles collapse to distinct word sets per incident, sets meet on rare words, and a row is compared
-  with the smallest position among the similar sets;
-* similar title within 30 minutes: running minima over half-hour blocks give the smallest position in any
-  60-minute window (the window is a block suffix plus whole-block prefix on either side).
+* similar title, and similar title within 30 minutes: titles collapse to distinct word sets per incident (and time), of
+  which later rows are copies anyway; whether a set has a similar one before it is decided by elimination
+  (``operators.earlier``), within half hours and their neighbours for the second rule.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tremorline.functions import constants as C
 from tremorline.functions.text import empty_to_null, outlet_family, token_set, url_domain
-from tremorline.operators.similarity import hot_tokens, set_key, similar_sets
+from tremorline.operators.earlier import rarest_first, with_earlier
+from tremorline.operators.similarity import set_key
 from tremorline.session import cut_lineage
 
 RULES = ["same_outlet", "same_family", "near_identical_title", "same_wire_domain", "rapid_rewrite",
@@ -38,46 +38,27 @@ def _equal_keys(rows: DataFrame) -> DataFrame:
             .select("event_id", "position", "rule"))
 
 
-def _similar_sets(rows: DataFrame) -> DataFrame:
-    """Similar title word sets of the same incident, ``a`` and ``b`` in both directions, including ``a = b``."""
-    sets = rows.filter(F.col("set_key").isNotNull()).groupBy("event_id", "set_key").agg(
-        F.first("tokens").alias("tokens"), F.min("position").alias("first_position"))
-    found = similar_sets(sets, sets, ["event_id"], C.REWRITE_SIMILARITY, hot_tokens(sets), keep_block=True, once=True)
-    firsts = sets.select("event_id", "set_key", "first_position")
-    once = (found.filter(F.col("similarity") > F.lit(C.REWRITE_SIMILARITY))
-            .join(firsts.withColumnsRenamed({"set_key": "a", "first_position": "a_first"}), ["event_id", "a"])
-            .join(firsts.withColumnsRenamed({"set_key": "b", "first_position": "b_first"}), ["event_id", "b"]))
-    flipped = F.explode(F.array(F.struct("a", "b", F.col("b_first").alias("first_position")),
-                                F.struct(F.col("b").alias("a"), F.col("a").alias("b"),
-                                         F.col("a_first").alias("first_position"))))
-    both = once.select("event_id", "similarity", flipped.alias("p")).select("event_id", "similarity", "p.*")
-    same = sets.select("event_id", F.lit(1.0).alias("similarity"), F.col("set_key").alias("a"),
-                       F.col("set_key").alias("b"), "first_position")
-    return both.unionByName(same)
-
-
-def _first_within(rows: DataFrame, pairs: DataFrame, minutes: int) -> DataFrame:
-    """Smallest position of a similar-titled source published within ``minutes`` of each row."""
-    reach = minutes * 60_000_000
-    timed = rows.filter(F.col("micros").isNotNull() & F.col("set_key").isNotNull())
-    data = timed.groupBy("event_id", F.col("set_key").alias("b"), "micros").agg(
-        F.min("position").alias("found")).withColumn("block", F.floor(F.col("micros") / reach))
-    block = F.floor(F.col("micros") / reach)
-    probe = F.explode(F.array(
-        F.struct(F.lit(True).alias("forward"), block.alias("block"), F.col("micros").alias("at")),
-        F.struct(F.lit(True).alias("forward"), (block + 1).alias("block"), (F.col("micros") + reach).alias("at")),
-        F.struct(F.lit(False).alias("forward"), block.alias("block"), F.col("micros").alias("at")),
-        F.struct(F.lit(False).alias("forward"), (block - 1).alias("block"), (F.col("micros") - reach).alias("at"))))
-    probes = (timed.select("event_id", F.col("set_key").alias("a"), "position", "micros")
-              .join(pairs.select("event_id", "a", "b"), ["event_id", "a"])
-              .select("event_id", "b", "position", probe.alias("p"))
-              .select("event_id", "b", "position", "p.forward", "p.block", F.col("p.at").alias("micros")))
-    both = probes.unionByName(data, allowMissingColumns=True)
-    span = Window.partitionBy("event_id", "b", "block").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumns({"up_to": F.min("found").over(span.orderBy("micros")),
-                             "from": F.min("found").over(span.orderBy(F.desc("micros")))})
-    return both.filter("position is not null").groupBy("event_id", "position").agg(
-        F.min(F.when(F.col("forward"), F.col("up_to")).otherwise(F.col("from"))).alias("rewrite_first"))
+def _title_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``event_id, position`` of sources that repeat an earlier title, and of those that do so within half an hour."""
+    titled = rows.filter(F.col("set_key").isNotNull())
+    sets = titled.groupBy("event_id", "set_key").agg(F.first("tokens").alias("tokens"), F.min("position").alias("first"))
+    sets = cut_lineage(rarest_first(sets, ["event_id"], "set_key").drop("tokens").withColumn("k", F.monotonically_increasing_id()))
+    found = with_earlier(sets.select("k", "event_id", F.col("first").alias("position"), "ordered"), ["event_id"], C.COPY_SIMILARITY)
+    judged = sets.join(found.withColumn("early", F.lit(True)), "k", "left")
+    same = titled.select("event_id", "set_key", "position").join(judged.select("event_id", "set_key", "first", "early"),
+                                                                 ["event_id", "set_key"])
+    titles = same.filter(F.col("early") | (F.col("first") < F.col("position"))).select("event_id", "position")
+
+    timed = titled.filter(F.col("micros").isNotNull())
+    points = timed.groupBy("event_id", "set_key", "micros").agg(F.min("position").alias("first"))
+    points = cut_lineage(points.join(sets.select("event_id", "set_key", "ordered"), ["event_id", "set_key"])
+                         .withColumn("k", F.monotonically_increasing_id()))
+    found = with_earlier(points.select("k", "event_id", F.col("first").alias("position"), "micros", "ordered"), ["event_id"],
+                         C.REWRITE_SIMILARITY, ("micros", C.REWRITE_MINUTES * 60_000_000))
+    judged = points.join(found.withColumn("early", F.lit(True)), "k", "left")
+    same = timed.select("event_id", "set_key", "micros", "position").join(
+        judged.select("event_id", "set_key", "micros", "first", "early"), ["event_id", "set_key", "micros"])
+    return titles, same.filter(F.col("early") | (F.col("first") < F.col("position"))).select("event_id", "position")
 
 
 def syndication_rules(sources: DataFrame) -> DataFrame:
@@ -98,12 +79,7 @@ def syndication_rules(sources: DataFrame) -> DataFrame:
 
     # Rows feed every rule; words, families and domains are computed once.
     rows = cut_lineage(rows)
-    pairs = cut_lineage(_similar_sets(rows))
-    copies = pairs.filter(F.col("similarity") > F.lit(C.COPY_SIMILARITY)).groupBy(
-        "event_id", F.col("a").alias("set_key")).agg(F.min("first_position").alias("title_first"))
-    slim = rows.select("event_id", "position", "set_key")
-    titles = slim.join(copies, ["event_id", "set_key"]).filter(F.col("title_first") < F.col("position"))
-    rewrites = _first_within(rows, pairs, C.REWRITE_MINUTES).filter(F.col("rewrite_first") < F.col("position"))
+    titles, rewrites = _title_copies(rows)
     hits = (_equal_keys(rows)
             .unionByName(titles.select("event_id", "position", F.lit("near_identical_title").alias("rule")))
             .unionByName(rewrites.select("event_id", "position", F.lit("rapid_rewrite").alias("rule"))))
