@@ -56,55 +56,60 @@ def sorted_lists(vectors: DataFrame, per_block: int = 1 << 17) -> DataFrame:
 
 
 class Block:
-    """The lists of a block, read from their best end for one query after the other."""
+    """The lists of a block, read from both ends in step, for many queries at once."""
 
     def __init__(self, places: np.ndarray, values: np.ndarray):
         """``places`` and ``values``: (dimensions, rows), values ascending in each list."""
         self.places, self.values = places, values
         self.width, self.n = places.shape
-        self.entries_read = 0
+        self.depth_read: list[int] = []  # of each query, when it stopped
 
-    def candidates(self, q: np.ndarray, k: int, barred: int = -1, step: int = 512) -> np.ndarray:
-        """Places that may be among the ``k`` best for ``q``, ties included; ``barred`` is no candidate.
+    def candidates(self, queries: np.ndarray, k: int, barred: np.ndarray, step: int = 256) -> list[np.ndarray]:
+        """For each query the places that may be among its ``k`` best, ties included; place ``barred`` (or -1) is no candidate.
 
-        Lists are read in step, from the high end where q is positive and from the low end where it is negative.  What
-        has been read of a row, plus for each list that has not shown it the list's worst value (lower bound) or the value
-        just read there (upper bound), encloses its score.  Reading stops as soon as no row outside the ``k`` best lower
-        bounds, seen or not, has an upper bound above the k-th of them and only few rows tie with it, or at the end.
+        A query reads each list from the high end where its own component is positive, from the low end where it is
+        negative.  What has been read of a row, plus for each list that has not shown it the list's worst value (lower
+        bound) or the value just read there (upper bound), encloses its score.  A query stops as soon as no row outside
+        the ``k`` best lower bounds, seen or not, can reach the k-th of them, but for a few that tie; or at the end.
+        Bounds are sums over lists, so those of all queries at one depth are two products of matrices.
         """
-        k = min(k, self.n - (barred >= 0))
-        if k <= 0:
-            return np.empty(0, np.int64)
-        dims = np.flatnonzero(q)
-        if not len(dims):
-            return np.delete(np.arange(self.n), barred) if barred >= 0 else np.arange(self.n)
-        up = (q[dims] > 0)[:, None]
-        rows = np.where(up, self.places[dims, ::-1], self.places[dims])
-        gains = np.where(up, self.values[dims, ::-1], self.values[dims]) * q[dims].astype(float)[:, None]
-        worst = gains[:, -1]
-        slack = 1e-9 * (1 + np.abs(gains[:, [0, -1]]).max(1).sum())
-        seen = np.zeros(self.n * len(dims))
-        at, known = np.arange(len(dims))[:, None], np.zeros(self.n)
-        depth = 0
-        while True:
+        out: list = [None] * len(queries)
+        size = np.minimum(k, self.n - (barred >= 0))
+        for i in np.flatnonzero(size <= 0):
+            out[i] = np.empty(0, np.int64)
+        q = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)]).astype(float)  # what reads high ends, low ends
+        active, depth = np.flatnonzero(size > 0), 0
+        values = self.values.astype(float)
+        worst = np.concatenate([values[:, 0], values[:, -1]]) if self.n else np.empty(0)
+        slack = 1e-9 * (1 + np.abs(q) @ np.tile(np.abs(values).max(1, initial=0), 2))
+        read, shown = np.zeros((self.n, 2 * self.width)), np.zeros((self.n, 2 * self.width), bool)
+        lists = np.arange(self.width)[:, None]
+        while len(active):
             to = min(depth + step, self.n)
-            read, got = rows[:, depth:to], gains[:, depth:to]
-            self.entries_read += read.size
-            known += np.bincount(read.ravel(), got.ravel(), self.n)
-            seen[(read * len(dims) + at).ravel()] = 1
-            ends = np.stack([worst, got[:, -1]], 1)  # an unread value lies between the worst and the last one read
-            lower, upper = (known[:, None] + ends.sum(0) - seen.reshape(self.n, -1) @ ends).T
-            if barred >= 0:
-                lower[barred] = upper[barred] = -np.inf
-            threshold = np.partition(lower, self.n - k)[self.n - k] - slack
-            left = np.flatnonzero(upper >= threshold)
-            if to == self.n or len(left) <= 2 * k:
-                return left
-            depth = to
-
-
-def _search(k: int):
-    """The ``k`` best of a block for each of some queries."""
+            for ends, side in ((slice(self.n - to, self.n - depth), 0), (slice(depth, to), self.width)):
+                read[self.places[:, ends], side + lists] = values[:, ends]
+                shown[self.places[:, ends], side + lists] = True
+            frontier = np.concatenate([values[:, self.n - to], values[:, to - 1]])
+            mine = q[active].T
+            lower = (np.where(shown, read, worst) @ mine).T
+            upper = (np.where(shown, read, frontier) @ mine).T
+            own = np.flatnonzero(barred[active] >= 0)
+            lower[own, barred[active[own]]] = upper[own, barred[active[own]]] = -np.inf
+            going = []
+            for row, i in enumerate(active):
+                threshold = np.partition(lower[row], self.n - size[i])[self.n - size[i]] - slack[i]
+                left = np.flatnonzero(upper[row] >= threshold)
+                if to == self.n or len(left) <= 2 * k:
+                    out[i] = left
+                    self.depth_read.append(to)
+                else:
+                    going.append(i)
+            active, depth = np.array(going, np.int64), to
+        return out
+
+
+def _search(k: int, together: int = 128):
+    """The ``k`` best of a block for each of some queries, of which ``together`` are worked on at a time."""
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_row": [], "query_id": [], "vec_id": [], "score": []}
@@ -112,29 +117,30 @@ def _search(k: int):
             left = left.sort_by("dim")
             lists = [(np.asarray(p.values), np.asarray(v.values)) for p, v in zip(left.column("places"), left.column("values"))]
             rows = np.asarray(left.column("rows")[0].values)
+            (known, named), width = lists[0], len(lists) - 1
             ids = np.full(len(rows), np.iinfo(np.int64).max)  # null ids come last
-            ids[lists[0][0]] = lists[0][1][lists[0][0]]
             missing = np.ones(len(rows), bool)
-            missing[lists[0][0]] = False
-            width = len(lists) - 1
+            ids[known], missing[known] = named[known], False
             places = np.array([p for p, _ in lists[1:]], np.int64).reshape(width, len(rows))
             values = np.array([v for _, v in lists[1:]], np.int64).reshape(width, len(rows))
             block = Block(places, values)
             vectors = np.empty((len(rows), width), np.int64)
             vectors[places, np.arange(width)[:, None]] = values  # the lists hold whole vectors, dealt apart
-            most = np.abs(values).max(initial=0)
+            most = float(np.abs(values).astype(float).max(initial=0))
             place = {r: i for i, r in enumerate(rows.tolist())}
+            asked, names = right.column("row").to_pylist(), right.column("id").to_pylist()
             queries = right.column("v").combine_chunks().flatten().to_numpy().reshape(right.num_rows, width)
-            for row, own, q in zip(right.column("row").to_pylist(), right.column("id").to_pylist(), queries):
-                if float(most) * float(np.abs(q).astype(float).sum()) > SAFE:
-                    raise ValueError(f"scores of query {own} may not fit 64 bits")
-                found = block.candidates(q, k, place.get(row, -1))
-                score = vectors[found] @ q  # final scores, in integers
-                best = np.lexsort((ids[found], -score))[:k]
-                out["query_row"] += [row] * len(best)
-                out["query_id"] += [own] * len(best)
-                out["vec_id"] += [None if missing[p] else int(ids[p]) for p in found[best]]
-                out["score"] += score[best].tolist()
+            if most * np.abs(queries).astype(float).sum(1).max() > SAFE:
+                raise ValueError("scores may not fit 64 bits")
+            barred = np.array([place.get(r, -1) for r in asked])
+            for s in range(0, len(asked), together):
+                for i, found in enumerate(block.candidates(queries[s:s + together], k, barred[s:s + together]), s):
+                    score = vectors[found] @ queries[i]  # final scores, in integers
+                    best = np.lexsort((ids[found], -score))[:k]
+                    out["query_row"] += [asked[i]] * len(best)
+                    out["query_id"] += [names[i]] * len(best)
+                    out["vec_id"] += [None if missing[p] else int(ids[p]) for p in found[best]]
+                    out["score"] += score[best].tolist()
         return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
     return work
