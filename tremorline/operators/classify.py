@@ -1,7 +1,8 @@
 """Lexicon classifier for article text.
 
 Vocabularies are small constant tables given by the caller, so they are folded into column expressions: a row is
-classified where it is read, with no join and no shuffle.
+classified where it is read, with no join and no shuffle.  For vocabularies of thousands of entries there is
+``operators.vocabulary``.
 """
 
 from __future__ import annotations
@@ -129,14 +130,21 @@ def classify(df: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, min_score: float
     df = df.withColumns({"_cat": cat, "_con": con})
     df = lexicon_hits(df, lexicon, title, body, (F.col("_cat") > 0) | (F.col("_con") > 0))
     df = once(df, "_best", best_candidate("_hits"))
-    score = F.least(F.lit(1.0), F.col("_best.score") + (F.col("_cat") + F.col("_con")))
-    accepted = (F.coalesce(F.length(title) > 0, F.lit(False))
-                & ~hard_excluded(F.col(title), F.col("_title_tokens"), F.col(categories), lexicon)
-                & F.coalesce(score >= F.lit(min_score), F.lit(False)))
     in_title = F.lit(False)
     for phrase, kind, _ in lexicon.phrases:
         if kind in lexicon.needs_support:
             in_title = in_title | ((F.col("_best.event_type") == kind) & lexicon.finds(F.col("_low_title"), phrase))
+    return decided(df, keep, lexicon, min_score, title, categories, in_title)
+
+
+def decided(df: DataFrame, keep: list[str], lexicon: Lexicon, min_score: float, title: str, categories: str,
+            in_title: Column) -> DataFrame:
+    """From boosts, title words and the best candidate the columns of ``classify``; ``in_title``: a phrase of that
+    candidate's type stands in the title."""
+    score = F.least(F.lit(1.0), F.col("_best.score") + (F.col("_cat") + F.col("_con")))
+    accepted = (F.coalesce(F.length(title) > 0, F.lit(False))
+                & ~hard_excluded(F.col(title), F.col("_title_tokens"), F.col(categories), lexicon)
+                & F.coalesce(score >= F.lit(min_score), F.lit(False)))
     weak = (F.col("_best.event_type").isin(list(lexicon.needs_support)) & ~in_title
             & (F.col("_cat") == 0.0) & (F.col("_con") == 0.0))
     return df.select(

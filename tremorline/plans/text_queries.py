@@ -13,9 +13,11 @@ from tremorline.functions.scores import (initial_confidence, precision_passes, r
 from tremorline.functions.text import clip, jaccard, outlet_family, token_set, url_domain
 from tremorline.functions.timefn import floor_15, parse_published
 from tremorline.operators import classify as K
+from tremorline.operators import vocabulary as V
 from tremorline.plans.registry import query
 from tremorline.plans.views import (NOW, NOW_SQL, TEST_LEXICON, articles, compatible_sql, documents, haversine_sql,
                                     incidents, jaccard_sql, places, r_sql, table, tokens_sql, with_ctes)
+from tremorline.session import cut_lineage
 
 LEX = TEST_LEXICON
 
@@ -140,6 +142,30 @@ def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ord", "class_type", round_to(F.col("class_score"), 6).alias("class_score"))
 
 
+@query(with_ctes("SELECT ord, class_type, floor(class_score * 1e6 + 0.5::DOUBLE) / 1e6 AS class_score FROM classified",
+                 "articles", **CLASSIFIED))
+def classify_by_vocabulary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same classification with phrases and words as tables."""
+    out = V.classify_by_table(articles(spark, sf_dir), V.entries(spark, LEX.phrases), V.entries(spark, LEX.tokens), LEX)
+    return out.filter("class_type is not null").select("ord", "class_type", round_to(F.col("class_score"), 6).alias("class_score"))
+
+
+@query(with_ctes("""SELECT phrase, count(*) AS articles, count(*) FILTER (contains(lower(title), phrase)) AS titles
+  FROM (SELECT DISTINCT lower(regexp_extract(text, '^\\S+ \\S+ \\S+')) AS phrase FROM documents) p JOIN articles a
+    ON phrase <> '' AND (contains(lower(title), phrase) OR contains(lower(body), phrase)) GROUP BY phrase""", "articles"))
+def vocabulary_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary as large as the corpus: the first three words of every document, sought in all articles."""
+    opening = F.lower(F.regexp_extract("text", r"^\S+ \S+ \S+", 0))
+    phrases = (table(spark, sf_dir, "documents").select(opening.alias("word")).distinct()
+               .select(F.monotonically_increasing_id().alias("at"), "word", F.lit("").alias("kind"), F.lit(1.0).alias("score")))
+    phrases = cut_lineage(phrases)
+    texts = cut_lineage(articles(spark, sf_dir).select(
+        F.col("ord").alias("_row"), F.lower("title").alias("_front"), F.lower(F.coalesce("body", F.lit(""))).alias("_behind")))
+    found = V.phrase_matches(texts, phrases).groupBy("at").agg(
+        F.count("*").alias("articles"), F.count_if("front").alias("titles"))
+    return found.join(phrases, "at").select(F.col("word").alias("phrase"), "articles", "titles")
+
+
 @query(with_ctes(f"""SELECT ord, {_OPINION} AS opinion, {_EXCLUDED_CATS} AS other_domain, {_WEATHER} AS weather,
   {_ACCIDENT} AS accident FROM toks""", "articles", toks=_LEX["toks"]))
 def hard_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
