@@ -84,9 +84,8 @@ def test_one_headline_at_many_points_gives_a_linear_number_of_candidates(spark):
     per_article = []
     for n in (250, 1000):
         articles, events = one_headline(n, n)
-        a = matching._side(spark.createDataFrame(articles, ARTICLE), "ord")
-        e = matching._side(spark.createDataFrame(events, EVENT).filter("is_active"), "id")
-        per_article.append(matching.candidates(a, e, 48, 50.0, 0.4).count() / n)
+        sides = matching._sides(spark.createDataFrame(articles, ARTICLE), spark.createDataFrame(events, EVENT), "ord")
+        per_article.append(matching.candidates(*sides, 48, 50.0, 0.4).count() / n)
     assert per_article[1] < 1.5 * per_article[0] and per_article[1] < 100
 
 

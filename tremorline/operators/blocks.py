@@ -30,21 +30,29 @@ def root_cell(lat: Column, lon: Column, miles: float) -> Column:
     return coded_cell(lat, lon, 4.0 * miles)
 
 
+def root_bucket(at: Column, micros: int) -> Column:
+    return F.floor(at / F.lit(4 * micros))
+
+
 def reached_roots(rows: DataFrame, miles: float, micros: int) -> DataFrame:
     """One row per root cell and bucket that can hold a point near enough: 8 cells by 2 buckets at most."""
-    span = F.sequence(F.floor((F.col("micros") - micros) / F.lit(4 * micros)), F.floor((F.col("micros") + micros) / F.lit(4 * micros)))
+    span = F.sequence(root_bucket(F.col("micros") - micros, micros), root_bucket(F.col("micros") + micros, micros))
     return explode_cells(rows, "latitude", "longitude", 4.0 * miles, miles).withColumn("bucket", F.explode(span))
 
 
 class Blocks:
-    """Nodes and leaves of points ``key..., latitude, longitude, micros, id``; ``keys`` keep points apart."""
+    """Nodes and leaves of points ``key..., cell, bucket, latitude, longitude, micros, id``.
+
+    ``keys`` keep points apart; ``cell`` and ``bucket`` are the root a point lies in (``root_cell``, ``root_bucket``).
+    Points should be cut off from their lineage, since every level reads them.
+    """
+
 
     def __init__(self, points: DataFrame, keys: list[str], miles: float, micros: int, leaf: int = LEAF):
         degrees = math.degrees(4.0 * miles / C.EARTH_RADIUS_MILES)
         self.levels: list[DataFrame] = []
         leaves = []
-        here, by = points.withColumns({"cell": root_cell(F.col("latitude"), F.col("longitude"), miles),
-                                       "bucket": F.floor(F.col("micros") / F.lit(4 * micros))}), [*keys, "cell", "bucket"]
+        here, by = points, [*keys, "cell", "bucket"]
         shown = F.struct("latitude", "longitude", "micros", "id")
         for level in range(1, DEEPEST + 1):
             nodes = here.groupBy(*by).agg(
@@ -55,13 +63,11 @@ class Blocks:
             self.levels.append(nodes.withColumn("is_leaf", F.col("n") <= (leaf if level < DEEPEST else 1 << 60)))
             placed = here.join(self.levels[-1].select(*by, "node", "is_leaf"), by).select(
                 "node", "is_leaf", "latitude", "longitude", "micros", "id")
+            leaves.append(placed.where("is_leaf"))
             if level == DEEPEST or nodes.where(F.col("n") > leaf).isEmpty():
-                leaves.append(placed)
                 break
-            placed = cut_lineage(placed)
-            leaves.append(placed.where("is_leaf"))
             cuts = WAYS**level
-            here = placed.where("not is_leaf").select(
+            here = cut_lineage(placed.where("not is_leaf")).select(
                 F.col("node").alias("parent"), F.floor(F.col("latitude") / F.lit(degrees / cuts)).alias("_y"),
                 F.floor(_east(F.col("longitude")) / F.lit(1.5 * degrees / cuts)).alias("_x"),
                 F.floor(F.col("micros") / F.lit(4.0 * micros / cuts)).alias("_t"), "latitude", "longitude", "micros", "id")

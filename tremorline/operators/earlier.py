@@ -11,26 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tremorline.functions.text import jaccard
+from tremorline.operators.similarity import enough_left, prefix
 from tremorline.session import cut_lineage
 
 #: Members of a bucket met in the first round, besides the earliest, and growth from round to round.
 FIRST, GROWTH = 2, 8
 
 
-def rarest_first(sets: DataFrame, block: list[str], key: str) -> DataFrame:
-    """``sets`` (``block``, ``key``, ``tokens``) with ``ordered``: the tokens by number of sets of the block, then by name."""
-    words = sets.select(*block, key, F.explode("tokens").alias("word"))
-    counts = words.groupBy(*block, "word").agg(F.count("*").alias("n"))
-    ordered = (words.join(counts, [*block, "word"]).groupBy(*block, key)
-               .agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("_o")))
-    return sets.join(ordered.select(*block, key, F.col("_o.word").alias("ordered")), [*block, key])
-
-
-def prefix_words(ordered: Column, threshold: float) -> Column:
-    n = F.size(ordered)
-    return F.slice(ordered, F.lit(1), n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1)
-
-
 def _compared(undecided: DataFrame, part: DataFrame, by: list[str], fits: Column) -> DataFrame:
     return undecided.join(part, by).where(fits)
 
@@ -42,7 +29,8 @@ def with_earlier(rows: DataFrame, bucket: list[str], threshold: float, reach: tu
     order common to the bucket).  With ``reach = (column, distance)`` the two may differ by at most ``distance`` in that
     column, and buckets are further split by it.
     """
-    worded = rows.select("*", F.size("ordered").alias("size"), F.posexplode(prefix_words(F.col("ordered"), threshold)).alias("at", "word"))
+    worded = rows.select("k", *bucket, "position", *([reach[0]] if reach else []), F.size("ordered").alias("size"),
+                         F.posexplode(prefix(F.col("ordered"), threshold)).alias("at", "word"))
     by = [*bucket, "word"]
     asked = worded
     if reach:
@@ -50,24 +38,25 @@ def with_earlier(rows: DataFrame, bucket: list[str], threshold: float, reach: tu
         slot = F.floor(F.col(reach[0]) / F.lit(reach[1]))
         worded = worded.withColumn("slot", slot)
         asked = asked.withColumn("slot", F.explode(F.array(slot, slot - 1, slot + 1)))
-    worded = cut_lineage(worded)
     sizes = worded.groupBy(*by).agg(F.count("*").alias("n"), F.min("position").alias("head"))
-    columns = ["k", "position", "size", "at", "ordered", *([reach[0]] if reach else [])]
-    drawn = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n")
-    met = cut_lineage(worded.join(sizes.where("n > 1" if not reach else "n > 0"), by).select(
-        *by, *(F.col(c).alias(f"e_{c}") for c in columns), "n", "head", drawn.alias("drawn")))
     # a bucket whose earliest member is no earlier decides nothing
-    undecided = cut_lineage(asked.join(sizes, by).where(F.col("head") < F.col("position")).select(*by, *columns, "n"))
-    total = F.col("size") + F.col("e_size")
-    needed = F.ceil(total * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
-    possible = F.least("at", "e_at") + F.least(F.col("size") - F.col("at"), F.col("e_size") - F.col("e_at"))
-    fits = (F.col("e_position") < F.col("position")) & (possible >= needed)
+    undecided = cut_lineage(asked.join(sizes, by).where(F.col("head") < F.col("position")))
+    if undecided.isEmpty():
+        return rows.select("k").limit(0)
+    sets = rows.select("k", "ordered")
+    drawn = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n")
+    met = worded.join(undecided.select(*by, "n", "head").distinct(), by).withColumn("drawn", drawn).join(sets, "k")
+    own = [c for c in met.columns if c not in (*by, "n", "head", "drawn")]
+    met = cut_lineage(met.withColumnsRenamed({c: f"e_{c}" for c in own}))
+    undecided = cut_lineage(undecided.drop("head").join(sets, "k"))
+    fits = (F.col("e_position") < F.col("position")) & enough_left(
+        threshold, F.col("at"), F.col("size"), F.col("e_at"), F.col("e_size"))
     if reach:
         fits = fits & (F.abs(F.col(reach[0]) - F.col(f"e_{reach[0]}")) <= reach[1])
     decided, low, high = [], 0, FIRST
     while not undecided.isEmpty():
         part = (F.col("drawn") >= low) & (F.col("drawn") < high)
-        part = met.where(part | (F.col("head") == F.col("e_position")) if not low else part)
+        part = met.where(part if low else part | (F.col("head") == F.col("e_position")))
         pairs = _compared(undecided.drop("n"), part.drop("n", "head", "drawn"), by, fits)
         hits = cut_lineage(pairs.where(jaccard(F.col("ordered"), F.col("e_ordered")) > F.lit(threshold)).select("k").distinct())
         decided.append(hits)

@@ -23,8 +23,8 @@ from tremorline.functions.geo import coded_cell, explode_cells, haversine_miles
 from tremorline.functions.plan import once
 from tremorline.functions.scores import types_compatible
 from tremorline.functions.text import jaccard, token_set
-from tremorline.operators.blocks import Blocks, leaf_candidates, reached_roots, root_cell
-from tremorline.operators.similarity import hot_tokens, set_key, similar_sets
+from tremorline.operators.blocks import Blocks, leaf_candidates, reached_roots, root_bucket, root_cell
+from tremorline.operators.similarity import set_key, similar_sets
 from tremorline.session import cut_lineage
 
 HOUR_MICROS = 3_600_000_000
@@ -32,12 +32,20 @@ POINT = ["set_key", "event_type", "latitude", "longitude", "micros"]
 
 
 def _side(df: DataFrame, row_id: str) -> DataFrame:
-    """The columns matching needs; rows whose title has no words cannot match."""
-    rows = df.select(
+    """The columns matching needs."""
+    return df.select(
         F.col(row_id).alias("row_id"), "title", F.coalesce("event_type", F.lit("")).alias("event_type"), "latitude",
         "longitude", F.unix_micros("occurred_at").alias("micros")).dropna(subset=POINT[2:])
-    rows = once(rows, "tokens", token_set(F.col("title"))).drop("title").filter(F.size("tokens") > 0)
-    return rows.withColumn("set_key", set_key(F.col("tokens")))
+
+
+def _sides(articles: DataFrame, events: DataFrame, article_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Articles and active incidents with ``set_key`` in place of the title, and the token sets; words of a title are
+    taken once however many rows have it.  Rows whose title has no words cannot match and are left out."""
+    a, e = cut_lineage(_side(articles, article_id)), cut_lineage(_side(events.filter("is_active"), "id"))
+    titles = once(a.select("title").unionByName(e.select("title")).distinct(), "tokens", token_set(F.col("title")))
+    titles = cut_lineage(titles.filter(F.size("tokens") > 0).withColumn("set_key", set_key(F.col("tokens"))))
+    keyed = [side.join(titles.select("title", "set_key"), "title").select("row_id", *POINT) for side in (a, e)]
+    return *keyed, cut_lineage(titles.groupBy("set_key").agg(F.first("tokens").alias("tokens")))
 
 
 def match_score(similarity: Column, hours_apart: Column, distance: Column, hours: float, miles: float) -> Column:
@@ -47,25 +55,25 @@ def match_score(similarity: Column, hours_apart: Column, distance: Column, hours
             + F.lit(C.PROXIMITY_WEIGHT) * proximity)
 
 
-def candidates(articles: DataFrame, events: DataFrame, hours: float, miles: float, threshold: float) -> DataFrame:
+def candidates(articles: DataFrame, events: DataFrame, sets: DataFrame, hours: float, miles: float, threshold: float
+               ) -> DataFrame:
     """Pairs of a query (``POINT`` columns of articles) and an incident that may be its best match.
 
-    Both inputs as ``_side`` gives them.  Output: the query's columns, ``similarity``, and the point as ``p_latitude,
+    The inputs as ``_sides`` gives them.  Output: the query's columns, ``similarity``, and the point as ``p_latitude,
     p_longitude, p_micros, p_id``.
     """
     span = int(hours * HOUR_MICROS)
-    queries = cut_lineage(articles.groupBy(*POINT).agg(F.first("tokens").alias("tokens"))
-                          .withColumn("q", F.monotonically_increasing_id()))
-    points = events.groupBy(*POINT).agg(F.first("tokens").alias("tokens"), F.min("row_id").alias("id"))
-    points = cut_lineage(points.withColumns({
-        "cell": root_cell(F.col("latitude"), F.col("longitude"), miles), "bucket": F.floor(F.col("micros") / F.lit(4 * span))}))
+    queries = cut_lineage(articles.groupBy(*POINT).agg(F.min("row_id").alias("row_id"))
+                          .select(F.monotonically_increasing_id().alias("q"), *POINT))
+    points = cut_lineage(events.groupBy(*POINT).agg(F.min("row_id").alias("id")).withColumns({
+        "cell": root_cell(F.col("latitude"), F.col("longitude"), miles), "bucket": root_bucket(F.col("micros"), span)}))
     reach = cut_lineage(reached_roots(queries, miles, span))
-    titles = similar_sets(reach, points, ["bucket", "cell"], threshold, hot_tokens(points))
-    blocks = Blocks(points.select(*POINT, "id"), ["set_key", "event_type"], miles, span)
+    titles = similar_sets(reach, points, ["bucket", "cell"], sets, threshold)
+    blocks = Blocks(points, ["set_key", "event_type"], miles, span)
     roots = titles.join(blocks.levels[0].withColumnsRenamed({"set_key": "b", "event_type": "p_type"}).drop("n"), "b").drop("b")
     needed = F.when(types_compatible(F.col("event_type"), F.col("p_type")), F.lit(threshold)).otherwise(
         F.lit(threshold) + F.lit(C.INCOMPATIBLE_EXTRA))
-    frontier = (reach.drop("tokens").withColumnRenamed("set_key", "a").join(roots, ["a", "cell", "bucket"])
+    frontier = (reach.withColumnRenamed("set_key", "a").join(roots, ["a", "cell", "bucket"])
                 .where(F.col("similarity") >= needed).drop("a", "cell", "bucket", "event_type", "p_type"))
     found = leaf_candidates(frontier, blocks, lambda s, h, d: match_score(s, h, d, hours, miles), miles, span)
     return found.join(queries.select("q", "set_key", "event_type"), "q")
@@ -79,10 +87,8 @@ def best_match(articles: DataFrame, events: DataFrame, hours: float = C.MATCH_HO
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    # Each side is read several times; token sets are computed once.
-    a = cut_lineage(_side(articles, article_id))
-    e = cut_lineage(_side(events.filter("is_active"), "id"))
-    found = candidates(a, e, hours, miles, threshold)
+    a, e, sets = _sides(articles, events, article_id)
+    found = candidates(a, e, sets, hours, miles, threshold)
     apart = F.abs(F.col("micros") - F.col("p_micros"))
     distance = haversine_miles(F.col("latitude"), F.col("longitude"), F.col("p_latitude"), F.col("p_longitude"))
     near = found.filter(apart <= int(hours * HOUR_MICROS)).withColumns({

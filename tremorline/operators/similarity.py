@@ -1,7 +1,7 @@
 """Set-similarity join (prefix filtering).
 
 Two token sets with Jaccard similarity of at least ``t`` share a token among the first
-``n - ceil(t * n) + 1`` tokens of each, in any order that is the same for both.  With frequent tokens last, a join
+``n - ceil(t * n) + 1`` tokens of each, in any order that is the same for both.  With the rarest tokens first, a join
 on those tokens meets few pairs that are not similar.  Only keys, sizes and positions travel through that join;
 token sets are fetched for the surviving pairs.
 """
@@ -10,23 +10,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tremorline.functions.text import jaccard, strings
+from tremorline.functions.text import jaccard
+from tremorline.session import cut_lineage
 
-HOT_TOKENS = 128
 
+def set_key(tokens: Column) -> Column:
+    """A short key of a token set; null for the empty set."""
+    return F.when(F.size(tokens) > 0, F.unhex(F.md5(F.array_join(tokens, " "))))
 
-def hot_tokens(sets: DataFrame, tokens: str = "tokens", n: int = HOT_TOKENS) -> list[str]:
-    """The ``n`` most frequent tokens, rarest of them first.  Counting is a distributed aggregate; only these few
-    words reach the driver."""
-    counted = sets.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    return [r["token"] for r in reversed(counted.orderBy(F.desc("n"), "token").limit(n).collect())]
 
+def rarest_first(sets: DataFrame, key: list[str], within: list[str] | None = None) -> DataFrame:
+    """``sets`` (``key``, ``tokens``) with ``ordered``: the tokens by number of sets that have them, then by name.
 
-def rare_first(tokens: Column, hot: list[str]) -> Column:
-    """The set in the common order: ordinary tokens alphabetically, then frequent ones by frequency."""
-    common = strings(hot)
-    return F.array_sort(F.transform(tokens, lambda t: F.struct(
-        F.array_position(common, t).alias("rank"), t.alias("token"))))
+    ``key`` is unique; ``within`` names those of its columns that keep sets apart (none: all are counted together).
+    """
+    within = within or []
+    words = sets.select(*key, F.explode("tokens").alias("word"))
+    counts = words.groupBy(*within, "word").agg(F.count("*").alias("n"))
+    ordered = (words.join(counts, [*within, "word"]).groupBy(*key)
+               .agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("_o")))
+    return sets.join(ordered.select(*key, F.col("_o.word").alias("ordered")), key)
 
 
 def prefix(ordered: Column, threshold: float) -> Column:
@@ -35,38 +38,28 @@ def prefix(ordered: Column, threshold: float) -> Column:
     return F.slice(ordered, F.lit(1), n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1)
 
 
-def set_key(tokens: Column) -> Column:
-    """A short key of a token set; null for the empty set."""
-    return F.when(F.size(tokens) > 0, F.unhex(F.md5(F.array_join(tokens, " "))))
+def enough_left(threshold: float, a_at: Column, a_size: Column, b_at: Column, b_size: Column) -> Column:
+    """Can two sets that share the tokens at these positions (from 0), the first they share, still be similar enough?"""
+    needed = F.ceil((a_size + b_size) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+    return F.least(a_at, b_at) + F.least(a_size - a_at, b_size - b_at) >= needed
 
 
-def similar_sets(left: DataFrame, right: DataFrame, block: list[str], threshold: float, hot: list[str],
-                 keep_block: bool = False, once: bool = False) -> DataFrame:
+def similar_sets(left: DataFrame, right: DataFrame, block: list[str], sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs of token sets that occur in a common block and have similarity of at least ``threshold``.
 
-    Inputs: the ``block`` columns, ``set_key`` and ``tokens``.  Output: ``a, b, similarity``, each pair once (once
-    per block with ``keep_block``).  ``once`` is for a self-join: it leaves out equal and mirrored pairs.
+    ``left``, ``right``: the ``block`` columns and ``set_key``; ``sets``: ``set_key, tokens`` of both sides.  Output:
+    ``a, b, similarity``, each pair once.
     """
-
-    def words(side: DataFrame, name: str) -> DataFrame:
-        occurring = side.groupBy(*block, "set_key").agg(F.first("tokens").alias("tokens"))
-        return occurring.select(
-            *block, F.col("set_key").alias(name), F.size("tokens").alias(f"{name}_size"),
-            F.posexplode(prefix(rare_first(F.col("tokens"), hot), threshold)).alias(f"{name}_at", "entry"),
-        ).withColumn("word", F.col("entry.token")).drop("entry")
-
-    def sets(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy(F.col("set_key").alias(name)).agg(F.first("tokens").alias(f"{name}_tokens"))
-
-    total = F.col("a_size") + F.col("b_size")
-    needed = F.ceil(total * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
-    possible = (F.least("a_at", "b_at") + 1
-                + F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) - 1)
-    met = words(left, "a").join(words(right, "b"), [*block, "word"]).filter(possible >= needed)
-    if once:
-        met = met.filter(F.col("a") < F.col("b"))
-    kept = [*block, "a", "b"] if keep_block else ["a", "b"]
-    pairs = met.select(*kept).distinct()
-    checked = pairs.join(sets(left, "a"), "a").join(sets(right, "b"), "b").select(
-        *kept, jaccard(F.col("a_tokens"), F.col("b_tokens")).alias("similarity"))
-    return checked.filter(F.col("similarity") >= F.lit(threshold))
+    words = cut_lineage(rarest_first(sets, ["set_key"]).select(
+        "set_key", F.size("ordered").alias("size"), F.posexplode(prefix(F.col("ordered"), threshold)).alias("at", "word")))
+
+    def worded(side: DataFrame, name: str) -> DataFrame:
+        return side.select(*block, "set_key").distinct().join(words, "set_key").select(
+            *block, "word", F.col("set_key").alias(name), F.col("size").alias(f"{name}_size"), F.col("at").alias(f"{name}_at"))
+
+    fits = enough_left(threshold, F.col("a_at"), F.col("a_size"), F.col("b_at"), F.col("b_size"))
+    pairs = worded(left, "a").join(worded(right, "b"), [*block, "word"]).where(fits).select("a", "b").distinct()
+    of = lambda name: sets.select(F.col("set_key").alias(name), F.col("tokens").alias(f"{name}_tokens"))
+    checked = pairs.join(of("a"), "a").join(of("b"), "b").select(
+        "a", "b", jaccard(F.col("a_tokens"), F.col("b_tokens")).alias("similarity"))
+    return checked.where(F.col("similarity") >= F.lit(threshold))

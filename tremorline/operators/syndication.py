@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tremorline.functions import constants as C
 from tremorline.functions.text import empty_to_null, outlet_family, token_set, url_domain
-from tremorline.operators.earlier import rarest_first, with_earlier
-from tremorline.operators.similarity import set_key
+from tremorline.operators.earlier import with_earlier
+from tremorline.operators.similarity import rarest_first, set_key
 from tremorline.session import cut_lineage
 
 RULES = ["same_outlet", "same_family", "near_identical_title", "same_wire_domain", "rapid_rewrite",
@@ -42,7 +42,7 @@ def _title_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``event_id, position`` of sources that repeat an earlier title, and of those that do so within half an hour."""
     titled = rows.filter(F.col("set_key").isNotNull())
     sets = titled.groupBy("event_id", "set_key").agg(F.first("tokens").alias("tokens"), F.min("position").alias("first"))
-    sets = cut_lineage(rarest_first(sets, ["event_id"], "set_key").drop("tokens").withColumn("k", F.monotonically_increasing_id()))
+    sets = cut_lineage(rarest_first(sets, ["event_id", "set_key"], ["event_id"]).drop("tokens").withColumn("k", F.monotonically_increasing_id()))
     found = with_earlier(sets.select("k", "event_id", F.col("first").alias("position"), "ordered"), ["event_id"], C.COPY_SIMILARITY)
     judged = sets.join(found.withColumn("early", F.lit(True)), "k", "left")
     same = titled.select("event_id", "set_key", "position").join(judged.select("event_id", "set_key", "first", "early"),
