@@ -160,10 +160,18 @@ def test_feeds(spark, tmp_path):
     lifted = [r for r in store.corroborated_events(spark).collect() if r["source_count"] == 4]
     assert len(lifted) == 1 and lifted[0]["confidence_score"] == pytest.approx(0.78)
     assert {r["status"] for r in store.runs(spark).collect()} == {"success"}
-    hotspots = live.refresh_hotspots(spark, store, "2025-03-15 18:00:00", 1).collect()
+    before = sorted(store.corroborated_events(spark).collect())
+    store.merge_ledgers(spark)
+    assert sorted(store.corroborated_events(spark).collect()) == before
+    store.rebuild_ledgers(spark)
+    assert sorted(store.corroborated_events(spark).collect()) == before
+    (landed / "3.CSV").write_text(export_line(global_event_id="2") + "\n", encoding="utf-8")
+    live.run_export_feed(spark, str(landed), store, NOW)
+    assert store.events(spark).count() == 4
+    hotspots = live.refresh_hotspots(spark, store, "2025-03-15 18:00:00").collect()
     assert [(r["name"], r["event_count"]) for r in hotspots] == [("Seattle, WA", 4)]
     assert live.clustered_events(spark, store).filter("cluster_id = 1").count() == 4
-    live.refresh_hotspots(spark, store, "2025-04-15 18:00:00", 2)
+    live.refresh_hotspots(spark, store, "2025-04-15 18:00:00")
     assert store.latest(spark, "hotspots").count() == 0
 
 
@@ -189,7 +197,7 @@ def test_reset_and_samples(spark, tmp_path):
     store = live.Store(str(tmp_path / "store"))
     assert live.ingest_samples(spark, store, 1, NOW) == 16
     assert live.ingest_samples(spark, store, 2, NOW) == 0
-    assert live.reset_and_seed(spark, store, NOW, 1).count() == 2
+    assert live.reset_and_seed(spark, store, NOW).count() == 2
     assert store.events(spark).count() == 16 and store.events(spark).select("id").distinct().count() == 16
 
 

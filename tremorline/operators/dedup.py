@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tremorline.session import cut_lineage
+
 
 def first_of_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row per key, the first in ``order``; rows whose key is null or empty all stay.
 
-    Written as an aggregate, so copies of a key collapse before the shuffle and a hot key costs one row per task.
+    The first place of each key is found by an aggregate over key and order alone, so copies of a key collapse before the
+    shuffle; whole rows are only filtered, by a join that Spark may split.
     """
     keyed = F.coalesce(F.length(key) > 0, F.lit(False)) if dict(df.dtypes)[key] == "string" else F.col(key).isNotNull()
-    rest = [c for c in df.columns if c != key]
-    first = (df.filter(keyed).groupBy(key)
-             .agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-             .select(*[F.col(key) if c == key else F.col("_row")[c].alias(c) for c in df.columns]))
-    return first.unionByName(df.filter(~keyed))
+    rows = cut_lineage(df.withColumn("_at", F.monotonically_increasing_id()))  # ties in order go to the row that lies first
+    first = rows.filter(keyed).groupBy(key).agg(F.min(F.struct(*order, "_at")).alias("_first")).select("_first._at")
+    return rows.filter(keyed).join(first, "_at", "left_semi").unionByName(rows.filter(~keyed)).select(*df.columns)
 
 
 def unseen(batch: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

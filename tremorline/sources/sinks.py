@@ -47,12 +47,6 @@ def _versions(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().toString() for f in fs.listStatus(folder) if fs.exists(fs_path(f.getPath(), "_SUCCESS")))
 
 
-def snapshot_before(spark: SparkSession, path: str, version: int) -> DataFrame | None:
-    """The newest complete version older than ``version``, so that writing a version twice gives the same rows."""
-    older = [v for v in _versions(spark, path) if int(v.rpartition("version=")[2]) < version]
-    return spark.read.parquet(older[-1]) if older else None
-
-
 def run_entry(spark: SparkSession, run_id: int, started_at: datetime | str | Column, source: str, status: str,
               finished_at: datetime | str | Column | None = None, inserted: int = 0, error: str | None = None,
               error_chars: int | None = C.ERROR_CHARS) -> DataFrame:

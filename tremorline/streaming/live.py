@@ -3,6 +3,10 @@
 Every batch appends under its batch number, so a batch that is run again after a failure replaces its own output.  A
 failed batch is logged and raises: its files stay uncommitted, and the next run of the feed reads them again.
 Nothing is updated in place: confidence follows from the appended provenance rows when incidents are read.
+
+What a batch or a reader needs of the past is kept beside the tables in ledgers (``sources.ledger``): the source ids of
+each feed by hash bucket, and the corroboration counts per incident.  So a batch reads the ids of its buckets instead of
+the incidents stored so far, and a reader of confidence sums counts instead of all sources.
 """
 
 from __future__ import annotations
@@ -28,9 +32,37 @@ from tremorline.session import cut_lineage
 from tremorline.sources import articles as A
 from tremorline.sources import exports as X
 from tremorline.sources import sinks
+from tremorline.sources.ledger import Ledger, publish, published
 from tremorline.sources.samples import sample_events
 
 
+COUNTS = "event_id long, independent long, syndicated long"
+IDS, ID_BUCKETS = "source_id string, bucket int", 64
+
+
+def summed_counts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("event_id").agg(F.sum("independent").alias("independent"), F.sum("syndicated").alias("syndicated"))
+
+
+def id_bucket(source_id: Column) -> Column:
+    return F.pmod(F.xxhash64(source_id), F.lit(ID_BUCKETS)).cast("int")
+
+
+def id_rows(events: DataFrame) -> DataFrame:
+    """What the ledger of ids keeps of incidents; incidents without an id are never repeated ones."""
+    return events.where(F.length("source_id") > 0).select("source_id", id_bucket(F.col("source_id")).alias("bucket")).distinct()
+
+
+def corroborating(sources: DataFrame, events: DataFrame) -> DataFrame:
+    """Sources without the articles that opened their incident, which are no corroboration of it."""
+    openers = events.filter(F.col("source_name") == C.ARTICLE_FEED).select(
+        F.col("id"), F.col("source_id"), F.col("title"), F.col("occurred_at"))
+    return sources.join(openers, (sources["event_id"] == openers["id"])
+                        & sources["source_record_id"].eqNullSafe(openers["source_id"])
+                        & (sources["source_title"] == openers["title"])
+                        & (sources["source_published_at"] == openers["occurred_at"]), "left_anti")
+
+
 @dataclass(frozen=True)
 class Store:
     """Folders of the tables: ``events`` and ``sources`` grow by batch, ``runs`` is a log, hotspots are snapshots.
@@ -67,19 +99,53 @@ class Store:
     def corroborated_events(self, spark: SparkSession, since: Column | None = None) -> DataFrame:
         """Incidents (from the day of ``since`` on) with the source counts and confidence their provenance gives them.
 
-        The article that opened an incident is its first source, not a corroboration of it.  Only sources of these
-        incidents are counted.
+        Counts come from the ledger: one row per incident for what was merged, and those of the batches since.
         """
-        events, sources = self.events(spark, since), self.sources(spark)
+        events, counts = self.events(spark, since), self.counts.read(spark)
         if since is not None:
-            sources = sources.join(events.select(F.col("id").alias("event_id")), "event_id", "left_semi")
-        openers = events.filter(F.col("source_name") == C.ARTICLE_FEED).select(
-            F.col("id"), F.col("source_id"), F.col("title"), F.col("occurred_at"))
-        others = sources.join(openers, (sources["event_id"] == openers["id"])
-                              & sources["source_record_id"].eqNullSafe(openers["source_id"])
-                              & (sources["source_title"] == openers["title"])
-                              & (sources["source_published_at"] == openers["occurred_at"]), "left_anti")
-        return apply_corroboration(events, corroboration_counts(others))
+            counts = counts.join(events.select(F.col("id").alias("event_id")), "event_id", "left_semi")
+        return apply_corroboration(events, summed_counts(counts))
+
+    @property
+    def counts(self) -> Ledger:
+        """``event_id, independent, syndicated`` per batch of articles."""
+        return Ledger(self.path("_counts"), COUNTS, summed_counts)
+
+    def ids(self, feed: str) -> Ledger:
+        """Source ids of the stored incidents of a feed, by hash bucket."""
+        return Ledger(self.path(f"_ids/{feed}"), IDS, DataFrame.distinct, "bucket")
+
+    def stored_ids(self, batch_rows: DataFrame, feed: str, batch: int) -> DataFrame:
+        """``source_id`` of what earlier batches of the feed have stored, read from the buckets of this batch only."""
+        spark = batch_rows.sparkSession
+        asked = batch_rows.where(F.length("source_id") > 0).select(id_bucket(F.col("source_id")).alias("b")).distinct()
+        buckets = [r["b"] for r in asked.collect()]  # at most ID_BUCKETS numbers
+        return self.ids(feed).read(spark, buckets, without=batch).select("source_id")
+
+    def merge_ledgers(self, spark: SparkSession) -> None:
+        """Fold finished batches into new bases; run it now and then.  What is read stays the same."""
+        self.counts.merge(spark)
+        for feed in FEED_NUMBER:
+            self.ids(feed).merge(spark)
+
+    def rebuild_ledgers(self, spark: SparkSession) -> None:
+        """Derive the ledgers from incidents and sources, for a store that was written without them."""
+        self.counts.clear(spark)
+        events, sources = self.events(spark), self.sources(spark)
+        of_batch = lambda n: F.floor(F.col("id") / F.lit(4 * ROWS_PER_BATCH))
+        for r in sources.select(of_batch("id").alias("n")).distinct().orderBy("n").collect():  # one row per batch
+            own = sources.where(of_batch("id") == r["n"])
+            self.counts.add(corroboration_counts(corroborating(own, events)), r["n"])
+        for feed in FEED_NUMBER:
+            self.ids(feed).clear(spark)
+            own = events.where(F.col("source_name") == feed)
+            newest = own.agg(F.max(of_batch("id"))).first()[0]
+            if newest is not None:
+                self.ids(feed).add(id_rows(own), newest)
+
+    def trends(self, spark: SparkSession) -> DataFrame:
+        """Eight-hour counts as ``run_trend_windows`` keeps them."""
+        return spark.read.parquet(self.path("trend_windows")).drop("window_date")
 
     def batch_path(self, name: str, feed: str, batch: int) -> str:
         return f"{self.path(name)}/batch={feed}-{batch:012d}"
@@ -89,9 +155,16 @@ class Store:
         if name == "events":
             writer = df.withColumn("event_date", F.to_date("occurred_at")).write.mode("overwrite").partitionBy("event_date")
         writer.parquet(self.batch_path(name, feed, batch))
+        if name == "events":
+            written = df.sparkSession.read.schema(EVENT).parquet(self.batch_path(name, feed, batch))
+            self.ids(feed).add(id_rows(written), batch)
 
     def latest(self, spark: SparkSession, name: str) -> DataFrame:
-        return sinks.latest_snapshot(spark, self.path(name))
+        """The version of a published table that the last manifest names."""
+        found = published(spark, self.root, name)
+        if found is None:
+            raise ValueError(f"{name} was not published yet")
+        return found
 
 
 def run_once(writer: DataStreamWriter) -> None:
@@ -168,30 +241,29 @@ def _append(fresh: DataFrame, store: Store, feed: str, batch: int) -> int:
     return fresh.sparkSession.read.schema(EVENT).parquet(store.batch_path("events", feed, batch)).count()
 
 
-def _stored_of(spark: SparkSession, store: Store, feed: str, batch: int) -> DataFrame:
-    # Ids carry the name of their feed, so only incidents of the same feed can repeat one; the filter reaches the scan.
-    return of_other_batches(store.events(spark).filter(F.col("source_name") == feed), feed, batch)
-
-
 def ingest_exports(rows: DataFrame, store: Store, batch: int, now: datetime | str | Column) -> int:
     """Normalise a batch of export rows and append what is new; returns the number of new incidents."""
-    earlier = _stored_of(rows.sparkSession, store, C.CODED_FEED, batch)
-    fresh = exact_dedup(X.normalize_export(rows), earlier, ["occurred_at", "title", "source_url"])
+    normal = cut_lineage(X.normalize_export(rows))
+    fresh = exact_dedup(normal, store.stored_ids(normal, C.CODED_FEED, batch), ["occurred_at", "title", "source_url"])
     return _append(as_events(fresh, instant(now)), store, C.CODED_FEED, batch)
 
 
 def ingest_samples(spark: SparkSession, store: Store, batch: int, now: datetime | str | Column) -> int:
     """Append the sample incidents that are not stored yet."""
-    fresh = exact_dedup(sample_events(spark, now), _stored_of(spark, store, C.SAMPLE_FEED, batch), ["occurred_at"])
+    samples = sample_events(spark, now)
+    fresh = exact_dedup(samples, store.stored_ids(samples, C.SAMPLE_FEED, batch), ["occurred_at"])
     return _append(as_events(fresh, instant(now)), store, C.SAMPLE_FEED, batch)
 
 
-def reset_and_seed(spark: SparkSession, store: Store, now: datetime | str | Column, version: int) -> DataFrame:
+def reset_and_seed(spark: SparkSession, store: Store, now: datetime | str | Column) -> DataFrame:
     """Replace all incidents by the samples and recompute hotspots; provenance and run log stay."""
     samples = with_ids(as_events(sample_events(spark, now), instant(now)), C.SAMPLE_FEED, 0).select(*EVENT.fieldNames())
     (samples.withColumns({"batch": F.lit(f"{C.SAMPLE_FEED}-{0:012d}"), "event_date": F.to_date("occurred_at")})
      .write.mode("overwrite").partitionBy("batch", "event_date").parquet(store.path("events")))
-    return refresh_hotspots(spark, store, now, version)
+    for feed in FEED_NUMBER:
+        store.ids(feed).clear(spark)
+    store.ids(C.SAMPLE_FEED).add(id_rows(samples), 0)
+    return refresh_hotspots(spark, store, now)
 
 
 def run_export_feed(spark: SparkSession, landed: str, store: Store, now: Clock,
@@ -228,17 +300,18 @@ def ingest_articles(rows: DataFrame, store: Store, batch: int, now: datetime | s
     known = of_other_batches(store.events(spark, F.lit(span["lo"]) - hours(C.MATCH_HOURS)), C.ARTICLE_FEED, batch)
     near = known.filter(F.col("occurred_at").between(F.lit(span["lo"]) - hours(C.MATCH_HOURS),
                                                      F.lit(span["hi"]) + hours(C.MATCH_HOURS)))
-    new = exact_dedup(normal, _stored_of(spark, store, C.ARTICLE_FEED, batch), ["ord"])
+    new = exact_dedup(normal, store.stored_ids(normal, C.ARTICLE_FEED, batch), ["ord"])
     if not fed:
         new = numbered(new.drop("ord"), [F.desc("occurred_at"), F.asc("source_id"), F.asc("title")], "ord", 1)
     new = cut_lineage(new)
-    inserted = 0
+    inserted, may_open = 0, near
     if create_new:
         base = batch_number(C.ARTICLE_FEED, batch) * ROWS_PER_BATCH
         opened, matches = discover_novel(new, near, max_new, id_offset=base)
         opened = cut_lineage(opened)
         inserted = opened.count()
         store.write_batch(as_events(opened, instant(now)), "events", C.ARTICLE_FEED, batch)
+        may_open = near.unionByName(as_events(opened, instant(now)).select(*EVENT.fieldNames()))
         matches = matches.select("ord", "event_id").unionByName(opened.select("ord", F.col("id").alias("event_id")))
     else:
         matches = best_match(new, near).select("ord", "event_id")
@@ -260,6 +333,8 @@ def ingest_articles(rows: DataFrame, store: Store, batch: int, now: datetime | s
     first = batch_number(C.ARTICLE_FEED, batch) * ROWS_PER_BATCH  # ids follow the order of the feed
     rows_out = provenance_rows(numbered(judged, [F.asc("position"), F.asc("event_id")], "id", first), now)
     store.write_batch(rows_out, "sources", C.ARTICLE_FEED, batch)
+    written = spark.read.schema(EVENT_SOURCE).parquet(store.batch_path("sources", C.ARTICLE_FEED, batch))
+    store.counts.add(corroboration_counts(corroborating(written, may_open)), batch)
     return inserted
 
 
@@ -279,12 +354,11 @@ def run_article_feed(spark: SparkSession, landed: str, store: Store, now: Clock,
     return writer.trigger(processingTime=f"{C.POLL_SECONDS} seconds").start()
 
 
-def refresh_hotspots(spark: SparkSession, store: Store, now: datetime | str | Column, version: int) -> DataFrame:
-    """Recompute hotspots from the stored incidents and publish them, with membership, as a new snapshot."""
+def refresh_hotspots(spark: SparkSession, store: Store, now: datetime | str | Column, keep: int = 3) -> DataFrame:
+    """Recompute hotspots from the stored incidents and publish them and their members together, under one manifest."""
     window = instant(now) - hours(C.CLUSTER_HOURS)
     hotspots, membership = compute_hotspots(store.corroborated_events(spark, window), now)
-    sinks.replace_snapshot(hotspots, store.path("hotspots"), version)
-    sinks.replace_snapshot(membership, store.path("hotspot_members"), version)
+    publish(spark, store.root, {"hotspots": hotspots, "hotspot_members": membership}, keep)
     return store.latest(spark, "hotspots")
 
 
@@ -300,19 +374,22 @@ def trend_windows(df: DataFrame, by: list[str], late: str = "24 hours", ts: str
 
 
 def run_trend_windows(df: DataFrame, store: Store, by: list[str], late: str = "24 hours") -> None:
-    """Keep a snapshot of the eight-hour counts up to date.
+    """Keep the eight-hour counts in ``trend_windows`` up to date, one partition per day of the windows' start.
 
-    A batch brings the windows it changed, which replace their earlier counts; windows older than ``late`` leave the
-    state of the stream and keep their last count in the snapshot.
+    A batch brings the windows it changed.  Only the days of those are read and written again; windows older than
+    ``late`` leave the state of the stream and keep their last count.
     """
 
-    def publish(counts: DataFrame, batch: int) -> None:
-        path, keys = store.path("trend_windows"), [*by, "window_start"]
-        earlier = sinks.snapshot_before(counts.sparkSession, path, batch)
-        if earlier is not None:
-            held = counts.persist()
-            counts = earlier.join(held.select(keys), keys, "left_anti").unionByName(held)
-        sinks.replace_snapshot(counts, path, batch)
-
-    run_once(trend_windows(df, by, late).writeStream.outputMode("update").foreachBatch(publish)
+    def upsert(counts: DataFrame, batch: int) -> None:
+        keys = [*by, "window_start"]
+        changed = cut_lineage(counts.withColumn("window_date", F.to_date("window_start")))
+        days = [r["window_date"] for r in changed.select("window_date").distinct().collect()]
+        if not days:
+            return
+        earlier = store._read(counts.sparkSession, "trend_windows", changed.schema).where(F.col("window_date").isin(days))
+        kept = cut_lineage(earlier.join(changed.select(*keys), keys, "left_anti"))
+        (kept.unionByName(changed).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("window_date").parquet(store.path("trend_windows")))
+
+    run_once(trend_windows(df, by, late).writeStream.outputMode("update").foreachBatch(upsert)
              .option("checkpointLocation", store.path("_trend_checkpoint")))
