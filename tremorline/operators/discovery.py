@@ -1,52 +1,82 @@
-"""Open new incidents for articles that match nothing, at most N per run."""
+"""Open new incidents for articles that match nothing, at most N per run.
+
+Taken one by one, an article opens an incident unless it matches one opened before.  The same incidents come out of
+rounds: of the articles still waiting, each that has no earlier waiting one it would match opens; then those that match
+one just opened leave.  A round decides all stories at once, so the number of rounds follows how far articles hang on
+one another in a chain, not how many there are; and which article has an earlier match is settled by elimination
+(``operators.earlier``), without a list of pairs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from tremorline.functions import constants as C
+from tremorline.functions.geo import haversine_miles
 from tremorline.functions.scores import uncorroborated_cap
-from tremorline.operators.matching import best_match, match_few, top_match
+from tremorline.functions.text import jaccard
+from tremorline.operators.blocks import reached_roots, root_bucket, root_cell
+from tremorline.operators.earlier import decided_by_earlier
+from tremorline.operators.matching import (HOUR_MICROS, POINT, _sides, best_match, match_leaders, needed_similarity,
+                                           top_match)
+from tremorline.operators.numbering import numbered
+from tremorline.operators.similarity import enough_left, prefix, rarest_first
 from tremorline.session import cut_lineage
 
 
+def openers(waiting: DataFrame, hours: float = C.MATCH_HOURS, miles: float = C.MATCH_MILES,
+            threshold: float = C.MATCH_SIMILARITY) -> DataFrame:
+    """``ord`` of the articles that open an incident when ``waiting`` are taken in the order of ``ord``, without a bound.
+
+    Articles without a place, a time or title words match nothing, so each of them opens one.
+    """
+    span = int(hours * HOUR_MICROS)
+    rows, _, sets = _sides(waiting, waiting.limit(0).withColumns({"id": F.col("ord"), "is_active": F.lit(True)}), "ord")
+    ordered = rarest_first(sets, ["set_key"]).select("set_key", "ordered")
+    rows = cut_lineage(rows.join(ordered, "set_key").withColumnsRenamed({"row_id": "k", "event_type": "kind"})
+                       .withColumn("position", F.col("k")).drop("set_key"))
+    words = rows.select("k", "position", "kind", "latitude", "longitude", "micros", F.size("ordered").alias("size"),
+                        F.posexplode(prefix(F.col("ordered"), threshold)).alias("at", "word"))
+    at_home = words.withColumns({"cell": root_cell(F.col("latitude"), F.col("longitude"), miles),
+                                 "bucket": root_bucket(F.col("micros"), span)})
+    at_home, abroad = cut_lineage(at_home), cut_lineage(reached_roots(words, miles, span))
+    by, sets = ["cell", "bucket", "word"], rows.select("k", "ordered")
+    far = haversine_miles(F.col("latitude"), F.col("longitude"), F.col("e_latitude"), F.col("e_longitude"))
+    fits = ((F.abs(F.col("micros") - F.col("e_micros")) <= span) & (far <= F.lit(float(miles)))
+            & enough_left(threshold, F.col("at"), F.col("size"), F.col("e_at"), F.col("e_size")))
+    similar = jaccard(F.col("ordered"), F.col("e_ordered")) >= needed_similarity(F.col("kind"), F.col("e_kind"), threshold)
+    undecided = rows.select("k")
+    opened = waiting.select(F.col("ord").alias("k")).join(undecided, "k", "left_anti")
+    while not undecided.isEmpty():
+        asked, members = abroad.join(undecided, "k", "left_semi"), at_home.join(undecided, "k", "left_semi")
+        held = decided_by_earlier(asked, members, by, sets, fits, similar)
+        new = cut_lineage(undecided.join(held, "k", "left_anti"))
+        opened = opened.unionByName(new)
+        rest = undecided.join(new, "k", "left_anti")
+        gone = decided_by_earlier(abroad.join(rest, "k", "left_semi"), at_home.join(new, "k", "left_semi"), by, sets, fits, similar)
+        undecided = cut_lineage(rest.join(gone, "k", "left_anti"))
+    return opened.select(F.col("k").alias("ord"))
+
+
 def discover_novel(articles: DataFrame, events: DataFrame, max_new: int | None = C.MAX_NEW_EVENTS,
                    max_confidence: float = C.UNCORROBORATED_CAP, id_offset: int | None = None
                    ) -> tuple[DataFrame, DataFrame]:
     """New incidents and the final match of every matched article.
 
-    Articles are taken in feed order (``ord``).  One that matches no stored incident, nor an incident opened
-    earlier in this run, opens one, until ``max_new`` are open (None: no bound).  Returns ``(leaders, matches)``: leaders are
-    article rows with ``id``, ``visible_from`` (their ``ord``) and capped confidence; matches are as in
+    Articles are taken in feed order (``ord``, unique).  One that matches no stored incident, nor an incident opened
+    earlier in this run, opens one, until ``max_new`` are open (None: no bound).  Returns ``(leaders, matches)``: leaders
+    are article rows with ``id``, ``visible_from`` (their ``ord``) and capped confidence; matches are as in
     ``best_match``, over stored and new incidents.
-
-    An article is skipped by the run only when the cap is reached, as the operator is defined.  The next opener is
-    always the first remaining article that matches none of the open ones, so a step is one minimum over the waiting
-    articles, and there are at most ``max_new`` steps.
     """
     stored = cut_lineage(best_match(articles, events))
     waiting = cut_lineage(articles.join(stored.select("ord"), "ord", "left_anti"))
     base = id_offset if id_offset is not None else (events.agg(F.max("id")).first()[0] or 0)
-    opened: list[int] = []
-
-    def leaders() -> DataFrame:
-        new_id = F.array_position(F.array(*[F.lit(o) for o in opened]), F.col("ord")) + F.lit(base)
-        return waiting.filter(F.col("ord").isin(opened)).withColumns(
-            {"id": new_id.cast("long"), "visible_from": F.col("ord")})
-
-    while max_new is None or len(opened) < max_new:
-        free = waiting
-        if opened:
-            free = waiting.filter(F.col("ord") > opened[-1]).join(
-                match_few(waiting, leaders()).select("ord"), "ord", "left_anti")
-        following = free.agg(F.min("ord")).first()[0]
-        if following is None:
-            break
-        opened.append(following)
-    if not opened:
-        return waiting.limit(0).withColumns({"id": F.lit(0).cast("long"), "visible_from": F.col("ord")}), stored
-    opened_rows = cut_lineage(leaders())
-    matches = top_match(stored.unionByName(match_few(articles, opened_rows), allowMissingColumns=True))
-    capped = opened_rows.withColumn("confidence_score", uncorroborated_cap(
+    opening = openers(waiting)
+    if max_new is not None:  # what opens does not depend on what opens later, so the bound takes the first of them
+        opening = opening.orderBy("ord").limit(max_new)
+    opened = cut_lineage(numbered(waiting.join(opening, "ord", "left_semi"), [F.col("ord")], "id", base + 1)
+                         .withColumn("visible_from", F.col("ord")))
+    matches = top_match(stored.unionByName(match_leaders(articles, opened), allowMissingColumns=True))
+    capped = opened.withColumn("confidence_score", uncorroborated_cap(
         F.col("confidence_score"), F.coalesce("location_precision", F.lit("city")), max_confidence))
     return capped, matches

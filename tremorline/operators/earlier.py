@@ -22,47 +22,52 @@ def _compared(undecided: DataFrame, part: DataFrame, by: list[str], fits: Column
     return undecided.join(part, by).where(fits)
 
 
-def with_earlier(rows: DataFrame, bucket: list[str], threshold: float, reach: tuple[str, int] | None = None) -> DataFrame:
-    """The rows that have an earlier one of similarity above ``threshold`` in their bucket: distinct values of ``k``.
+def decided_by_earlier(asked: DataFrame, members: DataFrame, by: list[str], sets: DataFrame, fits: Column, similar: Column
+                       ) -> DataFrame:
+    """The rows of ``asked`` that have an earlier member in one of their buckets that fits and is similar: distinct ``k``.
 
-    ``rows``: ``k`` (unique), the ``bucket`` columns, ``position`` (earlier is less), ``ordered`` (tokens, not empty, in an
-    order common to the bucket).  With ``reach = (column, distance)`` the two may differ by at most ``distance`` in that
-    column, and buckets are further split by it.
+    Both inputs: ``k``, the bucket columns ``by``, ``position`` (earlier is less) and further columns; a row may be in
+    several buckets.  ``sets``: ``k, ordered`` of both.  ``fits`` and ``similar`` see the member's columns as ``e_...``;
+    ``fits`` is the cheaper test.
     """
-    worded = rows.select("k", *bucket, "position", *([reach[0]] if reach else []), F.size("ordered").alias("size"),
-                         F.posexplode(prefix(F.col("ordered"), threshold)).alias("at", "word"))
-    by = [*bucket, "word"]
-    asked = worded
-    if reach:
-        by.append("slot")
-        slot = F.floor(F.col(reach[0]) / F.lit(reach[1]))
-        worded = worded.withColumn("slot", slot)
-        asked = asked.withColumn("slot", F.explode(F.array(slot, slot - 1, slot + 1)))
-    sizes = worded.groupBy(*by).agg(F.count("*").alias("n"), F.min("position").alias("head"))
+    sizes = members.groupBy(*by).agg(F.count("*").alias("n"), F.min("position").alias("head"))
     # a bucket whose earliest member is no earlier decides nothing
     undecided = cut_lineage(asked.join(sizes, by).where(F.col("head") < F.col("position")))
     if undecided.isEmpty():
-        return rows.select("k").limit(0)
-    sets = rows.select("k", "ordered")
+        return undecided.select("k")
     drawn = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n")
-    met = worded.join(undecided.select(*by, "n", "head").distinct(), by).withColumn("drawn", drawn).join(sets, "k")
+    met = members.join(undecided.select(*by, "n", "head").distinct(), by).withColumn("drawn", drawn).join(sets, "k")
     own = [c for c in met.columns if c not in (*by, "n", "head", "drawn")]
     met = cut_lineage(met.withColumnsRenamed({c: f"e_{c}" for c in own}))
     undecided = cut_lineage(undecided.drop("head").join(sets, "k"))
-    fits = (F.col("e_position") < F.col("position")) & enough_left(
-        threshold, F.col("at"), F.col("size"), F.col("e_at"), F.col("e_size"))
-    if reach:
-        fits = fits & (F.abs(F.col(reach[0]) - F.col(f"e_{reach[0]}")) <= reach[1])
-    decided, low, high = [], 0, FIRST
+    found, low, high = undecided.select("k").limit(0), 0, FIRST
     while not undecided.isEmpty():
         part = (F.col("drawn") >= low) & (F.col("drawn") < high)
         part = met.where(part if low else part | (F.col("head") == F.col("e_position")))
-        pairs = _compared(undecided.drop("n"), part.drop("n", "head", "drawn"), by, fits)
-        hits = cut_lineage(pairs.where(jaccard(F.col("ordered"), F.col("e_ordered")) > F.lit(threshold)).select("k").distinct())
-        decided.append(hits)
+        pairs = _compared(undecided.drop("n"), part.drop("n", "head", "drawn"), by, (F.col("e_position") < F.col("position")) & fits)
+        hits = cut_lineage(pairs.where(similar).select("k").distinct())
+        found = found.unionByName(hits)
         undecided = cut_lineage(undecided.where(F.col("n") > high).join(hits, "k", "left_anti"))
         low, high = high, high * GROWTH
-    found = rows.select("k").limit(0)
-    for hits in decided:
-        found = found.unionByName(hits)
     return found
+
+
+def with_earlier(rows: DataFrame, bucket: list[str], threshold: float, reach: tuple[str, int] | None = None) -> DataFrame:
+    """The rows that have an earlier one of similarity above ``threshold`` in their bucket: distinct values of ``k``.
+
+    ``rows``: ``k`` (unique), the ``bucket`` columns, ``position`` (earlier is less), ``ordered`` (tokens, not empty, in an
+    order common to the bucket).  With ``reach = (column, distance)`` the two may differ by at most ``distance`` in that
+    column, and buckets are further split by it.
+    """
+    worded = rows.select("k", *bucket, "position", *([reach[0]] if reach else []), F.size("ordered").alias("size"),
+                         F.posexplode(prefix(F.col("ordered"), threshold)).alias("at", "word"))
+    by, asked = [*bucket, "word"], worded
+    fits = enough_left(threshold, F.col("at"), F.col("size"), F.col("e_at"), F.col("e_size"))
+    if reach:
+        by.append("slot")
+        slot = F.floor(F.col(reach[0]) / F.lit(reach[1]))
+        worded = worded.withColumn("slot", slot)
+        asked = asked.withColumn("slot", F.explode(F.array(slot, slot - 1, slot + 1)))
+        fits = fits & (F.abs(F.col(reach[0]) - F.col(f"e_{reach[0]}")) <= reach[1])
+    similar = jaccard(F.col("ordered"), F.col("e_ordered")) > F.lit(threshold)
+    return decided_by_earlier(asked, worded, by, rows.select("k", "ordered"), fits, similar)

@@ -19,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tremorline.functions import constants as C
-from tremorline.functions.geo import coded_cell, explode_cells, haversine_miles
+from tremorline.functions.geo import haversine_miles
 from tremorline.functions.plan import once
 from tremorline.functions.scores import types_compatible
-from tremorline.functions.text import jaccard, token_set
+from tremorline.functions.text import token_set
 from tremorline.operators.blocks import Blocks, leaf_candidates, reached_roots, root_bucket, root_cell
 from tremorline.operators.similarity import set_key, similar_sets
 from tremorline.session import cut_lineage
@@ -71,8 +71,7 @@ def candidates(articles: DataFrame, events: DataFrame, sets: DataFrame, hours: f
     titles = similar_sets(reach, points, ["bucket", "cell"], sets, threshold)
     blocks = Blocks(points, ["set_key", "event_type"], miles, span)
     roots = titles.join(blocks.levels[0].withColumnsRenamed({"set_key": "b", "event_type": "p_type"}).drop("n"), "b").drop("b")
-    needed = F.when(types_compatible(F.col("event_type"), F.col("p_type")), F.lit(threshold)).otherwise(
-        F.lit(threshold) + F.lit(C.INCOMPATIBLE_EXTRA))
+    needed = needed_similarity(F.col("event_type"), F.col("p_type"), threshold)
     frontier = (reach.withColumnRenamed("set_key", "a").join(roots, ["a", "cell", "bucket"])
                 .where(F.col("similarity") >= needed).drop("a", "cell", "bucket", "event_type", "p_type"))
     found = leaf_candidates(frontier, blocks, lambda s, h, d: match_score(s, h, d, hours, miles), miles, span)
@@ -101,34 +100,37 @@ def best_match(articles: DataFrame, events: DataFrame, hours: float = C.MATCH_HO
         article_id, (-F.col("b.rank")).alias("event_id"), "b.similarity", "b.hours_apart", "b.distance_miles", "b.score")
 
 
-def match_few(articles: DataFrame, leaders: DataFrame, hours: float = C.MATCH_HOURS, miles: float = C.MATCH_MILES,
-              threshold: float = C.MATCH_SIMILARITY, article_id: str = "ord") -> DataFrame:
+def needed_similarity(article_type: Column, event_type: Column, threshold: float) -> Column:
+    return F.when(types_compatible(article_type, event_type), F.lit(threshold)).otherwise(
+        F.lit(threshold) + F.lit(C.INCOMPATIBLE_EXTRA))
+
+
+def match_leaders(articles: DataFrame, leaders: DataFrame, hours: float = C.MATCH_HOURS, miles: float = C.MATCH_MILES,
+                  threshold: float = C.MATCH_SIMILARITY, article_id: str = "ord") -> DataFrame:
     """All qualifying (article, leader) pairs, each leader visible only to later articles.
 
     ``leaders`` has one row per incident opened in the current run (``id``, ``visible_from`` and the event columns).
-    They meet in an equi-join on cells of the globe: a leader is copied to the up to 8 cells it reaches, an article is
-    in one, so a pair comes out once.  Whether leaders are broadcast is left to Spark's size check.
+    Titles meet first, so an article meets the leaders that resemble it and are near; leaders do not match each other,
+    so these are few.
     """
-    size = 4.0 * miles
-    a = articles.select(F.col(article_id), token_set(F.col("title")).alias("a_tokens"),
-                        F.col("event_type").alias("a_type"), F.col("latitude").alias("a_lat"),
-                        F.col("longitude").alias("a_lon"), F.unix_micros("occurred_at").alias("a_micros"))
-    e = leaders.select(F.col("id").alias("event_id"), "visible_from", token_set(F.col("title")).alias("e_tokens"),
-                       F.col("event_type").alias("e_type"), F.col("latitude").alias("e_lat"),
-                       F.col("longitude").alias("e_lon"), F.unix_micros("occurred_at").alias("e_micros"))
-    a = a.withColumn("cell", coded_cell(F.col("a_lat"), F.col("a_lon"), size))
-    e = explode_cells(e, "e_lat", "e_lon", size, miles).withColumnRenamed("cell", "e_cell")
-    apart = F.abs(F.col("a_micros") - F.col("e_micros"))
-    similarity = jaccard(F.col("a_tokens"), F.col("e_tokens"))
-    distance = haversine_miles(F.col("a_lat"), F.col("a_lon"), F.col("e_lat"), F.col("e_lon"))
-    needed = F.when(types_compatible(F.col("a_type"), F.col("e_type")), F.lit(threshold)).otherwise(
-        F.lit(threshold) + F.lit(C.INCOMPATIBLE_EXTRA))
-    met = a.join(e, (F.col("cell") == F.col("e_cell")) & (F.col(article_id) > F.col("visible_from"))
-                 & (apart <= int(hours * HOUR_MICROS)) & (distance <= F.lit(float(miles))) & (similarity >= needed))
+    span = int(hours * HOUR_MICROS)
+    a, e, sets = _sides(articles, leaders.withColumn("is_active", F.lit(True)), article_id)
+    visible = leaders.select(F.col("id").alias("event_id"), "visible_from")
+    placed = e.select(F.col("row_id").alias("event_id"), "set_key", *[F.col(c).alias(f"e_{c}") for c in POINT[1:]],
+                      root_cell(F.col("latitude"), F.col("longitude"), miles).alias("cell"),
+                      root_bucket(F.col("micros"), span).alias("bucket")).join(visible, "event_id")
+    placed, reach = cut_lineage(placed), cut_lineage(reached_roots(a, miles, span))
+    titles = similar_sets(reach, placed, ["bucket", "cell"], sets, threshold)
+    apart = F.abs(F.col("micros") - F.col("e_micros"))
+    distance = haversine_miles(F.col("latitude"), F.col("longitude"), F.col("e_latitude"), F.col("e_longitude"))
+    met = (reach.withColumnRenamed("set_key", "a").join(titles, "a")
+           .join(placed.withColumnRenamed("set_key", "b"), ["b", "cell", "bucket"])
+           .where((F.col("row_id") > F.col("visible_from")) & (apart <= span) & (distance <= F.lit(float(miles)))
+                  & (F.col("similarity") >= needed_similarity(F.col("event_type"), F.col("e_event_type"), threshold))))
     hours_apart = apart / F.lit(1e6) / F.lit(3600.0)
-    return met.select(article_id, "event_id", similarity.alias("similarity"), hours_apart.alias("hours_apart"),
+    return met.select(F.col("row_id").alias(article_id), "event_id", "similarity", hours_apart.alias("hours_apart"),
                       distance.alias("distance_miles"),
-                      match_score(similarity, hours_apart, distance, hours, miles).alias("score"))
+                      match_score(F.col("similarity"), hours_apart, distance, hours, miles).alias("score"))
 
 
 def top_match(candidates: DataFrame, article_id: str = "ord") -> DataFrame:

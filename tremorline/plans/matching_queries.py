@@ -14,7 +14,7 @@ from tremorline.operators.discovery import discover_novel as discover
 from tremorline.operators.matching import best_match as match
 from tremorline.operators.syndication import RULES, syndication_rules
 from tremorline.plans.registry import query
-from tremorline.plans.text_queries import _DOMAIN, _FAMILY
+from tremorline.plans.text_queries import _CAP, _DOMAIN, _FAMILY
 from tremorline.plans.views import (articles, compatible_sql, haversine_sql, incidents, jaccard_sql, provenance, r_sql,
                                     tokens_sql, with_ctes)
 from tremorline.session import cut_lineage, shared_dir
@@ -143,14 +143,55 @@ def discovery_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.orderBy("ord")).cast("long"))
 
 
-@query()
-def discover_novel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incidents opened by a run over all articles, and how many articles each then matched."""
-    leaders, matches = discover(articles(spark, sf_dir), incidents(spark, sf_dir))
+def _discovery_sql(cap: int | None) -> str:
+    """The rule taken literally: articles one by one, each with the list of those that have opened."""
+    distance = haversine_sql("a.latitude", "a.longitude", "l.latitude", "l.longitude")
+    gates = f"""abs(epoch_us(a.occurred_at) - epoch_us(l.occurred_at)) <= 48 * 3600000000 AND {distance} <= 50::DOUBLE
+      AND {jaccard_sql('a.tok', 'l.tok')} >= CASE WHEN {compatible_sql('a.event_type', 'l.event_type')} THEN 0.4::DOUBLE
+      ELSE 0.4::DOUBLE + 0.2::DOUBLE END"""
+    full = "" if cap is None else f" OR len(opened) >= {cap}"
+    more = {
+        "waiting": "SELECT * FROM a_set WHERE ord NOT IN (SELECT ord FROM best)",
+        "heard": f"SELECT a.ord, list(l.ord) AS others FROM waiting a JOIN waiting l ON l.ord < a.ord AND {gates} GROUP BY a.ord",
+        "queue": """SELECT row_number() OVER (ORDER BY ord) AS i, ord, coalesce(others, []) AS others
+          FROM waiting LEFT JOIN heard USING (ord)""",
+        "leaders": f"""SELECT ord, (SELECT max(id) FROM incidents) + row_number() OVER (ORDER BY ord) AS id FROM (
+          WITH RECURSIVE walk(i, opened) AS (
+            SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+            SELECT q.i, CASE WHEN list_has_any(q.others, opened){full} THEN opened ELSE list_append(opened, q.ord) END
+            FROM walk JOIN queue q ON q.i = walk.i + 1)
+          SELECT unnest(opened) AS ord FROM (SELECT opened FROM walk ORDER BY i DESC LIMIT 1))""",
+        "led": f"""SELECT a.ord, l.id AS event_id, 0.5::DOUBLE * {jaccard_sql('a.tok', 'l.tok')} + 0.3::DOUBLE * greatest(0::DOUBLE,
+            1::DOUBLE - abs(epoch_us(a.occurred_at) - epoch_us(l.occurred_at)) / 1e6 / 3600::DOUBLE / 48::DOUBLE)
+            + 0.2::DOUBLE * greatest(0::DOUBLE, 1::DOUBLE - {distance} / 50::DOUBLE) AS score
+          FROM a_set a JOIN (SELECT w.*, d.id FROM waiting w JOIN leaders d USING (ord)) l ON a.ord > l.ord AND {gates}""",
+        "final": """SELECT ord, event_id FROM (SELECT ord, event_id, score FROM best UNION ALL SELECT * FROM led)
+          QUALIFY row_number() OVER (PARTITION BY ord ORDER BY score DESC, event_id) = 1""",
+    }
+    shown = r_sql(f"least(0.5::DOUBLE, {_CAP}, 0.58::DOUBLE)")
+    return with_ctes(f"""SELECT l.id, l.ord, w.title, {shown} AS confidence_score,
+      (SELECT count(*) FROM final f WHERE f.event_id = l.id) AS matched FROM leaders l JOIN waiting w USING (ord)""",
+                     "incidents", "articles", **match_sql(48, 50, 0.4), **more)
+
+
+def _discovered(spark: SparkSession, sf_dir: str, cap: int | None) -> DataFrame:
+    leaders, matches = discover(articles(spark, sf_dir), incidents(spark, sf_dir), cap)
     counts = matches.groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("matched"))
     return leaders.join(counts, "id", "left").select(
         "id", "ord", "title", round3(F.col("confidence_score")).alias("confidence_score"),
-        F.coalesce("matched", F.lit(0)).alias("matched"))
+        F.coalesce("matched", F.lit(0).cast("long")).alias("matched"))
+
+
+@query(_discovery_sql(C.MAX_NEW_EVENTS))
+def discover_novel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents opened by a run over all articles with the default bound, and how many articles each then matched."""
+    return _discovered(spark, sf_dir, C.MAX_NEW_EVENTS)
+
+
+@query(_discovery_sql(None))
+def discover_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without a bound on the number of new incidents."""
+    return _discovered(spark, sf_dir, None)
 
 
 @query(with_ctes("SELECT * FROM counts", "provenance", **_FIRST, **_JUDGED))

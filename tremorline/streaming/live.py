@@ -15,7 +15,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tremorline.functions import constants as C
@@ -26,6 +26,7 @@ from tremorline.operators.dedup import exact_dedup
 from tremorline.operators.discovery import discover_novel
 from tremorline.operators.hotspots import assign_clusters, compute_hotspots
 from tremorline.operators.matching import best_match
+from tremorline.operators.numbering import numbered
 from tremorline.operators.syndication import syndication_rules
 from tremorline.schemas import EVENT, EVENT_SOURCE, INGEST_RUN, as_events
 from tremorline.session import cut_lineage
@@ -186,22 +187,6 @@ def batch_number(feed: str, batch: int) -> int:
     return batch * 4 + FEED_NUMBER[feed]
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str, first: int) -> DataFrame:
-    """Number rows from ``first`` on, in ``order``, or as they lie when there is none.
-
-    Sorting is a range sort and rows are numbered where they are; the only thing put in one place is a count per
-    partition.
-    """
-    rows = rows.orderBy(*order) if order else rows
-    marked = cut_lineage(rows.withColumn("_at", F.monotonically_increasing_id()))
-    parts = marked.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("n"), F.min("_at").alias("_start"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_part", "_start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_skip"))
-    number = F.col("_skip") + F.col("_at") - F.col("_start") + F.lit(first)
-    return (marked.withColumn("_part", F.shiftright("_at", 33)).join(parts, "_part").withColumn(name, number)
-            .drop("_at", "_part", "_start", "_skip"))
-
-
 def with_ids(rows: DataFrame, feed: str, batch: int) -> DataFrame:
     """Give new incidents unique ids: the batch in the high bits, then a running number within the batch."""
     return numbered(rows.drop("id"), [], "id", batch_number(feed, batch) * ROWS_PER_BATCH)
