@@ -297,3 +297,51 @@ def test_short_rows_with_quoted_tabs_and_counts(spark, tmp_path):
     raw = X.read_export_tsv(spark, str(tmp_path))
     assert normal_ids(raw) == ["gdelt-1", "gdelt-2"]
     assert raw.count() == 2
+
+
+def test_zips_in_the_stream_and_counts_of_what_was_rejected(spark, tmp_path):
+    landed, store = tmp_path / "landed", live.Store(str(tmp_path / "store"))
+    landed.mkdir()
+    short = "\t".join(export_line(global_event_id="9").split("\t")[:60])
+    (landed / "a.export.CSV").write_text("\n".join([export_line(global_event_id="1"), short]) + "\n", encoding="utf-8")
+    with zipfile.ZipFile(landed / "b.export.CSV.zip", "w") as z:
+        z.writestr("b.export.CSV", "\n".join([export_line(global_event_id="2"), short, short]))
+    (landed / "c.export.CSV.zip").write_bytes(b"broken")
+    live.run_export_feed(spark, str(landed), store, NOW)
+    assert sorted(r["source_id"] for r in store.events(spark).collect()) == ["gdelt-1", "gdelt-2"]
+    got = {r["file"].rpartition("/")[2]: (r["rows"], r["short_rows"], (r["error"] or "")[:10]) for r in store.rejected(spark).collect()}
+    assert got == {"a.export.CSV": (1, 1, ""), "b.export.CSV.zip": (1, 2, ""), "c.export.CSV.zip": (0, 0, "BadZipFile")}
+    assert live.run_export_feed(spark, str(landed), store, NOW) is not None and store.events(spark).count() == 2
+
+
+def test_a_file_that_always_fails_is_set_aside(spark, tmp_path):
+    landed, store = tmp_path / "landed", live.Store(str(tmp_path / "store"))
+    landed.mkdir()
+    (landed / "a.CSV").write_text(export_line(global_event_id="1") + "\n", encoding="utf-8")
+    (landed / "b.CSV.gz").write_bytes(b"no gzip at all")
+    for _ in range(2):
+        with pytest.raises(Exception):
+            live.run_export_feed(spark, str(landed), store, NOW, attempts=3)
+        assert store.events(spark).count() == 0
+    live.run_export_feed(spark, str(landed), store, NOW, attempts=3)
+    assert [r["source_id"] for r in store.events(spark).collect()] == ["gdelt-1"]
+    (landed / "c.CSV").write_text(export_line(global_event_id="3") + "\n", encoding="utf-8")
+    live.run_export_feed(spark, str(landed), store, NOW, attempts=3)
+    assert sorted(r["source_id"] for r in store.events(spark).collect()) == ["gdelt-1", "gdelt-3"]
+    tried = store.attempts(spark).collect()
+    assert len(tried) == 3 and {r["file"].rpartition("/")[2] for r in tried} == {"b.CSV.gz"} and all(r["error"] for r in tried)
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    store, landed = live.Store(str(tmp_path / "store")), tmp_path / "landed"
+    schema = "event_type string, occurred_at timestamp"
+
+    def run(*times):
+        rows = spark.createDataFrame([("protest", t) for t in times], "event_type string, t string")
+        rows.select("event_type", F.col("t").cast("timestamp").alias("occurred_at")).coalesce(1).write.mode("append").parquet(str(landed))
+        return live.run_trend_windows(spark.readStream.schema(schema).parquet(str(landed)), store, ["event_type"], "1 day", NOW)
+
+    assert run("2025-03-15 01:00:00") == 0
+    assert run("2025-03-15 02:00:00", "2025-03-11 01:00:00") == 1
+    assert [(r["stream"], r["n"]) for r in store.late(spark).collect()] == [("trend_windows", 1)]
+    assert [(str(r["window_start"]), r["event_count"]) for r in store.trends(spark).collect()] == [("2025-03-15 00:00:00", 2)]

@@ -27,12 +27,15 @@ def _reader_options(reader):
             .option("columnPruning", "false").option("encoding", "UTF-8"))
 
 
-def named_columns(raw: DataFrame) -> DataFrame:
-    """Rows with at least 61 fields, reduced to the 14 columns in use; empty fields are empty text."""
+def _complete() -> Column:
     # The last field is missing from a short row, however many tabs its quoted fields hold; an empty one is ''.  A
     # longer row is flagged too, but all its first 61 fields are there.
-    complete = F.col("_bad_row").isNull() | F.col(f"c{C.EXPORT_WIDTH - 1}").isNotNull()
-    return raw.filter(complete).select(*[
+    return F.col("_bad_row").isNull() | F.col(f"c{C.EXPORT_WIDTH - 1}").isNotNull()
+
+
+def named_columns(raw: DataFrame) -> DataFrame:
+    """Rows with at least 61 fields, reduced to the 14 columns in use; empty fields are empty text."""
+    return raw.filter(_complete()).select(*[
         F.coalesce(F.col(f"c{i}"), F.lit("")).alias(name) for name, i in C.EXPORT_COLUMNS.items()])
 
 
@@ -46,33 +49,98 @@ def stream_export_tsv(spark: SparkSession, path: str, files_per_trigger: int = C
     return named_columns(_reader_options(spark.readStream).option("maxFilesPerTrigger", files_per_trigger).csv(path))
 
 
+def stream_landed(spark: SparkSession, path: str, files_per_trigger: int = C.MAX_WINDOWS) -> DataFrame:
+    """Paths of export files as they land, plain, gzip or zip; what is in them is not read yet."""
+    return (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+            .option("maxFilesPerTrigger", files_per_trigger).load(path).select("path"))
+
+
+def _unzipped(content: bytes, rows_at_once: int = 10_000) -> Iterator[tuple[list[list[str]], int]]:
+    """Rows of the export in a zip, some at a time, with the number of short rows among them."""
+    import csv
+    import io
+    import zipfile
+
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        inner = [n for n in archive.namelist() if n.upper().endswith(".CSV")][0]
+        picked, short = [], 0
+        for row in csv.reader(io.TextIOWrapper(archive.open(inner), encoding="utf-8", newline=""), delimiter="\t"):
+            if len(row) >= C.EXPORT_WIDTH:
+                picked.append(row)
+            else:
+                short += 1
+            if len(picked) + short >= rows_at_once:
+                yield picked, short
+                picked, short = [], 0
+        yield picked, short
+
+
+def _unreadable() -> tuple:
+    import csv
+    import zipfile
+    import zlib
+
+    return zipfile.BadZipFile, IndexError, UnicodeDecodeError, csv.Error, zlib.error, EOFError
+
+
 def read_export_zip(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Landed ``.zip`` exports.  A zip holds one quarter hour and cannot be split, so files are the unit of work."""
+    """Landed ``.zip`` exports.  A zip holds one quarter hour and cannot be split, so files are the unit of work.
+
+    Rows of an unreadable zip up to its fault are kept, as of a broken plain file; ``audit_landed`` reports it.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
-    width, columns = C.EXPORT_WIDTH, dict(C.EXPORT_COLUMNS)
+    columns = dict(C.EXPORT_COLUMNS)
 
     def unzip(batches: Iterator) -> Iterator:
-        import csv
-        import io
-        import zipfile
-
         import pandas as pd
 
         for batch in batches:
             for content in batch["content"]:
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        inner = [n for n in archive.namelist() if n.upper().endswith(".CSV")][0]
-                        text = io.TextIOWrapper(archive.open(inner), encoding="utf-8", newline="")
-                        picked = [[row[i] for i in columns.values()]
-                                  for row in csv.reader(text, delimiter="\t") if len(row) >= width]
-                except (zipfile.BadZipFile, IndexError, UnicodeDecodeError, csv.Error):
+                    for rows, _ in _unzipped(content):
+                        yield pd.DataFrame([[row[i] for i in columns.values()] for row in rows], columns=list(columns), dtype="str")
+                except _unreadable():
                     continue  # one unreadable file does not stop the run
-                yield pd.DataFrame(picked, columns=list(columns), dtype="str")
 
     return files.mapInPandas(unzip, ", ".join(f"{name} string" for name in columns))
 
 
+def read_landed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Landed exports of either kind."""
+    zips = [p for p in paths if p.lower().endswith(".zip")]
+    plain = [p for p in paths if p not in zips]
+    parts = [read(spark, some) for read, some in ((read_export_tsv, plain), (read_export_zip, zips)) if some]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def audit_landed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file, rows, short_rows, error``: complete rows, rows of too few fields, and why a zip could not be read to its end."""
+    zips = [p for p in paths if p.lower().endswith(".zip")]
+    plain = [p for p in paths if p not in zips]
+    schema = "file string, rows long, short_rows long, error string"
+    out = spark.createDataFrame([], schema)
+    if plain:
+        raw = _reader_options(spark.read).csv(plain).withColumn("file", F.col("_metadata.file_path"))
+        out = out.unionByName(raw.groupBy("file").agg(F.count_if(_complete()).alias("rows"), F.count_if(~_complete()).alias("short_rows"))
+                              .withColumn("error", F.lit(None).cast("string")))
+    if zips:
+        def audit(batches: Iterator) -> Iterator:
+            import pandas as pd
+
+            for batch in batches:
+                for path, content in zip(batch["path"], batch["content"]):
+                    rows, short, error = 0, 0, None
+                    try:
+                        for some, missed in _unzipped(content):
+                            rows, short = rows + len(some), short + missed
+                    except _unreadable() as e:
+                        error = f"{type(e).__name__}: {e}"
+                    yield pd.DataFrame({"file": [path], "rows": [rows], "short_rows": [short], "error": pd.array([error], "string")})
+
+        out = out.unionByName(spark.read.format("binaryFile").load(zips).select("path", "content").mapInPandas(audit, schema))
+    return out
+
+
 def filter_export(rows: DataFrame) -> DataFrame:
     """US rows of the three unrest root codes with real coordinates and a valid day."""
     lat, lon = F.col("geo_lat").try_cast("double"), F.col("geo_long").try_cast("double")

@@ -11,12 +11,14 @@ the incidents stored so far, and a reader of confidence sums counts instead of a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.types import StructType
 
 from tremorline.functions import constants as C
 from tremorline.functions.timefn import hours, instant
@@ -37,6 +39,7 @@ from tremorline.sources.ledger import Ledger, publish, published
 from tremorline.sources.samples import sample_events
 
 
+LATE = "stream string, at timestamp, n long"
 COUNTS = "event_id long, independent long, syndicated long"
 IDS, ID_BUCKETS = "source_id string, bucket int", 64
 
@@ -97,6 +100,19 @@ class Store:
     def runs(self, spark: SparkSession) -> DataFrame:
         return sinks.current_runs(self._read(spark, "runs", INGEST_RUN).select(*INGEST_RUN.fieldNames()))
 
+    def attempts(self, spark: SparkSession) -> DataFrame:
+        """Failures of single files: ``batch, file, at, error``."""
+        return self._read(spark, "attempts", StructType.fromDDL(ATTEMPTS))
+
+    def rejected(self, spark: SparkSession) -> DataFrame:
+        """Files with rows of too few fields, and zips that break off: ``file, rows, short_rows, error``."""
+        columns = StructType.fromDDL(REJECTED)
+        return self._read(spark, "rejected", columns).select(*columns.fieldNames())
+
+    def late(self, spark: SparkSession) -> DataFrame:
+        """Rows that came behind the watermark of a stream and were not counted: ``stream, at, n``."""
+        return self._read(spark, "late", StructType.fromDDL(LATE))
+
     def corroborated_events(self, spark: SparkSession, since: Column | None = None) -> DataFrame:
         """Incidents (from the day of ``since`` on) with the source counts and confidence their provenance gives them.
 
@@ -168,9 +184,25 @@ class Store:
         return found
 
 
-def run_once(writer: DataStreamWriter) -> None:
+def run_once(writer: DataStreamWriter) -> StreamingQuery:
     """Process everything that has landed, then stop."""
-    writer.trigger(availableNow=True).start().awaitTermination()
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows the stateful operators of a finished run dropped because they came behind the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in json.loads(p.json)["stateOperators"])
+
+
+def log_late(spark: SparkSession, store: Store, stream: str, query: StreamingQuery, now: Clock) -> int:
+    """Keep the number of late rows of a run in the store, if there are any."""
+    n = late_rows(query)
+    if n:
+        row = spark.range(1).select(F.lit(stream).alias("stream"), instant(_time(now)).alias("at"), F.lit(n).cast("long").alias("n"))
+        sinks.append_rows(row, store.path("late"))
+    return n
 
 
 def dedup_stream(df: DataFrame, keep: str = "24 hours", key: str = "source_id", ts: str = "occurred_at") -> DataFrame:
@@ -251,15 +283,66 @@ def reset_and_seed(spark: SparkSession, store: Store, now: datetime | str | Colu
     return refresh_hotspots(spark, store, now)
 
 
+REJECTED = "file string, rows long, short_rows long, error string"
+ATTEMPTS = "batch long, file string, at timestamp, error string"
+
+
+def _culprits(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """Files that cannot be read on their own, with the error; a batch has a bounded number of files."""
+    found = {}
+    for file in files:
+        try:
+            X.normalize_export(X.read_landed(spark, [file])).write.format("noop").mode("overwrite").save()
+        except Exception as e:
+            found[file] = str(e)[:C.ERROR_CHARS]
+    return found
+
+
+def ingest_landed(spark: SparkSession, files: list[str], store: Store, batch: int, now: datetime | str | Column,
+                  attempts: int = 3) -> int:
+    """Append what is new in landed export files; returns the number of new incidents.
+
+    If the batch fails, files that cannot be read on their own are noted.  The batch is tried again as a whole until such
+    a file has failed ``attempts`` times; then it is set aside and the others go on.  Files with rejected rows, and zips
+    that break off, are counted in the table ``rejected``.
+    """
+    tried = store.attempts(spark).groupBy("file").agg(F.count("*").alias("n"))
+    failed = {r["file"]: r["n"] for r in tried.where(F.col("file").isin(files)).collect()}
+    files = [f for f in files if failed.get(f, 0) < attempts]
+
+    def work() -> int:
+        if not files:
+            return 0
+        inserted = ingest_exports(X.read_landed(spark, files), store, batch, now)
+        audit = X.audit_landed(spark, files).where("short_rows > 0 or error is not null")
+        store.write_batch(audit, "rejected", C.CODED_FEED, batch)
+        return inserted
+
+    try:
+        return work()
+    except Exception:
+        bad = _culprits(spark, files)
+        if not bad:
+            raise
+        noted = spark.createDataFrame([(batch, f, e) for f, e in bad.items()], "batch long, file string, error string")
+        sinks.append_rows(noted.select("batch", "file", instant(now).alias("at"), "error"), store.path("attempts"))
+        if any(failed.get(f, 0) + 1 < attempts for f in bad):
+            raise
+        files = [f for f in files if f not in bad]
+        return work()
+
+
 def run_export_feed(spark: SparkSession, landed: str, store: Store, now: Clock,
-                    files_per_trigger: int = C.MAX_WINDOWS, once: bool = True):
-    """Follow a folder of landed exports.  ``once`` processes what is there; otherwise polls every 30 minutes."""
+                    files_per_trigger: int = C.MAX_WINDOWS, once: bool = True, attempts: int = 3):
+    """Follow a folder of landed exports, plain, gzip or zip.  ``once`` processes what is there; otherwise polls every 30
+    minutes.  A file that failed ``attempts`` times is set aside."""
 
     def handle(rows: DataFrame, batch: int) -> None:
+        files = sorted(r["path"] for r in rows.collect())  # at most files_per_trigger
         _logged(rows.sparkSession, store, batch, C.CODED_FEED, now,
-                lambda started: ingest_exports(rows, store, batch, started))
+                lambda started: ingest_landed(rows.sparkSession, files, store, batch, started, attempts))
 
-    writer = (X.stream_export_tsv(spark, landed, files_per_trigger).writeStream.foreachBatch(handle)
+    writer = (X.stream_landed(spark, landed, files_per_trigger).writeStream.foreachBatch(handle)
               .option("checkpointLocation", store.path("_exports_checkpoint")))
     if once:
         return run_once(writer)
@@ -358,11 +441,12 @@ def trend_windows(df: DataFrame, by: list[str], late: str = "24 hours", ts: str
     return counted.select(*by, F.col("window.start").alias("window_start"), "event_count")
 
 
-def run_trend_windows(df: DataFrame, store: Store, by: list[str], late: str = "24 hours") -> None:
+def run_trend_windows(df: DataFrame, store: Store, by: list[str], late: str = "24 hours", now: Clock | None = None) -> int:
     """Keep the eight-hour counts in ``trend_windows`` up to date, one partition per day of the windows' start.
 
     A batch brings the windows it changed.  Only the days of those are read and written again; windows older than
-    ``late`` leave the state of the stream and keep their last count.
+    ``late`` leave the state of the stream and keep their last count.  Returns how many rows came too late to be counted;
+    with ``now`` that number is kept in the store.
     """
 
     def upsert(counts: DataFrame, batch: int) -> None:
@@ -376,5 +460,6 @@ def run_trend_windows(df: DataFrame, store: Store, by: list[str], late: str = "2
         (kept.unionByName(changed).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("window_date").parquet(store.path("trend_windows")))
 
-    run_once(trend_windows(df, by, late).writeStream.outputMode("update").foreachBatch(upsert)
-             .option("checkpointLocation", store.path("_trend_checkpoint")))
+    query = run_once(trend_windows(df, by, late).writeStream.outputMode("update").foreachBatch(upsert)
+                     .option("checkpointLocation", store.path("_trend_checkpoint")))
+    return late_rows(query) if now is None else log_late(df.sparkSession, store, "trend_windows", query, now)
