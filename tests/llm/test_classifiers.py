@@ -118,9 +118,11 @@ def test_projected_gradient_meets_targets(spark):
     assert got == pytest.approx(r.tolist()) and min(got) >= 0
     assert (tokens * r) @ share / tokens.sum() == pytest.approx([0.7, 0.2, 0.1], abs=1e-3)
     kept = mixing.fitted_steps(table, ("a", "b", "c"), goal, keep="a")
-    r = np.ones(200)
+    r, least = np.ones(200), (share[:, 0] >= share.max(1)).astype(float)
     for s in kept:
-        r = np.maximum(0, r - share @ np.array(s))
+        r = np.maximum(least, r - share @ np.array(s))
+    got = [x["rate"] for x in table.select(mixing.rate(kept, 0).alias("rate")).collect()]
+    assert got == pytest.approx(r.tolist()) and min(g for g, one in zip(got, least) if one) >= 1
     assert ((tokens * r) @ share)[0] == pytest.approx(tokens @ share[:, 0], rel=1e-2)
 
 

@@ -126,7 +126,12 @@ def contaminated_words(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          item_col: str = "item_id", window: int = 10) -> DataFrame:
-    """``docs`` without the rows that hold an item window; the columns are those of ``docs``."""
+    """``docs`` without the rows that hold an item window; the columns are those of ``docs``.
+
+    Null and empty texts hold none and stay; whole texts are read, however long; equal rows stay or go together, and rows
+    of one id are judged each by its own text, null ids too; an empty table, or no items, changes nothing.  Other columns
+    pass through, whatever their names.
+    """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     own = dict(zip(docs.columns, names))
     plain = docs.toDF(*names)

@@ -8,6 +8,7 @@ the targets and no rate may be negative.  One step is one distributed sum over a
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass
 
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tremorline.llm.common import query
 from tremorline.session import cut_lineage
 
+LOG = logging.getLogger(__name__)
+
 #: Target shares of tokens in production.
 TARGETS = {"good": 0.90, "poor": 0.06, "toxic": 0.04}
 
@@ -120,13 +123,17 @@ def fitted_steps(weighted: DataFrame, domains: tuple[str, ...], targets: dict[st
 
     ``weighted`` has ``tokens`` and ``posterior``.  The objective is half the sum over domains of (expected tokens -
     target) squared over the natural tokens of the domain, the target being its share of all tokens, or of as many as
-    leave the domain ``keep`` as it is; lengths of rates are weighted by tokens, which makes 1 a safe step.  Domains without a target aim at 0; domains without tokens are
-    left out; targets are rescaled to add up to 1.
+    leave the domain ``keep`` as it is; lengths of rates are weighted by tokens, which makes 1 a safe step.  Domains
+    without a target aim at 0; domains without tokens are left out; targets are rescaled to add up to 1.
+
+    Rates are projected onto 0 or more, and onto 1 or more where ``keep`` is the likeliest domain, so none of those
+    documents is thinned.  Steps end when the gap is within the tolerance or has stopped shrinking, or after
+    ``max_steps``; a gap that is left, as where targets cannot be met under these bounds, is logged.
     """
-    share = [F.col("posterior")[i] for i in range(len(domains))]
+    share, kept = [F.col("posterior")[i] for i in range(len(domains))], kept_place(domains, keep)
 
     def expected(steps: list[list[float]]) -> list[float]:
-        part = weighted.select("tokens", "posterior", rate(steps).alias("rate"))
+        part = weighted.select("tokens", "posterior", rate(steps, kept).alias("rate"))
         row = part.agg(*(F.coalesce(F.sum(F.col("tokens") * F.col("rate") * s), F.lit(0.0)) for s in share)).first()
         return [float(x) for x in row]
 
@@ -138,21 +145,32 @@ def fitted_steps(weighted: DataFrame, domains: tuple[str, ...], targets: dict[st
         whole = natural[domains.index(keep)] * sum(asked) / targets[keep]
     goal = [whole * a / sum(asked) for a in asked]
     steps: list[list[float]] = []
-    now = natural
-    while len(steps) < max_steps:
+    now, gaps = natural, []
+    while True:
         gap = [t - g if n else 0.0 for t, g, n in zip(now, goal, natural)]
-        if max(map(abs, gap)) <= tolerance * whole:
+        gaps.append(max(map(abs, gap)))
+        if gaps[-1] <= tolerance * whole:
+            break
+        if len(steps) == max_steps or len(gaps) > 5 and gaps[-1] > 0.99 * gaps[-6]:
+            LOG.warning("mixing: after %d steps a domain is %.3g of all tokens off its target", len(steps), gaps[-1] / whole)
             break
         steps.append([g / n if n else 0.0 for g, n in zip(gap, natural)])
         now = expected(steps)
     return steps
 
 
-def rate(steps: list[list[float]]) -> Column:
-    """The nonnegative rate of a document with the given ``posterior`` after the steps."""
-    r = F.lit(1.0)
+def kept_place(domains: tuple[str, ...], keep: str | None) -> int | None:
+    return domains.index(keep) if keep in domains else None
+
+
+def rate(steps: list[list[float]], kept: int | None = None) -> Column:
+    """The rate of a document with the given ``posterior`` after the steps: 0 or more, and 1 or more where the likeliest
+    domain is the one at place ``kept``."""
+    least, r = F.lit(0.0), F.lit(1.0)
+    if kept is not None:
+        least = F.when(F.col("posterior")[kept] >= F.array_max("posterior"), F.lit(1.0)).otherwise(F.lit(0.0))
     for step in steps:
-        r = F.greatest(F.lit(0.0), r - sum((F.col("posterior")[i] * F.lit(x) for i, x in enumerate(step)), F.lit(0.0)))
+        r = F.greatest(least, r - sum((F.col("posterior")[i] * F.lit(x) for i, x in enumerate(step)), F.lit(0.0)))
     return r
 
 
@@ -173,20 +191,23 @@ def mixing_rates(docs: DataFrame, examples: DataFrame, targets: dict[str, float]
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     weighted = cut_lineage(with_posteriors(slim, model, "_text").select("_id", "tokens", "posterior"))
     steps = fitted_steps(weighted, model.domains, targets, keep)
-    return weighted.withColumn("rate", rate(steps)), model, steps
+    return weighted.withColumn("rate", rate(steps, kept_place(model.domains, keep))), model, steps
 
 
 def mixed(docs: DataFrame, examples: DataFrame, targets: dict[str, float], id_col: str = "doc_id",
           text_col: str = "text", keep: str | None = None, **training) -> DataFrame:
     """``docs`` with each row as often as its rate says; the columns are those of ``docs``.
 
-    A rate depends on the posterior only, so it is evaluated again next to the text and no text is shuffled.
+    A rate depends on the posterior only, so it is evaluated again next to the text and no text is shuffled.  Documents
+    whose likeliest domain is ``keep`` have at least one copy.  Null and empty texts have the posterior of no words and
+    count 0 tokens; null ids, ties and equal rows are treated like any other, equal rows alike; long texts are read whole;
+    an empty table, or no usable example, gives ``docs`` as they are.  Other columns pass through, whatever their names.
     """
     _, model, steps = mixing_rates(docs, examples, targets, id_col, text_col, keep, **training)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     own = dict(zip(docs.columns, names))
     plain = docs.toDF(*names)
-    n = copies(rate(steps), F.col(own[id_col]), F.col(own[text_col]))
+    n = copies(rate(steps, kept_place(model.domains, keep)), F.col(own[id_col]), F.col(own[text_col]))
     return (with_posteriors(plain, model, own[text_col]).withColumn("_n", n).where("_n > 0")
             .withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n")))
             .select(*(F.col(v).alias(k) for k, v in own.items())))

@@ -202,6 +202,9 @@ def recurring_templates(docs: DataFrame, depth: int = 3, min_docs: int = 10, con
     A template lists per field the hash of its constant token, or -1 for a variable one.  It recurs if at least
     ``similarity`` of its fields behind the leading ones are constant and each constant token was seen in ``min_docs``
     documents or more.  A line of variable fields only is no template.
+
+    Null and empty texts have no lines; lines without tokens are no template; equal rows are documents of their own, told
+    apart by ``tie``; whole texts are read; an empty table gives three empty tables.  Other columns are ignored.
     """
     places = cut_lineage(docs.select("id", "tie", "text").mapInArrow(
         _places(depth), "leaf long, id long, tie long, line int, docs long"))

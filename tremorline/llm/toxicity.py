@@ -178,7 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
 
 
 def scores(docs: DataFrame, model: NgramModel, text_col: str = "text", name: str = "score") -> DataFrame:
-    """Replace the text by a score from 0 to 1 (a column called ``name`` is replaced); whole texts, null like empty."""
+    """Replace the text by a score from 0 to 1 (a column called ``name`` is replaced).
+
+    Whole texts are read, long ones in pieces; a null text is scored like an empty one; null ids and equal rows stay and
+    are scored alike; an empty table stays empty.  Other columns pass through.
+    """
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text_col, name)]
 
