@@ -14,9 +14,10 @@ from tremorline.operators.discovery import discover_novel as discover
 from tremorline.operators.matching import best_match as match
 from tremorline.operators.syndication import RULES, syndication_rules
 from tremorline.plans.registry import query
-from tremorline.plans.text_queries import _CAP, _DOMAIN, _FAMILY
-from tremorline.plans.views import (articles, compatible_sql, haversine_sql, incidents, jaccard_sql, provenance, r_sql,
-                                    tokens_sql, with_ctes)
+from tremorline.plans.text_queries import _CAP, _DOMAIN, _FAMILY, CLASSIFIED, LOCATED
+from tremorline.plans.views import (NOW, NOW_SQL, TEST_LEXICON, articles, compatible_sql, haversine_sql, incidents, jaccard_sql,
+                                    provenance, r_sql, raw_articles, tokens_sql, with_ctes)
+from tremorline.schemas import EVENT, conform
 from tremorline.session import cut_lineage, shared_dir
 from tremorline.streaming import live
 
@@ -205,3 +206,33 @@ def ledger_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         if batch == 3:
             store.counts.merge(spark)
     return live.summed_counts(store.counts.read(spark))
+
+
+_FED = {
+    "norm": f"""SELECT row_number() OVER (ORDER BY occurred_at DESC, source_id, title) AS ord, * FROM (
+      SELECT concat('er-', CAST(a.ord AS VARCHAR)) AS source_id, trim(a.title) AS title, c.class_type AS event_type, l.latitude,
+        l.longitude, coalesce(CASE WHEN contains(a.date_text, 'T')
+            THEN try_cast(regexp_replace(a.date_text, '(Z|[+-]\\d{{2}}:?\\d{{2}})$', '') AS TIMESTAMP)
+          ELSE try_strptime(substring(a.date_text, 1, 10), '%Y-%m-%d') + INTERVAL 12 HOUR END, {NOW_SQL}) AS occurred_at,
+        nullif(trim(a.url), '') AS source_url, a.event_uri, a.outlet
+      FROM articles a JOIN classified c USING (ord) JOIN located l USING (ord)
+      WHERE l.latitude IS NOT NULL AND l.longitude IS NOT NULL AND NOT (l.latitude = 0 AND l.longitude = 0))""",
+    **match_sql(48, 50, 0.4),
+    "a_set": f"SELECT *, {tokens_sql('title')} AS tok FROM norm",
+    "provenance": """SELECT b.event_id, n.ord AS position, n.source_id AS source_record_id, n.outlet AS source_name, n.source_url,
+      n.title AS source_title, n.occurred_at AS source_published_at, n.event_uri FROM norm n JOIN best b USING (ord)""",
+    **_FIRST,
+}
+
+
+@query(with_ctes(f"""SELECT event_id, source_record_id, source_name,
+  CASE WHEN {' OR '.join('v.' + r for r in RULES)} THEN 0::DOUBLE ELSE 1::DOUBLE END AS source_trust_weight
+  FROM provenance p JOIN verdicts v USING (event_id, position)""", "incidents", "articles", **CLASSIFIED, **LOCATED, **_FED))
+def stream_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles land and run through the feed against stored incidents: classified, matched, judged, recorded."""
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    store = live.Store(f"{root}/store")
+    store.write_batch(conform(incidents(spark, sf_dir), EVENT, {"country": "US"}), "events", C.CODED_FEED, 0)
+    raw_articles(spark, sf_dir).drop("ord").write.json(f"{root}/landed")
+    live.run_article_feed(spark, f"{root}/landed", store, NOW, TEST_LEXICON, min_precision="state")
+    return store.sources(spark).select("event_id", "source_record_id", "source_name", "source_trust_weight")
