@@ -2,17 +2,22 @@
 
 Two token sets with Jaccard similarity of at least ``t`` share a token among the first
 ``n - ceil(t * n) + 1`` tokens of each, in any order that is the same for both.  With the rarest tokens first, a join
-on those tokens meets few pairs that are not similar.  Only keys, sizes and positions travel through that join;
-token sets are fetched for the surviving pairs.
+on those tokens meets few pairs that are not similar.  Only keys, sizes, positions and a signature of a few hundred bits
+travel through that join; the signatures bound the overlap from above, so most pairs that merely share a frequent word
+end where they meet, and token sets are fetched for the surviving pairs.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tremorline.functions.plan import once
 from tremorline.functions.text import jaccard
 from tremorline.session import cut_lineage
 
+#: Longs of a signature.
+LONGS = 8
+
 
 def set_key(tokens: Column) -> Column:
     """A short key of a token set; null for the empty set."""
@@ -44,21 +49,50 @@ def enough_left(threshold: float, a_at: Column, a_size: Column, b_at: Column, b_
     return F.least(a_at, b_at) + F.least(a_size - a_at, b_size - b_at) >= needed
 
 
+def signature(tokens: Column) -> Column:
+    """``LONGS`` longs in which each token of a set sets one bit, by its hash."""
+    bits = F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(64 * LONGS)))
+
+    def long(i: int) -> Column:
+        mine = F.filter(bits, lambda b: F.floor(b / 64) == i)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))))
+
+    return F.array(*[long(i) for i in range(LONGS)])
+
+
+def enough_shared(threshold: float | Column, a_sign: str, a_size: Column, b_sign: str, b_size: Column) -> Column:
+    """Can two sets of these signatures be similar enough?  Each bit that only one has is a token the other lacks."""
+    def alone(x: str, y: str) -> Column:
+        out = F.lit(0)
+        for i in range(LONGS):
+            out = out + F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i)))))
+        return out
+
+    t = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    needed = F.ceil((a_size + b_size) * (t / (1 + t)) - F.lit(1e-9))
+    return (a_size - alone(a_sign, b_sign) >= needed) & (b_size - alone(b_sign, a_sign) >= needed)
+
+
 def similar_sets(left: DataFrame, right: DataFrame, block: list[str], sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs of token sets that occur in a common block and have similarity of at least ``threshold``.
 
     ``left``, ``right``: the ``block`` columns and ``set_key``; ``sets``: ``set_key, tokens`` of both sides.  Output:
     ``a, b, similarity``, each pair once.
     """
-    words = cut_lineage(rarest_first(sets, ["set_key"]).select(
-        "set_key", F.size("ordered").alias("size"), F.posexplode(prefix(F.col("ordered"), threshold)).alias("at", "word")))
+    signed = once(rarest_first(sets, ["set_key"]), "sign", signature(F.col("ordered")))
+    words = cut_lineage(signed.select("set_key", F.size("ordered").alias("size"), "sign",
+                                      F.posexplode(prefix(F.col("ordered"), threshold)).alias("at", "word")))
 
     def worded(side: DataFrame, name: str) -> DataFrame:
         return side.select(*block, "set_key").distinct().join(words, "set_key").select(
-            *block, "word", F.col("set_key").alias(name), F.col("size").alias(f"{name}_size"), F.col("at").alias(f"{name}_at"))
+            F.xxhash64(*block, "word").alias("met"), F.col("set_key").alias(name), F.col("size").alias(f"{name}_size"),
+            F.col("at").alias(f"{name}_at"), F.col("sign").alias(f"{name}_sign"))
 
     fits = enough_left(threshold, F.col("a_at"), F.col("a_size"), F.col("b_at"), F.col("b_size"))
-    pairs = worded(left, "a").join(worded(right, "b"), [*block, "word"]).where(fits).select("a", "b").distinct()
+    fits = fits & enough_shared(threshold, "a_sign", F.col("a_size"), "b_sign", F.col("b_size"))
+    # blocks and words meet by hash: a chance meeting is one more pair to check
+    pairs = cut_lineage(worded(left, "a").join(worded(right, "b"), "met").where(fits).select("a", "b").distinct())
     of = lambda name: sets.select(F.col("set_key").alias(name), F.col("tokens").alias(f"{name}_tokens"))
     checked = pairs.join(of("a"), "a").join(of("b"), "b").select(
         "a", "b", jaccard(F.col("a_tokens"), F.col("b_tokens")).alias("similarity"))
