@@ -71,3 +71,11 @@ def test_whole_words_are_literal(spark, phrase):
     got = V.phrase_matches(df, V.entries(spark, [(phrase, "k", 1.0)]), whole_words=True)
     pattern = F.lit(rf"\b{re.escape(phrase)}\b")
     assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in df.where(F.rlike("_front", pattern)).collect())
+
+
+def test_words_of_a_body_are_extracted_once(spark):
+    from tremorline.operators.classify import lexicon_hits
+
+    hits = lexicon_hits(spark.createDataFrame(articles(5, 1), ARTICLE), Lexicon(), "title", "body", F.lit(True)).select("_hits")
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2  # title and body

@@ -93,18 +93,18 @@ def lexicon_hits(df: DataFrame, lexicon: Lexicon, title: str, body: str, support
     """Add ``_hits``: an array of ``score, order, event_type`` for every vocabulary entry that hit.
 
     Entries are numbered phrases, title tokens, body tokens; ``order`` is minus that number.  Body tokens only count
-    when nothing else hit and ``supported`` holds, so words of a body are extracted only then.
+    when nothing else hit and ``supported`` holds, so words of a body are extracted only then, and only once.
     """
     n, k = len(lexicon.phrases), len(lexicon.tokens)
-    df = df.withColumns({"_low_title": F.lower(F.col(title)), "_low_body": F.lower(F.coalesce(F.col(body), F.lit(""))),
-                         "_title_tokens": token_set(F.col(title)), "_supported": supported})
+    df = df.withColumns({"_low_title": F.lower(F.col(title)), "_title_tokens": token_set(F.col(title)), "_supported": supported})
+    df = once(df, "_low_body", F.lower(F.coalesce(F.col(body), F.lit(""))))
     phrases = [F.when(lexicon.finds(F.col("_low_title"), p), _hit(s, i, t))
                .when(lexicon.finds(F.col("_low_body"), p), _hit(s * C.BODY_PHRASE_WEIGHT, i, t))
                for i, (p, t, s) in enumerate(lexicon.phrases)]
     titled = [F.when(F.array_contains("_title_tokens", w), _hit(s, n + i, t))
               for i, (w, t, s) in enumerate(lexicon.tokens)]
-    df = df.withColumn("_front", F.array_compact(F.array(*phrases, *titled)))
-    df = df.withColumn("_body_tokens", F.when(F.col("_supported") & (F.size("_front") == 0), token_set(F.col(body))))
+    df = once(df, "_front", F.array_compact(F.array(*phrases, *titled)))
+    df = once(df, "_body_tokens", F.when(F.col("_supported") & (F.size("_front") == 0), token_set(F.col(body))))
     bodied = [F.when(F.array_contains("_body_tokens", w), _hit(s * C.BODY_TOKEN_WEIGHT, n + k + i, t))
               for i, (w, t, s) in enumerate(lexicon.tokens)]
     behind = F.when(F.col("_body_tokens").isNotNull(), F.array_compact(F.array(*bodied)))
