@@ -79,3 +79,18 @@ def test_words_of_a_body_are_extracted_once(spark):
     hits = lexicon_hits(spark.createDataFrame(articles(5, 1), ARTICLE), Lexicon(), "title", "body", F.lit(True)).select("_hits")
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 2  # title and body
+
+
+def test_phrases_that_share_short_runs_meet_by_their_longest(spark):
+    """Of 300 phrases made of the same words only those that occur are looked for in a text."""
+    words = ["shared", "running", "entries", "another", "letters", "written", "several"]
+    listed = sorted({f"{a} {b} {c}" for a in words for b in words for c in words})
+    phrases = V.entries(spark, [(p, "k", 1.0) for p in listed])
+    text = " ".join(words * 3)
+    keys = V.anchored(phrases).collect()
+    assert len(keys) == len(listed)
+    assert sum(len(k["word"]) - 4 <= max(s for s in V.GRAMS if s <= len(k["word"])) for k in keys) > 0.9 * len(keys)
+    assert len({k["gram"] for k in keys}) > 0.9 * len(keys)
+    df = spark.createDataFrame([(0, text, None), (1, None, text)], "_row long, _front string, _behind string")
+    got = {(r["_row"], listed[r["at"]]) for r in V.phrase_matches(df, phrases).collect()}
+    assert got == {(i, p) for i in (0, 1) for p in listed if p in text}

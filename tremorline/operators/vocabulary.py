@@ -1,14 +1,17 @@
 """Vocabulary as a table: phrases and words of any number meet texts in equi-joins.
 
 The expression form in ``operators.classify`` holds the vocabulary in the plan, which suits some hundred entries.  Here a
-phrase is found by one of its grams, a run of 8 of its characters (4, 2 or 1 for short phrases), chosen because few other
-phrases share it.  Texts give their different grams, grams meet phrases by equality, and only phrases met that way are
-looked for in the whole text.  So the work follows the text and its near hits, not the vocabulary, and every phrase the
-expression form finds is found: a text that holds the phrase holds all its grams.
+phrase is found by one of its grams, a run of bytes of the largest size in ``GRAMS`` that the phrase has, chosen because
+few other phrases share it.  Texts give the grams that a bitmap of the anchors (of fixed size) lets pass, by hash; those
+meet phrases by equality, and only phrases met that way are looked for in the whole text.  So the work follows the text
+and its near hits, not the vocabulary, and every phrase the expression form finds is found: a text that holds the phrase
+holds all its grams.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tremorline.functions import constants as C
@@ -16,7 +19,10 @@ from tremorline.functions.text import token_set
 from tremorline.operators.classify import DEFAULT_LEXICON, Lexicon, category_boost, concept_boost, decided
 from tremorline.session import cut_lineage
 
-GRAMS = (8, 4, 2, 1)
+#: Sizes of grams in bytes, slots of the bitmap as a power of two, bytes of text hashed at a time.
+GRAMS = (32, 24, 20, 16, 14, 12, 10, 8, 6, 4, 2, 1)
+SLOTS, PIECE = 26, 1 << 18
+FACTOR = 0x9E3779B97F4A7C15
 #: Entries rank as phrases, then words of the title, then words of the body, each in the order of its table.
 WORDS, BODY_WORDS = 1 << 40, 1 << 41
 
@@ -26,34 +32,130 @@ def entries(spark: SparkSession, listed: list[tuple[str, str, float]]) -> DataFr
     return spark.createDataFrame([(i, *e) for i, e in enumerate(listed)], "at long, word string, kind string, score double")
 
 
-def grams(text: Column, size: int) -> Column:
-    """The different runs of ``size`` characters of a text, found in one pass."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+class _Hashes:
+    """Hashes of all runs of given sizes in a piece of bytes, from one running sum."""
+
+    def __init__(self, longest: int):
+        import numpy as np
+
+        up, down = np.full(longest + 1, FACTOR, np.uint64), np.full(longest + 1, pow(FACTOR, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        self.up, self.down = np.cumprod(up), np.cumprod(down)
+
+    def sums(self, data):
+        import numpy as np
+
+        return np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[:len(data)]))
+
+    def runs(self, sums, size: int):
+        import numpy as np
+
+        h = (sums[size:] - sums[:-size]) * self.down[:len(sums) - size] + np.uint64(size)
+        h ^= h >> np.uint64(31)
+        return h * np.uint64(FACTOR)
+
+
+def _slots(h):
+    """Two places of the bitmap per hash."""
+    import numpy as np
+
+    return h >> np.uint64(64 - SLOTS), (h >> np.uint64(64 - 2 * SLOTS)) & np.uint64((1 << SLOTS) - 1)
+
+
+def _bytes(column):
+    """All bytes of a column of strings and where each begins; null counts as empty."""
+    import numpy as np
+    import pyarrow as pa
+
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), at
+
+
+def _phrase_grams(batches: Iterator) -> Iterator:
+    """``at, gram, one, two``: the different grams of each phrase and their slots; an empty phrase has none."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        at, grams = [], []
+        for key, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            data = np.frombuffer((word or "").encode(), np.uint8)
+            if len(data):
+                size = next(s for s in GRAMS if s <= len(data))
+                hashes = _Hashes(len(data))
+                grams.append(np.unique(hashes.runs(hashes.sums(data), size)))
+                at += [key] * len(grams[-1])
+        h = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(x.view(np.int64)) for x in (h, *_slots(h)))],
+                                         ["at", "gram", "one", "two"])
 
 
 def anchored(phrases: DataFrame) -> DataFrame:
-    """``phrases`` (``at, word``) with ``size`` and ``gram``: of the longest grams the phrase has, the one fewest share."""
-    n = F.length("word")
-    size = F.coalesce(*[F.when(n >= s, F.lit(s)) for s in GRAMS])
-    each = F.coalesce(*[F.when(n >= s, grams(F.col("word"), s)) for s in GRAMS])
-    keyed = phrases.where(n > 0).select("at", size.alias("size"), F.explode(each).alias("gram"))
-    shared = keyed.groupBy("size", "gram").agg(F.count("*").alias("n"))
-    return phrases.join(keyed.join(shared, ["size", "gram"]).groupBy("at").agg(
-        F.min(F.struct("n", "gram", "size")).alias("k")).select("at", "k.gram", "k.size"), "at")
+    """``phrases`` (``at, word``) with ``gram``, the one of its grams that fewest phrases share, and its two slots."""
+    keyed = cut_lineage(phrases.select("at", "word").mapInArrow(_phrase_grams, "at long, gram long, one long, two long"))
+    shared = keyed.groupBy("gram").agg(F.count("*").alias("n"))
+    return phrases.join(keyed.join(shared, "gram").groupBy("at").agg(
+        F.min(F.struct("n", "gram", "one", "two")).alias("k")).select("at", "k.gram", "k.one", "k.two"), "at")
+
+
+def _bitmap(keys: DataFrame):
+    """The slots of all anchors as bits; its size is fixed whatever the vocabulary."""
+    import numpy as np
+
+    slot = keys.select(F.explode(F.array("one", "two")).alias("slot"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
+    words = slot.groupBy(F.floor(F.col("slot") / 64).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (SLOTS - 6), np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _text_grams(bitmap):
+    """``_row, gram`` of the grams of two texts that the bitmap lets pass."""
+
+    def work(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        bits, hashes, longest = bitmap.value, _Hashes(PIECE + GRAMS[0]), GRAMS[0]
+
+        def has(slot):
+            return bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)
+
+        for batch in batches:
+            for column in batch.columns[1:]:
+                data, at = _bytes(column)
+                for start in range(int(at[0]), int(at[-1]), PIECE):
+                    sums = hashes.sums(data[start:min(start + PIECE + longest - 1, int(at[-1]))])
+                    rows, grams = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+                    for size in GRAMS:
+                        if len(sums) > size:
+                            h = hashes.runs(sums, size)[:PIECE]
+                            one, two = _slots(h)
+                            found = np.flatnonzero(has(one))
+                            found = found[has(two[found]) == 1]
+                            row = np.searchsorted(at, found + start, "right") - 1
+                            whole = at[row + 1] >= found + start + size
+                            rows.append(row[whole])
+                            grams.append(h[found[whole]])
+                    rows, grams = np.concatenate(rows), np.concatenate(grams).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(grams)], ["_row", "gram"])
+
+    return work
 
 
 def phrase_matches(texts: DataFrame, phrases: DataFrame, whole_words: bool = False) -> DataFrame:
     """``_row, front, at, kind, score``: phrases in a text's ``_front`` (``front`` true) or, failing that, its ``_behind``.
 
-    ``texts``: ``_row`` (unique), ``_front``, ``_behind``; ``phrases``: ``at, word, kind, score``.  Matching is literal.
+    ``texts``: ``_row`` (unique long), ``_front``, ``_behind``; ``phrases``: ``at, word, kind, score``.  Matching is literal.
     """
+    spark = texts.sparkSession
     keys = cut_lineage(anchored(phrases))
-    sizes = [r["size"] for r in keys.select("size").distinct().collect()]  # at most four
-    met = texts.select("_row").limit(0).withColumn("at", F.lit(0).cast("long"))
-    for size in sorted(sizes):
-        both = F.array_union(grams(F.col("_front"), size), grams(F.col("_behind"), size))
-        met = met.unionByName(texts.select("_row", F.explode(both).alias("gram"))
-                              .join(keys.where(F.col("size") == size).select("gram", "at"), "gram").select("_row", "at"))
+    passed = texts.select("_row", "_front", "_behind").mapInArrow(
+        _text_grams(spark.sparkContext.broadcast(_bitmap(keys))), "_row long, gram long")
+    met = passed.distinct().join(keys.select("gram", "at"), "gram").select("_row", "at")
     near = (met.join(keys.select("at", "word", "kind", "score"), "at").groupBy("_row")
             .agg(F.collect_list(F.struct("at", "word", "kind", "score")).alias("met")))
 
