@@ -89,6 +89,29 @@ def test_one_headline_at_many_points_gives_a_linear_number_of_candidates(spark):
     assert per_article[1] < 1.5 * per_article[0] and per_article[1] < 100
 
 
+def test_articles_with_a_close_incident_of_their_own_title_meet_no_other_titles(spark, monkeypatch):
+    """Variants of one title, each with its own incident: n x n similar pairs, none of which can win."""
+    met = []
+
+    def counted(*args, real=matching.similar_sets, **more):
+        titles = real(*args, **more)
+        met.append(titles.count())
+        return titles
+
+    monkeypatch.setattr(matching, "similar_sets", counted)
+    n = 60
+    titles = [f"gamma delta epsilon zeta word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n)]
+    articles = [art(k, t) for k, t in enumerate(titles)]
+    events = [ev(100 + k, t, ts=T0 + timedelta(minutes=k)) for k, t in enumerate(titles)]
+    assert {o: i for o, (_, i) in matched(spark, articles, events).items()} == {k: 100 + k for k in range(n)}
+    assert sum(met) <= n
+    # an incident of another title wins where the own one is far, and on a tie the lowest id
+    events = [ev(9, titles[0]), ev(8, titles[1]), *(ev(100 + k, t, ts=T0 + timedelta(hours=47)) for k, t in enumerate(titles))]
+    got = matched(spark, articles, events)
+    assert {o: i for o, (_, i) in got.items()} == {o: i for o, (_, i) in brute(articles, events).items()}
+    assert got[0][1] == 9 and got[1][1] == 8 and got[2][1] == 8
+
+
 def art(o, title="Protest march downtown seattle", lat=47.6, lon=-122.3, ts=T0, kind="protest"):
     return (o, title, lat, lon, ts, kind, 0.54, "city")
 

@@ -94,16 +94,16 @@ def least_miles(lat: Column, lon: Column) -> Column:
 def leaf_candidates(frontier: DataFrame, blocks: Blocks, score, miles: float, micros: int) -> DataFrame:
     """Pairs of a query and a point that may be its best, from the root nodes each query starts with.
 
-    ``frontier``: ``q, latitude, longitude, micros, similarity`` and the columns of a node.  ``score(similarity,
-    hours_apart, distance)`` must fall with both distances.  Output: ``q, similarity``, the query's place and time, and
-    the point as ``p_latitude, p_longitude, p_micros, p_id``.
+    ``frontier``: ``q, latitude, longitude, micros, similarity, reached`` (a score the query has from elsewhere, or null)
+    and the columns of a node.  ``score(similarity, hours_apart, distance)`` must fall with both distances.  Output: ``q,
+    similarity, reached``, the query's place and time, and the point as ``p_latitude, p_longitude, p_micros, p_id``.
     """
     lat, lon, at = F.col("latitude"), F.col("longitude"), F.col("micros")
     hours = lambda apart: apart / F.lit(1e6) / F.lit(3600.0)
     kept_columns = ["q", "latitude", "longitude", "micros", "similarity", "at_most", "reached", "node", "is_leaf"]
     own = Window.partitionBy("q")
     may_win = F.col("reached").isNull() | (F.col("at_most") >= F.col("reached") - F.lit(SLACK))
-    frontier, done = frontier.withColumn("reached", F.lit(None).cast("double")), []
+    done = []
     for level, _ in enumerate(blocks.levels):
         apart, far = F.greatest(F.lit(0), F.col("since") - at, at - F.col("till")), least_miles(lat, lon)
         shown_apart = F.abs(at - F.col("shown.micros"))
@@ -126,4 +126,4 @@ def leaf_candidates(frontier: DataFrame, blocks: Blocks, score, miles: float, mi
         found = found.withColumn("reached", F.max("reached").over(own)).where(may_win)
     points = blocks.leaves.select("node", F.col("latitude").alias("p_latitude"), F.col("longitude").alias("p_longitude"),
                                   F.col("micros").alias("p_micros"), F.col("id").alias("p_id"))
-    return found.select("q", "latitude", "longitude", "micros", "similarity", "node").join(points, "node").drop("node")
+    return found.select("q", "latitude", "longitude", "micros", "similarity", "reached", "node").join(points, "node").drop("node")

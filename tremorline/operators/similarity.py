@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tremorline.functions.plan import once
 from tremorline.functions.text import jaccard
+from tremorline.operators.numbering import numbered
 from tremorline.session import cut_lineage
 
 #: Longs of a signature.
@@ -37,15 +38,24 @@ def rarest_first(sets: DataFrame, key: list[str], within: list[str] | None = Non
     return sets.join(ordered.select(*key, F.col("_o.word").alias("ordered")), key)
 
 
+def coded_sets(sets: DataFrame, key: str) -> DataFrame:
+    """``key, tokens`` with numbers in place of words, the rarest word of all sets having the least; sorted, so rarest first."""
+    words = sets.select(key, F.explode("tokens").alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    codes = numbered(counts, [F.col("n"), F.col("word")], "code", 0).select("word", "code")
+    return words.join(codes, "word").groupBy(key).agg(F.array_sort(F.collect_list("code")).alias("tokens"))
+
+
 def prefix(ordered: Column, threshold: float) -> Column:
     """The part of an ordered set in which a partner at or above ``threshold`` must share a token."""
     n = F.size(ordered)
     return F.slice(ordered, F.lit(1), n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1)
 
 
-def enough_left(threshold: float, a_at: Column, a_size: Column, b_at: Column, b_size: Column) -> Column:
+def enough_left(threshold: float | Column, a_at: Column, a_size: Column, b_at: Column, b_size: Column) -> Column:
     """Can two sets that share the tokens at these positions (from 0), the first they share, still be similar enough?"""
-    needed = F.ceil((a_size + b_size) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+    t = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    needed = F.ceil((a_size + b_size) * (t / (1 + t)) - F.lit(1e-9))
     return F.least(a_at, b_at) + F.least(a_size - a_at, b_size - b_at) >= needed
 
 
@@ -74,26 +84,49 @@ def enough_shared(threshold: float | Column, a_sign: str, a_size: Column, b_sign
     return (a_size - alone(a_sign, b_sign) >= needed) & (b_size - alone(b_sign, a_sign) >= needed)
 
 
-def similar_sets(left: DataFrame, right: DataFrame, block: list[str], sets: DataFrame, threshold: float) -> DataFrame:
+def prefix_words(sets: DataFrame, threshold: float, coded: bool = False) -> DataFrame:
+    """``set_key, size, sign, at, word``: the prefix of each of ``sets`` (``set_key, tokens``; ``coded`` by
+    ``coded_sets``), with its signature."""
+    ordered = sets.withColumn("ordered", F.col("tokens")) if coded else rarest_first(sets, ["set_key"])
+    signed = once(ordered, "sign", signature(F.col("ordered")))
+    return cut_lineage(signed.select("set_key", F.size("ordered").alias("size"), "sign",
+                                     F.posexplode(prefix(F.col("ordered"), threshold)).alias("at", "word")))
+
+
+def in_prefix(at: Column, size: Column, threshold: Column) -> Column:
+    """Does a position lie in the prefix for ``threshold``?"""
+    return at <= size - F.ceil(size * threshold - F.lit(1e-9))
+
+
+def similar_sets(left: DataFrame, right: DataFrame, block: list[str], sets: DataFrame, threshold: float,
+                 below: float | None = None, words: DataFrame | None = None) -> DataFrame:
     """Pairs of token sets that occur in a common block and have similarity of at least ``threshold``.
 
-    ``left``, ``right``: the ``block`` columns and ``set_key``; ``sets``: ``set_key, tokens`` of both sides.  Output:
-    ``a, b, similarity``, each pair once.
+    ``left``, ``right``: the ``block`` columns and ``set_key``; ``sets``: ``set_key, tokens`` of both sides.  A column
+    ``least`` of ``left``, not under ``threshold``, asks for pairs of at least that similarity only; ``below`` leaves out
+    pairs of that similarity or more.  ``words``: ``prefix_words(sets, t)`` for some ``t`` up to ``threshold``, if at hand.
+    Output: ``a, b, similarity``, each pair once.
     """
-    signed = once(rarest_first(sets, ["set_key"]), "sign", signature(F.col("ordered")))
-    words = cut_lineage(signed.select("set_key", F.size("ordered").alias("size"), "sign",
-                                      F.posexplode(prefix(F.col("ordered"), threshold)).alias("at", "word")))
+    words = prefix_words(sets, threshold) if words is None else words
+    least = F.least(F.min("least"), F.lit(1.0)) if "least" in left.columns else F.lit(float(threshold))
+    left = left.groupBy(*block, "set_key").agg(least.alias("least"))
+    right = right.select(*block, "set_key").distinct().withColumn("least", F.lit(float(threshold)))
 
     def worded(side: DataFrame, name: str) -> DataFrame:
-        return side.select(*block, "set_key").distinct().join(words, "set_key").select(
+        return side.join(words, "set_key").where(in_prefix(F.col("at"), F.col("size"), F.col("least"))).select(
             F.xxhash64(*block, "word").alias("met"), F.col("set_key").alias(name), F.col("size").alias(f"{name}_size"),
-            F.col("at").alias(f"{name}_at"), F.col("sign").alias(f"{name}_sign"))
+            F.col("at").alias(f"{name}_at"), F.col("sign").alias(f"{name}_sign"), F.col("least").alias(f"{name}_least"))
 
-    fits = enough_left(threshold, F.col("a_at"), F.col("a_size"), F.col("b_at"), F.col("b_size"))
-    fits = fits & enough_shared(threshold, "a_sign", F.col("a_size"), "b_sign", F.col("b_size"))
+    asked = F.col("a_least")
+    fits = enough_left(asked, F.col("a_at"), F.col("a_size"), F.col("b_at"), F.col("b_size"))
+    fits = fits & enough_shared(asked, "a_sign", F.col("a_size"), "b_sign", F.col("b_size"))
+    if below is not None and below <= 1:
+        fits = fits & (F.col("a") != F.col("b"))
     # blocks and words meet by hash: a chance meeting is one more pair to check
-    pairs = cut_lineage(worded(left, "a").join(worded(right, "b"), "met").where(fits).select("a", "b").distinct())
+    met = worded(left, "a").join(worded(right, "b").drop("b_least"), "met").where(fits)
+    pairs = cut_lineage(met.groupBy("a", "b").agg(F.min("a_least").alias("least")))
     of = lambda name: sets.select(F.col("set_key").alias(name), F.col("tokens").alias(f"{name}_tokens"))
     checked = pairs.join(of("a"), "a").join(of("b"), "b").select(
-        "a", "b", jaccard(F.col("a_tokens"), F.col("b_tokens")).alias("similarity"))
-    return checked.where(F.col("similarity") >= F.lit(threshold))
+        "a", "b", "least", jaccard(F.col("a_tokens"), F.col("b_tokens")).alias("similarity"))
+    found = checked.where(F.col("similarity") >= F.col("least")).drop("least")
+    return found if below is None else found.where(F.col("similarity") < F.lit(float(below)))
