@@ -10,7 +10,7 @@ from tremorline.functions import constants as C
 from tremorline.operators.corroboration import apply_corroboration, corroboration_counts, provenance_rows
 from tremorline.operators.dedup import exact_dedup, merge_page
 from tremorline.operators.discovery import discover_novel
-from tremorline.operators import discovery, earlier, matching
+from tremorline.operators import discovery, earlier, matching, syndication
 from tremorline.operators.matching import best_match
 from tremorline.operators.syndication import RULES, syndication_rules
 
@@ -281,6 +281,22 @@ def test_variants_of_one_headline_agree_with_loops(spark):
         assert got[n[0], n[1]] == want
 
 
+def test_words_of_sources_travel_as_numbers_and_incidents_stay_apart(spark, monkeypatch):
+    kinds = []
+
+    def seen(rows, *args, real=earlier.with_earlier):
+        kinds.append(dict(rows.dtypes))
+        return real(rows, *args)
+
+    monkeypatch.setattr(syndication, "with_earlier", seen)
+    near = TITLE + " lambda"
+    got = rules(spark, [src(1, title=TITLE, ts=T0), src(2, title=near, ts=T0, event=2), src(3, title=near, ts=T0),
+                        src(4, title=TITLE, ts=T0, event=2), src(5, title=TITLE, ts=T0, event=3)])
+    both = {"near_identical_title", "rapid_rewrite"}
+    assert got == {(1, 1): set(), (2, 2): set(), (1, 3): both, (2, 4): both, (3, 5): set()}
+    assert len(kinds) == 2 and all(k["ordered"] == "array<bigint>" and "string" not in k.values() for k in kinds)
+
+
 def test_variants_of_one_headline_are_compared_a_few_times_each(spark, monkeypatch):
     compared = []
 

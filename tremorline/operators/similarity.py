@@ -38,12 +38,14 @@ def rarest_first(sets: DataFrame, key: list[str], within: list[str] | None = Non
     return sets.join(ordered.select(*key, F.col("_o.word").alias("ordered")), key)
 
 
-def coded_sets(sets: DataFrame, key: str) -> DataFrame:
-    """``key, tokens`` with numbers in place of words, the rarest word of all sets having the least; sorted, so rarest first."""
-    words = sets.select(key, F.explode("tokens").alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    codes = numbered(counts, [F.col("n"), F.col("word")], "code", 0).select("word", "code")
-    return words.join(codes, "word").groupBy(key).agg(F.array_sort(F.collect_list("code")).alias("tokens"))
+def coded_sets(sets: DataFrame, key: str, within: list[str] | None = None) -> DataFrame:
+    """``key, tokens`` with numbers in place of words, the word that fewest sets have being the least; sorted, so rarest
+    first.  Words are counted and numbered apart for each value of the columns ``within``."""
+    within = within or []
+    words = sets.select(key, *within, F.explode("tokens").alias("word"))
+    counts = words.groupBy(*within, "word").agg(F.count("*").alias("n"))
+    codes = numbered(counts, [F.col("n"), *map(F.col, within), F.col("word")], "code", 0).select(*within, "word", "code")
+    return words.join(codes, [*within, "word"]).groupBy(key).agg(F.array_sort(F.collect_list("code")).alias("tokens"))
 
 
 def prefix(ordered: Column, threshold: float) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from tremorline.functions import constants as C
 from tremorline.functions.text import empty_to_null, outlet_family, token_set, url_domain
 from tremorline.operators.earlier import with_earlier
-from tremorline.operators.similarity import rarest_first, set_key
+from tremorline.operators.similarity import coded_sets, set_key
 from tremorline.session import cut_lineage
 
 RULES = ["same_outlet", "same_family", "near_identical_title", "same_wire_domain", "rapid_rewrite",
@@ -42,8 +42,11 @@ def _title_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``event_id, position`` of sources that repeat an earlier title, and of those that do so within half an hour."""
     titled = rows.filter(F.col("set_key").isNotNull())
     sets = titled.groupBy("event_id", "set_key").agg(F.first("tokens").alias("tokens"), F.min("position").alias("first"))
-    sets = cut_lineage(rarest_first(sets, ["event_id", "set_key"], ["event_id"]).drop("tokens").withColumn("k", F.monotonically_increasing_id()))
-    found = with_earlier(sets.select("k", "event_id", F.col("first").alias("position"), "ordered"), ["event_id"], C.COPY_SIMILARITY)
+    sets = cut_lineage(sets.withColumn("k", F.monotonically_increasing_id()))
+    # a word has a number per incident, so sets of different incidents share none and numbers alone part them
+    ordered = coded_sets(sets, "k", ["event_id"]).withColumnRenamed("tokens", "ordered")
+    sets = cut_lineage(sets.drop("tokens").join(ordered, "k"))
+    found = with_earlier(sets.select("k", F.col("first").alias("position"), "ordered"), [], C.COPY_SIMILARITY)
     judged = sets.join(found.withColumn("early", F.lit(True)), "k", "left")
     same = titled.select("event_id", "set_key", "position").join(judged.select("event_id", "set_key", "first", "early"),
                                                                  ["event_id", "set_key"])
@@ -53,8 +56,8 @@ def _title_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     points = timed.groupBy("event_id", "set_key", "micros").agg(F.min("position").alias("first"))
     points = cut_lineage(points.join(sets.select("event_id", "set_key", "ordered"), ["event_id", "set_key"])
                          .withColumn("k", F.monotonically_increasing_id()))
-    found = with_earlier(points.select("k", "event_id", F.col("first").alias("position"), "micros", "ordered"), ["event_id"],
-                         C.REWRITE_SIMILARITY, ("micros", C.REWRITE_MINUTES * 60_000_000))
+    found = with_earlier(points.select("k", F.col("first").alias("position"), "micros", "ordered"), [], C.REWRITE_SIMILARITY,
+                         ("micros", C.REWRITE_MINUTES * 60_000_000))
     judged = points.join(found.withColumn("early", F.lit(True)), "k", "left")
     same = timed.select("event_id", "set_key", "micros", "position").join(
         judged.select("event_id", "set_key", "micros", "first", "early"), ["event_id", "set_key", "micros"])
