@@ -129,6 +129,22 @@ GATES = [
     (ev(1, title="Protest march downtown portland", kind="unrest"), True), (ev(1, title=""), False)]
 
 
+def test_few_articles_meet_titles_in_one_step_and_titles_do_not_travel_with_rows(spark, monkeypatch):
+    """Fails if the titles of all incidents are sent out twice for few articles, or with every row."""
+    rng = random.Random(8)
+    names = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "theta"]
+    events = [(i, " ".join(rng.sample(names, 5)), 40.0 + rng.random() / 2, -75.0, T0 + timedelta(minutes=37 * i % 3000), "riot", True)
+              for i in range(200)]
+    articles = [(i, " ".join(rng.sample(names, 5)), 40.2, -75.0, T0 + timedelta(hours=6 * i), "riot", 0.5, "city") for i in range(6)]
+    steps, cuts = [], []
+    similar, cut = matching.similar_sets, matching.cut_lineage
+    monkeypatch.setattr(matching, "similar_sets", lambda *a, **k: steps.append(a[4]) or similar(*a, **k))
+    monkeypatch.setattr(matching, "cut_lineage", lambda df: cuts.append(set(df.columns)) or cut(df))
+    found, want = matched(spark, articles, events), brute(articles, events)
+    assert {o: i for o, (_, i) in want.items()} == {o: (f if isinstance(f, int) else f[1]) for o, f in found.items()}
+    assert steps == [0.4] and not any({"title", "latitude"} <= c for c in cuts)
+
+
 def test_gates(spark):
     """Each case in its own part of the world, 10 degrees of longitude apart."""
     articles = [art(i, lon=-122.3 + 10 * i) for i in range(len(GATES))]

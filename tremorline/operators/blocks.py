@@ -61,13 +61,13 @@ class Blocks:
                 F.min("micros").alias("since"), F.max("micros").alias("till"), F.min(shown).alias("shown"))
             nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id() + F.lit(level << 55)))
             self.levels.append(nodes.withColumn("is_leaf", F.col("n") <= (leaf if level < DEEPEST else 1 << 60)))
-            placed = here.join(self.levels[-1].select(*by, "node", "is_leaf"), by).select(
-                "node", "is_leaf", "latitude", "longitude", "micros", "id")
+            placed = cut_lineage(here.join(self.levels[-1].select(*by, "node", "is_leaf"), by).select(
+                "node", "is_leaf", "latitude", "longitude", "micros", "id"))  # every search reads the leaves
             leaves.append(placed.where("is_leaf"))
             if level == DEEPEST or nodes.where(F.col("n") > leaf).isEmpty():
                 break
             cuts = WAYS**level
-            here = cut_lineage(placed.where("not is_leaf")).select(
+            here = placed.where("not is_leaf").select(
                 F.col("node").alias("parent"), F.floor(F.col("latitude") / F.lit(degrees / cuts)).alias("_y"),
                 F.floor(_east(F.col("longitude")) / F.lit(1.5 * degrees / cuts)).alias("_x"),
                 F.floor(F.col("micros") / F.lit(4.0 * micros / cuts)).alias("_t"), "latitude", "longitude", "micros", "id")

@@ -9,8 +9,8 @@ of all rows are copies of one story, so rows are never paired directly:
 
 1. Articles collapse to queries, incidents to points of equal (title words, type, place, time).
 2. A query first meets points of its own title.  What it scores there bounds how similar another title must be to win,
-   so distinct titles meet for the queries that still can win something, in two steps of falling similarity, in a
-   prefix-filter join on (time bucket, cell of the globe, rare word) with a threshold per title.
+   so distinct titles meet for the queries that still can win something, in two steps of falling similarity (one, if
+   queries are few), in a prefix-filter join on (time bucket, cell of the globe, rare word) with a threshold per title.
 3. Points of a title and type lie in adaptive blocks (``operators.blocks``).  A query opens, from coarse to fine and over
    all similar titles together, only blocks whose best possible score its best found one does not beat.  So n copies of
    a headline at n places and times cost each query a few blocks of at most 16 points, not n points.
@@ -26,33 +26,43 @@ from tremorline.functions.plan import once
 from tremorline.functions.scores import types_compatible
 from tremorline.functions.text import token_set
 from tremorline.operators.blocks import SLACK, Blocks, leaf_candidates, reached_roots, root_bucket, root_cell
+from tremorline.operators.numbering import numbered
 from tremorline.operators.similarity import coded_sets, prefix_words, set_key, similar_sets
 from tremorline.session import cut_lineage
 
 HOUR_MICROS = 3_600_000_000
 #: Where the search among titles that differ stops first, as a part of the way from the threshold to equal titles.
 HALFWAY = 1 / 3
+#: Queries per point below which it does not stop there: the titles of all points would travel twice for few queries.
+FEW = 1 / 8
 POINT = ["set_key", "event_type", "latitude", "longitude", "micros"]
 
 
+def title_key(title: Column) -> Column:
+    return F.unhex(F.md5(title))
+
+
 def _side(df: DataFrame, row_id: str) -> DataFrame:
     """The columns matching needs."""
     return df.select(
-        F.col(row_id).alias("row_id"), "title", F.coalesce("event_type", F.lit("")).alias("event_type"), "latitude",
+        F.col(row_id).alias("row_id"), "title", title_key(F.col("title")).alias("title_key"), F.coalesce("event_type", F.lit("")).alias("event_type"), "latitude",
         "longitude", F.unix_micros("occurred_at").alias("micros")).dropna(subset=POINT[2:])
 
 
 def _sides(articles: DataFrame, events: DataFrame, article_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Articles and active incidents with ``set_key`` in place of the title, and the token sets, coded rarest first; words
-    of a title are taken once however many rows have it.  Rows whose title has no words cannot match and are left out."""
-    a, e = cut_lineage(_side(articles, article_id)), cut_lineage(_side(events.filter("is_active"), "id"))
-    titles = once(a.select("title").unionByName(e.select("title")).distinct(), "tokens", token_set(F.col("title")))
+    of a title are taken once however many rows have it, and short keys travel in place of titles (the inputs are read
+    twice for that).  Rows whose title has no words cannot match and are left out."""
+    sides = [_side(articles, article_id), _side(events.filter("is_active"), "id")]
+    a, e = [cut_lineage(side.drop("title")) for side in sides]
+    titles = once(sides[0].select("title").unionByName(sides[1].select("title")).distinct(), "tokens", token_set(F.col("title")))
     titles = cut_lineage(titles.filter(F.size("tokens") > 0).withColumn("words_key", set_key(F.col("tokens"))))
     # short numbers in place of keys and words, since they travel once per word and pair
-    sets = cut_lineage(titles.groupBy("words_key").agg(F.first("tokens").alias("tokens"))
-                       .withColumn("set_key", F.monotonically_increasing_id()))
-    named = cut_lineage(titles.select("title", "words_key").join(sets.select("words_key", "set_key"), "words_key").drop("words_key"))
-    keyed = [side.join(named, "title").select("row_id", *POINT) for side in (a, e)]
+    sets = numbered(titles.groupBy("words_key").agg(F.first("tokens").alias("tokens")), [], "set_key", 0)
+    sets = cut_lineage(sets.withColumn("set_key", F.col("set_key").cast("int")))
+    named = titles.select(title_key(F.col("title")).alias("title_key"), "words_key")
+    named = cut_lineage(named.join(sets.select("words_key", "set_key"), "words_key").drop("words_key"))
+    keyed = [side.join(named, "title_key").select("row_id", *POINT) for side in (a, e)]
     return *keyed, cut_lineage(coded_sets(sets, "set_key"))
 
 
@@ -86,11 +96,11 @@ def candidates(articles: DataFrame, events: DataFrame, sets: DataFrame, hours: f
     apart = F.abs(F.col("micros") - F.col("p_micros"))
     distance = haversine_miles(F.col("latitude"), F.col("longitude"), F.col("p_latitude"), F.col("p_longitude"))
 
-    def search(asked: DataFrame, titles: DataFrame) -> DataFrame:
-        """``asked``: rows of ``reach`` with ``least`` and ``reached``; ``titles``: ``a, b, similarity``."""
-        needed = F.greatest(needed_similarity(F.col("event_type"), F.col("p_type"), threshold), F.col("least"))
-        frontier = (asked.withColumnRenamed("set_key", "a").join(titles.join(roots, "b").drop("b"), ["a", "cell", "bucket"])
-                    .where(F.col("similarity") >= needed).drop("a", "cell", "bucket", "event_type", "p_type", "least"))
+    def search(met: DataFrame) -> DataFrame:
+        """``met``: rows of ``reach`` with ``reached``, a title ``b`` that the query meets and its ``similarity``."""
+        needed = needed_similarity(F.col("event_type"), F.col("p_type"), threshold)
+        frontier = (met.join(roots, ["b", "cell", "bucket"]).where(F.col("similarity") >= needed)
+                    .drop("b", "cell", "bucket", "event_type", "p_type"))
         found = leaf_candidates(frontier, blocks, lambda s, h, d: match_score(s, h, d, hours, miles), miles, span)
         near = found.where(apart <= span).withColumns({
             "hours_apart": apart / F.lit(1e6) / F.lit(3600.0), "distance_miles": distance}).where(F.col("distance_miles") <= F.lit(miles))
@@ -99,11 +109,11 @@ def candidates(articles: DataFrame, events: DataFrame, sets: DataFrame, hours: f
         scored = scored.where(F.col("reached").isNull() | (F.col("score") >= F.col("reached") - F.lit(SLACK)))
         return cut_lineage(scored.select("q", F.col("p_id").alias("event_id"), "similarity", "hours_apart", "distance_miles", "score"))
 
-    fresh = reach.withColumns({"least": F.lit(float(threshold)), "reached": F.lit(None).cast("double")})
-    met = points.select(F.col("set_key").alias("b")).distinct().select(F.col("b").alias("a"), "b", F.lit(1.0).alias("similarity"))
-    found = search(fresh, met)
+    found = search(reach.withColumnRenamed("set_key", "b").withColumns({
+        "similarity": F.lit(1.0), "reached": F.lit(None).cast("double")}))
     words, below = None, 1.0
-    for floor in (threshold + HALFWAY * (1 - threshold), threshold):
+    halfway = [threshold + HALFWAY * (1 - threshold)] if queries.count() >= FEW * points.count() else []
+    for floor in (*halfway, threshold):
         if floor >= below:
             continue
         # a title not met yet is less similar than ``below``; a query asks for no less than may still win
@@ -112,7 +122,10 @@ def candidates(articles: DataFrame, events: DataFrame, sets: DataFrame, hours: f
         asked = cut_lineage(reach.join(best, "q", "left").withColumn("least", least).where(F.col("least") < F.lit(float(below))))
         words = prefix_words(sets, threshold, coded=True) if words is None else words
         titles = similar_sets(asked, points, ["bucket", "cell"], sets, floor, below, words)
-        found, below = found.unionByName(search(asked, titles)), floor
+        # queries meet titles before blocks: a title has blocks all over, of which a query reaches few
+        met = (asked.withColumnRenamed("set_key", "a").join(titles, "a").where(F.col("similarity") >= F.col("least"))
+               .drop("a", "least"))
+        found, below = found.unionByName(search(met)), floor
     return found.join(queries, "q")
 
 

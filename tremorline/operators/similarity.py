@@ -107,7 +107,8 @@ def similar_sets(left: DataFrame, right: DataFrame, block: list[str], sets: Data
     ``left``, ``right``: the ``block`` columns and ``set_key``; ``sets``: ``set_key, tokens`` of both sides.  A column
     ``least`` of ``left``, not under ``threshold``, asks for pairs of at least that similarity only; ``below`` leaves out
     pairs of that similarity or more.  ``words``: ``prefix_words(sets, t)`` for some ``t`` up to ``threshold``, if at hand.
-    Output: ``a, b, similarity``, each pair once.
+    Output: ``a, b, similarity``, each pair once.  Keys of type int, from 0 on, are cheapest: a pair of them travels as one
+    number once for each word and block it meets in.
     """
     words = prefix_words(sets, threshold) if words is None else words
     least = F.least(F.min("least"), F.lit(1.0)) if "least" in left.columns else F.lit(float(threshold))
@@ -126,7 +127,13 @@ def similar_sets(left: DataFrame, right: DataFrame, block: list[str], sets: Data
         fits = fits & (F.col("a") != F.col("b"))
     # blocks and words meet by hash: a chance meeting is one more pair to check
     met = worded(left, "a").join(worded(right, "b").drop("b_least"), "met").where(fits)
-    pairs = cut_lineage(met.groupBy("a", "b").agg(F.min("a_least").alias("least")))
+    if dict(sets.dtypes)["set_key"] == "int":
+        pair = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
+        pairs = cut_lineage(met.select(pair.alias("pair")).distinct()).select(
+            F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("b"))
+        pairs = pairs.join(left.groupBy(F.col("set_key").alias("a")).agg(F.min("least").alias("least")), "a")
+    else:
+        pairs = cut_lineage(met.groupBy("a", "b").agg(F.min("a_least").alias("least")))
     of = lambda name: sets.select(F.col("set_key").alias(name), F.col("tokens").alias(f"{name}_tokens"))
     checked = pairs.join(of("a"), "a").join(of("b"), "b").select(
         "a", "b", "least", jaccard(F.col("a_tokens"), F.col("b_tokens")).alias("similarity"))

@@ -233,6 +233,6 @@ def stream_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     store = live.Store(f"{root}/store")
     store.write_batch(conform(incidents(spark, sf_dir), EVENT, {"country": "US"}), "events", C.CODED_FEED, 0)
-    raw_articles(spark, sf_dir).drop("ord").write.json(f"{root}/landed")
+    raw_articles(spark, sf_dir).drop("ord").write.json(f"{root}/landed", compression="gzip")
     live.run_article_feed(spark, f"{root}/landed", store, NOW, TEST_LEXICON, min_precision="state")
     return store.sources(spark).select("event_id", "source_record_id", "source_name", "source_trust_weight")

@@ -72,8 +72,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def places(spark: SparkSession) -> DataFrame:
     rows = [(int(i), float(lat), float(lon), lat, lon, c or None, s or None, n or None, p)
             for i, lat, lon, c, s, n, p in _place_rows()]
-    return spark.createDataFrame(rows, "place_id long, lat double, lon double, lat_text string, lon_text string, "
-                                       "city string, state string, state_name string, location_precision string")
+    df = spark.createDataFrame(rows, "place_id long, lat double, lon double, lat_text string, lon_text string, "
+                                     "city string, state string, state_name string, location_precision string")
+    return F.broadcast(df)  # 24 rows, whose size Spark does not know
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,12 +59,14 @@ def id_rows(events: DataFrame) -> DataFrame:
 
 def corroborating(sources: DataFrame, events: DataFrame) -> DataFrame:
     """Sources without the articles that opened their incident, which are no corroboration of it."""
+    def article(*columns: str) -> Column:
+        """64 bits of id, title and time.  A source meets one incident, so titles need not travel to be compared."""
+        return F.when(F.col(columns[1]).isNotNull() & F.col(columns[2]).isNotNull(), F.xxhash64(*columns))
+
     openers = events.filter(F.col("source_name") == C.ARTICLE_FEED).select(
-        F.col("id"), F.col("source_id"), F.col("title"), F.col("occurred_at"))
-    return sources.join(openers, (sources["event_id"] == openers["id"])
-                        & sources["source_record_id"].eqNullSafe(openers["source_id"])
-                        & (sources["source_title"] == openers["title"])
-                        & (sources["source_published_at"] == openers["occurred_at"]), "left_anti")
+        F.col("id").alias("event_id"), article("source_id", "title", "occurred_at").alias("_article"))
+    marked = sources.withColumn("_article", article("source_record_id", "source_title", "source_published_at"))
+    return marked.join(openers, ["event_id", "_article"], "left_anti").drop("_article")
 
 
 @dataclass(frozen=True)
@@ -171,7 +173,7 @@ class Store:
         writer = df.write.mode("overwrite")
         if name == "events":
             writer = df.withColumn("event_date", F.to_date("occurred_at")).write.mode("overwrite").partitionBy("event_date")
-        writer.parquet(self.batch_path(name, feed, batch))
+        writer.option("compression", "zstd").parquet(self.batch_path(name, feed, batch))
         if name == "events":
             written = df.sparkSession.read.schema(EVENT).parquet(self.batch_path(name, feed, batch))
             self.ids(feed).add(id_rows(written), batch)
