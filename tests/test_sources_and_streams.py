@@ -345,3 +345,27 @@ def test_late_rows_are_counted(spark, tmp_path):
     assert run("2025-03-15 02:00:00", "2025-03-11 01:00:00") == 1
     assert [(r["stream"], r["n"]) for r in store.late(spark).collect()] == [("trend_windows", 1)]
     assert [(str(r["window_start"]), r["event_count"]) for r in store.trends(spark).collect()] == [("2025-03-15 00:00:00", 2)]
+
+
+def test_openers_are_no_corroboration_whatever_is_null(spark):
+    """Fails if openers are compared by their titles, which then travel."""
+    from tremorline.streaming.live import corroborating
+
+    t = datetime(2025, 3, 15, 12)
+    events = spark.createDataFrame([(1, "er-1", "a", t, "eventregistry"), (2, None, "b", t, "eventregistry"), (3, "er-3", None, t, "eventregistry"),
+                                    (4, "er-4", "d", t, "gdelt")], "id long, source_id string, title string, occurred_at timestamp, source_name string")
+    rows = [(1, "er-1", "a", t), (1, "er-2", "a", t), (1, "er-1", "x", t), (2, None, "b", t), (2, "", "b", t), (3, "er-3", None, t),
+            (4, "er-4", "d", t), (1, "er-1", "a", None)]
+    sources = spark.createDataFrame(rows, "event_id long, source_record_id string, source_title string, source_published_at timestamp")
+    kept = corroborating(sources, events)
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, (r for i, r in enumerate(rows) if i not in (0, 3))))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "title" not in plan.split("Join LeftAnti", 1)[1].split("\n", 1)[0]
+
+
+def test_places_are_broadcast_and_sources_read_documents_once(spark):
+    """Fails if titles are shuffled for 24 places, or for the source of their own document."""
+    from tremorline.plans.views import provenance
+
+    plan = provenance(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and plan.count("Join ") == 2

@@ -151,8 +151,8 @@ CATEGORY_SETS = [["dmoz/conflict/protest"], ["dmoz/sports/football"], ["dmoz/bus
 CONCEPTS = ["en/protest", "en/social_movement", "en/riot", "en/weather"]
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One article per document, with its place, outlet, URL and publication time."""
+def articles(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """One article per document, with its place, outlet, URL and publication time, and ``more`` columns of documents."""
     doc = F.col("doc_id")
     docs = documents(spark, sf_dir).withColumns({
         "place_id": doc % 24, "page_id": doc % _size(spark, sf_dir, "pages", "page_id")})
@@ -176,7 +176,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("eng-"), (doc % 50).cast("string")).alias("event_uri"),
         categories.alias("categories"), concepts.alias("concepts"),
         F.expr(_ARTICLE_SQL["location"]).alias("location"), F.expr(_ARTICLE_SQL["date_text"]).alias("date_text"),
-        F.lit(0.5).alias("confidence_score"), F.lit(0.4).alias("severity_score"))
+        F.lit(0.5).alias("confidence_score"), F.lit(0.4).alias("severity_score"), *more)
 
 
 def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,10 +189,9 @@ def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every article as a source of one of the incidents its publisher group reports on."""
-    group = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("ord"), F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("event_id"))
-    return articles(spark, sf_dir).join(group, "ord").select(
-        "event_id", F.col("ord").alias("position"), F.concat(F.lit("er-"), F.col("ord").cast("string"))
+    group = F.regexp_extract("source", r"(\d+)$", 1).cast("long")
+    return articles(spark, sf_dir, "source").select(
+        group.alias("event_id"), F.col("ord").alias("position"), F.concat(F.lit("er-"), F.col("ord").cast("string"))
         .alias("source_record_id"), F.col("outlet").alias("source_name"), F.col("url").alias("source_url"),
         F.col("title").alias("source_title"), F.col("occurred_at").alias("source_published_at"), "event_uri")
 
